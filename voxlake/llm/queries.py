@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, token_files, tokens, topk, url_filter
+from . import decontaminate, jaccard_join, packing, quality, token_files, tokens, topk, url_filter
 from .common import table
 
 
@@ -20,6 +20,15 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -42,6 +51,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op5_token_counts, op6_url_filter, op7_top_k, op8_packing, op10_jaccard_join)
+    f.__name__: f for f in (op2_token_files, op3_decontaminate, op4_quality, op5_token_counts, op6_url_filter, op7_top_k, op8_packing, op10_jaccard_join)
 }
 SQL: dict[str, str] = {}

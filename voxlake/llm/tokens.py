@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import id_text, pieces
 
 #: Entries that a worker keeps per cache.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 
 #: Any character outside this set sends the whole text to the library.
 UNSAFE = re.compile("[^\t\n\r -~\xa0\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-įı-ňŊ-ž–—‘’“”…]|<\\|")
@@ -52,12 +52,35 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[str, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for
+    the code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in shown]
+    return {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(hidden)}
+
+
+class _Words:
+    """Ids of single pre-tokens by the library's merge model, without the normaliser and
+    splitter around it, which the caller has applied."""
+
+    def __init__(self, library):
+        self._model = library.model
+        self._letter = {x: c for c, x in _byte_letters().items()}
+
+    def __call__(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = "".join(map(self._letter.__getitem__, word.encode()))
+        return [t.id for t in self._model.tokenize(word)]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         self.library = _load(path)
-        parts = _Cache(self._whole)
+        merge = _Words(self.library)
+        parts = _Cache(lambda word: np.array(merge(word), "<u4").tobytes())
         self._chunk = _Cache(lambda chunk: b"".join(map(parts.__getitem__, WORDS.findall(chunk))))
 
     def _whole(self, text: str) -> bytes:
@@ -69,14 +92,6 @@ class Encoder:
         return b"".join(map(self._chunk.__getitem__, text.lower().split()))
 
 
-def _byte_letters() -> dict[str, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others for
-    the code points from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [x for x in range(256) if x not in shown]
-    return {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(hidden)}
-
-
 def single_token_words(path: str) -> frozenset[str]:
     """The vocabulary's strings that, as a whole pre-token, encode to exactly one
     token: each is run through the library alone and kept only if its own id comes
@@ -97,7 +112,8 @@ class Counter:
 
     def __init__(self, path: str, whole: frozenset[str]):
         self.library = _load(path)
-        rest = _Cache(self._merge)
+        merge = _Words(self.library)
+        rest = _Cache(lambda word: len(merge(word)))
         self._chunk = _Cache(lambda chunk: sum(1 if w in whole else rest[w] for w in WORDS.findall(chunk)))
 
     def _merge(self, text: str) -> int:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -59,3 +59,9 @@ def pieces(batches: Iterator, rows: int = 512) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a column that is computed once per row, not once per use: optimiser
+    rules copy plain columns into every place that names them."""
+    return F.transform(F.array(value), body)[0]

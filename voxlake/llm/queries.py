@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, quality, token_files, tokens, topk, url_filter
+from . import decontaminate, jaccard_join, licences, packing, quality, token_files, tokens, topk, url_filter
 from .common import table
 
 
@@ -16,6 +16,10 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -51,6 +55,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_decontaminate, op4_quality, op5_token_counts, op6_url_filter, op7_top_k, op8_packing, op10_jaccard_join)
+    f.__name__: f for f in (op1_licences, op2_token_files, op3_decontaminate, op4_quality, op5_token_counts, op6_url_filter, op7_top_k, op8_packing, op10_jaccard_join)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_licences": licences.scan_sql()}

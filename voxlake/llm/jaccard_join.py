@@ -333,3 +333,14 @@ def join_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
     classes = nodes.groupBy("top").agg(F.min("copy_of").alias("class_id"))
     nodes = nodes.join(classes, "top").select("node", "class_id", "copy_of", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return members.join(nodes, "node").select("doc_id", "class_id", "copy_of", "n_links")
+
+
+def one_per_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each class: that of the least doc_id, the first text of
+    it where a doc_id has several.  Rows with a null doc_id stay, as nothing names them.
+    All columns are kept."""
+    classes = join_classes(docs.filter("doc_id is not null"), threshold)
+    losers = classes.filter("class_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    named, unnamed = kept.filter("doc_id is not null"), kept.filter("doc_id is null")
+    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)

@@ -57,13 +57,23 @@ def _positions(words: Column) -> Column:
     return F.sequence(F.lit(0), F.size(words) - SHINGLE)
 
 
+def _least(hashes, band: int, keep: bool = False) -> Column:
+    """The MinHash value of a band, with the shingle hash behind it if asked for."""
+
+    def value(h: Column) -> Column:
+        v = F.xxhash64(h, F.lit(band))
+        return F.struct(v.alias("value"), h.alias("hash")) if keep else v
+
+    return F.array_min(F.transform(hashes, value))
+
+
 def template_table(spark, templates=TEMPLATES) -> DataFrame:
     """One row per template: its length in shingles, shingle texts and band values with
     the shingle hash behind each.  As many rows as ``templates`` has."""
     rows = [F.struct(F.lit(t).alias("template"), F.lit(licence).alias("licence"), F.lit(text).alias("text")) for t, licence, text in templates]
     df = spark.range(1).select(F.inline(F.array(*rows))).withColumn("words", words_of(F.col("text"))).filter(F.size("words") >= SHINGLE)
     df = df.withColumn("hashes", F.transform(_positions(F.col("words")), lambda k: _hash(F.col("words"), k)))
-    least = [F.array_min(F.transform("hashes", lambda h, j=j: F.struct(F.xxhash64(h, F.lit(j)).alias("value"), h.alias("hash")))) for j in range(BANDS)]
+    least = [_least("hashes", j, keep=True) for j in range(BANDS)]
     return df.select(
         "template", "licence", F.size("words").alias("n_words"), F.size("hashes").alias("length"),
         F.array_distinct(F.transform(_positions(F.col("words")), lambda k: _shingle_text(F.col("words"), k))).alias("shingles"),
@@ -106,7 +116,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     windows = starts.join(texts, "text_id").join(F.broadcast(whole), "template")
     windows = windows.withColumn("end", F.least(F.col("start") + F.col("length") - 1, F.size("words") - SHINGLE))
     inside = F.sequence("start", "end")
-    same = lambda hashes: reduce(lambda a, b: a | b, [F.array_min(F.transform(hashes, lambda h, j=j: F.xxhash64(h, F.lit(j)))) == F.get("values", F.lit(j)) for j in range(BANDS)])
+    same = lambda hashes: reduce(lambda a, b: a | b, [_least(hashes, j) == F.get("values", F.lit(j)) for j in range(BANDS)])
     retrieved = let(F.transform(inside, lambda k: _hash(F.col("words"), k)), same)
     held = F.array_intersect("shingles", F.transform(inside, lambda k: _shingle_text(F.col("words"), k)))
     checked = windows.filter(retrieved).select("doc_id", "text_id", "template", "licence", "start", "end", (F.size(held) / F.size("shingles")).alias("containment"))

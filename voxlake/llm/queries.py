@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, licences, packing, quality, token_files, tokens, topk, url_filter
+from . import decontaminate, jaccard_join, licences, packing, pii, quality, token_files, tokens, topk, url_filter
 from .common import table
 
 
@@ -50,11 +50,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licences, op2_token_files, op3_decontaminate, op4_quality, op5_token_counts, op6_url_filter, op7_top_k, op8_packing, op10_jaccard_join)
+    f.__name__: f for f in (op1_licences, op2_token_files, op3_decontaminate, op4_quality, op5_token_counts, op6_url_filter, op7_top_k, op8_packing, op9_personal_data, op10_jaccard_join)
 }
 SQL: dict[str, str] = {"op1_licences": licences.scan_sql()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,8 +95,6 @@ def count_tokens(text: Column, tokenize: Callable[[str], Sequence] | None = None
     function, run over Arrow batches."""
     if tokenize is None:
         return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{N}]+|[^\s\p{L}\p{N}])"), F.lit(1)))
-    import pandas as pd
-
     def measure(batch: pd.Series) -> pd.Series:
         return batch.fillna("").map(lambda t: len(tokenize(t)))
 

@@ -69,7 +69,9 @@ def parse_judge(raw: Column) -> Column:
     fields = ("faithfulness", "answer_relevancy", "answer_correctness")
     trimmed = F.trim(raw)
     body = F.when(trimmed.startswith("```"), F.regexp_replace(trimmed, r"(?m)^\s*```.*$\n?", "")).otherwise(trimmed)
-    known = F.try_parse_json(body).isNotNull() & F.trim(body).startswith("{")
+    # The parser stops at the end of the first value, so what follows it is looked at here.
+    bare = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*"', '""')
+    known = F.try_parse_json(body).isNotNull() & bare.rlike(r"^\s*\{(?:[^{}]|\{[^{}]*\})*\}\s*$")
     values = [F.get_json_object(body, f"$.{f}").try_cast("int") for f in fields]
     problems = [F.when(v.isNull(), F.lit(f"missing {f}")).when(~v.between(1, 5), F.lit(f"{f} out of range")) for f, v in zip(fields, values)]
     error = F.when(~F.coalesce(known, F.lit(False)), F.lit("invalid json")).otherwise(F.coalesce(*problems))

@@ -28,7 +28,7 @@ def merge_windows(windows: DataFrame, segments: DataFrame) -> DataFrame:
     ordered by start, window and position."""
     after = Window.partitionBy("episode_id").orderBy("window_index")
     w = windows.select("episode_id", "window_index", F.col("start_time").alias("offset"), F.lead("start_time").over(after).alias("next"))
-    s = segments.join(w, ["episode_id", "window_index"])
+    s = segments.select("episode_id", "window_index", "position", "start_time", "end_time", "text").join(w, ["episode_id", "window_index"])
     s = s.withColumn("g_start", F.col("start_time") + F.col("offset")).withColumn("g_end", F.col("end_time") + F.col("offset"))
     s = s.filter(F.col("next").isNull() | (F.col("g_start") < F.col("next")))
     s = s.select("episode_id", "window_index", "position", F.bround("g_start", 2).alias("start_time"), F.bround("g_end", 2).alias("end_time"), "text")

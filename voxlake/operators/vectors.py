@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +66,6 @@ def hashed_bag(text: str, size: int = 64) -> list[float]:
 def encode_index(chunks: DataFrame, encoder: Callable[[], Callable[[str], Sequence[float]]] = lambda: hashed_bag) -> DataFrame:
     """Chunks (``episode_id, chunk_index, text, ...``) with ``embedding_id`` and
     ``embedding``.  ``encoder`` builds the model once a task."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encoder()

@@ -27,7 +27,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diarization turns: 28 of every 32 seconds, three speakers in rotation."""
     ends = segments(spark, sf_dir).groupBy("episode_id").agg(F.max("end_time").alias("top"))
-    t = ends.select("episode_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("top") / 32).cast("int"))).cast("long").alias("chunk_index"))
+    t = ends.select("episode_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / 32))).alias("chunk_index"))
     start = (F.col("chunk_index") * 32 + F.col("episode_id") % 4).cast("double")
     return t.select(
         "episode_id", "chunk_index", start.alias("start_time"), (start + 28).alias("end_time"),
@@ -57,7 +57,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = load(spark, sf_dir, "documents"), F.col("doc_id")
     return d.select(
         i.alias("episode_id"), F.col("text").alias("full_text"), F.col("lang").alias("language"), F.col("source").alias("model_used"),
-        (-(i % 100).cast("double") / 100).alias("avg_logprob"), ((i * 37) % 9000).alias("duration_seconds"),
+        ((-(i % 100)).cast("double") / 100).alias("avg_logprob"), ((i * 37) % 9000).alias("duration_seconds"),
     )
 
 
@@ -75,7 +75,7 @@ CTES = {
   CASE WHEN doc_id % 17 <> 0 THEN 'https://img.example/' || doc_id ELSE '' END AS image_url,
   doc_id % 10 <> 0 AS downloaded, doc_id % 10 <> 0 AND doc_id % 7 <> 0 AS transcribed, doc_id % 10 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0 AS diarized FROM documents))""",
     "v_transcripts": """v_transcripts AS (SELECT doc_id AS episode_id, text AS full_text, lang AS language, source AS model_used,
-  -CAST(doc_id % 100 AS DOUBLE) / 100 AS avg_logprob, (doc_id * 37) % 9000 AS duration_seconds FROM documents)""",
+  CAST(-(doc_id % 100) AS DOUBLE) / 100 AS avg_logprob, (doc_id * 37) % 9000 AS duration_seconds FROM documents)""",
 }
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample that the trees are fitted on.
 FIT_ROWS = 50_000
+#: Tasks that hold the sample, which is bounded.
+FIT_TASKS = 8
 #: Hash buckets by which the sample is drawn.
 _BUCKETS = 1 << 20
 
@@ -119,7 +121,7 @@ def judge_urls(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS, trees: i
         sample = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(_BUCKETS)) < share)
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         trainer = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=7, labelCol="label", featuresCol="features")
-        model = trainer.fit(vectors.transform(with_rates(sample)).select("features", "label"))
+        model = trainer.fit(vectors.transform(with_rates(sample)).select("features", "label").coalesce(FIT_TASKS))
         scored = model.transform(vectors.transform(with_rates(df)))
         judged = scored.withColumn("p_block", vector_to_array("probability")[1])
     verdict = F.coalesce("listed", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, pieces
+from .common import all_columns, id_text, pieces
 
 #: Items of an index shard, which bounds what is sent to the executors at once.
 SHARD = 5_000
@@ -219,4 +219,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id leaks no item, all columns kept."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(all_columns(docs))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, id_text, pieces, shared_table
+from .common import all_columns, drop_table, id_text, pieces, shared_table
 from .tokens import _Cache
 
 ROWS, BANDS, STEP = 4, 24, 16
@@ -341,6 +341,6 @@ def one_per_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     All columns are kept."""
     classes = join_classes(docs.filter("doc_id is not null"), threshold)
     losers = classes.filter("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(losers, "doc_id", "left_anti").select(all_columns(docs))
     named, unnamed = kept.filter("doc_id is not null"), kept.filter("doc_id is null")
     return named.dropDuplicates(["doc_id"]).unionByName(unnamed)

@@ -322,8 +322,9 @@ def join_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
     the number of other such texts whose shingle sets have a Jaccard similarity of
     ``threshold`` or more, and ``class_id`` the least doc_id connected by copies and
     links.  Texts without words (null, empty) are copies of each other and have no
-    links; texts of one to four words are one shingle; rows with a null doc_id get null
-    ids only if all copies have one; repeated rows come back each; an empty table gives
+    links; texts of one to four words are one shingle; rows with a null doc_id belong to
+    their copies' class, and a text without any doc_id has null ids and no links; repeated
+    rows come back each; an empty table gives
     an empty result."""
     members, found = links(docs, threshold, tolerance)
     tops = components(found.select("node", "root"))

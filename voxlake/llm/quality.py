@@ -202,11 +202,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, all columns kept."""
     model = fit(docs, labels)
+    # By place: what the columns are called, dots included, does not matter here.
+    text = docs.columns.index("text")
+    placed = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            stats = np.stack([statistics(t or "") for t in texts]).astype(np.float64)
+            stats = np.stack([statistics(t or "") for t in b.column(text).to_pylist()]).astype(np.float64)
             yield b.filter(pa.array(model.score(stats) >= LIMIT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)

@@ -189,3 +189,33 @@ def test_stream_insert_is_idempotent(spark, tmp_path):
         s = ingest.episode_stream(spark, str(tmp_path / "in"), "id string, v int")
         ingest.insert_stream(s, str(tmp_path / "out"), str(tmp_path / f"cp{n}")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_store(spark, tmp_path):
+    from voxlake.schemas import Store
+
+    store = Store(spark, str(tmp_path)).create().create()
+    row = spark.createDataFrame([("a",)], "id string")
+    for c in store.read("episodes").schema:
+        if c.name != "id":
+            row = row.withColumn(c.name, F.lit(None).cast(c.dataType))
+    store.append("episodes", row)
+    store.views()
+    assert spark.sql("SELECT count(*) FROM episodes").first()[0] == 1 and store.read("vectors").count() == 0
+
+
+def test_hooks(spark):
+    from voxlake.sources import audio
+
+    e = spark.createDataFrame([("1", "A", "u"), ("2", "B", None), ("3", "C", "bad"), ("4", "D", "u")], "id string, title string, audio_url string")
+
+    def fetch(url, name):
+        if url == "bad":
+            raise OSError("gone")
+        return 1
+
+    there = spark.createDataFrame([("/x/D.mp3",)], "path string")
+    got = {r.id: (r.ok, r.error) for r in audio.download(e, fetch, there).collect()}
+    assert got == {"1": (True, None), "2": (False, "no url"), "3": (False, "gone")}
+    out = audio.apply_model(e, "id", "title", lambda: str.lower).collect()
+    assert sorted(r.output for r in out) == ["a", "b", "c", "d"]

@@ -467,7 +467,7 @@ def rag_answer(spark, sf_dir):
     return rag.answers(q, _chunks_found(spark, sf_dir), min_similarity=0.35)
 
 
-@query(f"""WITH {_TOPK}, {_CHUNK_OF}, c AS (SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM got WHERE query_id % 3 <> 0 GROUP BY 1)
+@query(f"""WITH {_TOPK}, {_CHUNK_OF}, c AS (SELECT query_id, string_agg('[' || k || '] ' || text, chr(10) || chr(10) ORDER BY k) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM got) WHERE query_id % 3 <> 0 GROUP BY 1)
 SELECT vec_id AS query_id, 'QUESTION:' || chr(10) || 'q' || vec_id || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || coalesce(context, '(no context retrieved)') || chr(10) || chr(10) || 'ANSWER:' || chr(10) || 'a' || chr(10) || chr(10) || 'REFERENCE_ANSWER:' || chr(10) || 'r' AS prompt
 FROM embeddings e LEFT JOIN c ON c.query_id = e.vec_id WHERE vec_id < 10""")
 def judge_prompts(spark, sf_dir):

@@ -1,0 +1,12 @@
+"""Queries that once ran over a part of their input run over all of it."""
+
+from voxlake.operators import chunking
+from voxlake.plans import catalog
+
+
+def test_index_holds_every_chunk(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = {(r.doc_id, k): r.text[a:z] for r in docs.filter("text is not null").collect() for k, (a, z, _) in enumerate(chunking.split(r.text))}
+    got = catalog.QUERIES["encode_index"](spark, small).collect()
+    assert {(r.episode_id, r.chunk_index): r.text for r in got} == want and len(got) == len(want)
+    assert all(r.embedding_id == f"{r.episode_id}_{r.chunk_index}" and len(r.embedding) == 64 for r in got)

@@ -527,7 +527,11 @@ def episode_chunks(spark, sf_dir):
 
 @query()
 def encode_index(spark, sf_dir):
-    c = _chunks_found(spark, sf_dir).select("episode_id", "chunk_index", "start_time", (F.col("start_time") + 30).alias("end_time"), F.array(F.lit("SPEAKER_00")).alias("speakers"), F.length("text").alias("token_count"), "text").distinct()
+    """Every chunk of every document, its whole text encoded; 16 characters a second, as in ``segments``."""
+    t = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("episode_id"), F.col("text").alias("full_text"))
+    c = chunking.chunk_texts(t).select(
+        "episode_id", "chunk_index", (F.col("start_char") / 16.0).alias("start_time"), (F.col("end_char") / 16.0).alias("end_time"), F.array(F.lit("SPEAKER_00")).alias("speakers"), "token_count", "text",
+    )
     return vectors.encode_index(vectors.with_metadata(c, episodes(spark, sf_dir)))
 
 

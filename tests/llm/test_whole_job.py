@@ -2,7 +2,7 @@
 
 import random
 
-from voxlake.llm import pii
+from voxlake.llm import decontaminate, jaccard_join, pii
 
 
 def test_trees_add_spelt_out_and_national_forms(spark):
@@ -22,3 +22,15 @@ def test_trees_add_spelt_out_and_national_forms(spark):
     for k in range(0, 600, 2):
         at = texts[k].index("2023-10-")
         assert not any(int(s.split(":")[1]) <= at < int(s.split(":")[2]) for s in got[k].spans.split(",") if s)
+
+
+def test_stages_decide_by_row(spark):
+    words = lambda a: " ".join(f"{a}{k}" for k in range(60))
+    a, b, c, d = (words(x) for x in "abcd")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, b), (5, c), (5, d), (None, d), (None, d), (None, words("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in jaccard_join.one_per_class(df).collect())
+    assert kept == sorted([(1, a), (2, b), (5, c), (5, d), (0, words("e"))])
+    item = spark.createDataFrame([("i", b)], "item_id string, text string")
+    left = sorted((r.doc_id or 0, r.text) for r in decontaminate.drop_leaks(spark.createDataFrame([(1, a), (2, b), (2, c), (None, b), (None, d)], df.schema), item).collect())
+    assert left == sorted([(1, a), (2, c), (0, d)])

@@ -218,5 +218,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id leaks no item, all columns kept."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(all_columns(docs))
+    """The rows of ``docs`` whose text leaks no item, whatever their doc_id; all columns
+    kept."""
+    key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    leaking = leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("key")).distinct()
+    keyed = docs.select(F.struct(*all_columns(docs)).alias("own"), key.alias("key"))
+    return keyed.join(leaking, "key", "left_anti").select([F.col("own").getField(c).alias(c) for c in docs.columns])

@@ -337,11 +337,12 @@ def join_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
 
 
 def one_per_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each class: that of the least doc_id, the first text of
-    it where a doc_id has several.  Rows with a null doc_id stay, as nothing names them.
-    All columns are kept."""
-    classes = join_classes(docs.filter("doc_id is not null"), threshold)
-    losers = classes.filter("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(all_columns(docs))
-    named, unnamed = kept.filter("doc_id is not null"), kept.filter("doc_id is null")
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)
+    """``docs`` with one row of each class: that of the least doc_id, null ids last, and
+    the first of its rows where it has several.  Classes are of rows, so other texts of
+    the same doc_id, or of none, are judged by themselves.  All columns are kept."""
+    keyed = shared_table(docs.select(F.struct(*all_columns(docs)).alias("own"), F.monotonically_increasing_id().alias("row")), "jaccard-rows")
+    rows = keyed.select(F.col("row").alias("doc_id"), F.col("own.text").alias("text"))
+    classes = join_classes(rows, threshold).select(F.col("doc_id").alias("row"), "class_id")
+    order = F.struct(F.col("own.doc_id").isNull().alias("unnamed"), F.col("own.doc_id").alias("doc_id"), F.col("row").alias("row"))
+    best = keyed.select("row", order.alias("o")).join(classes, "row").groupBy("class_id").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
+    return keyed.join(best, "row", "left_semi").select([F.col("own").getField(c).alias(c) for c in docs.columns])

@@ -1,6 +1,6 @@
 """Queries that once ran over a part of their input run over all of it."""
 
-from voxlake.operators import chunking
+from voxlake.operators import chunking, vectors
 from voxlake.plans import catalog
 
 
@@ -10,3 +10,12 @@ def test_index_holds_every_chunk(spark, small):
     got = catalog.QUERIES["encode_index"](spark, small).collect()
     assert {(r.episode_id, r.chunk_index): r.text for r in got} == want and len(got) == len(want)
     assert all(r.embedding_id == f"{r.episode_id}_{r.chunk_index}" and len(r.embedding) == 64 for r in got)
+
+
+def test_search_of_every_20th_vector(spark, small, monkeypatch):
+    n = spark.read.parquet(f"{small}/embeddings.parquet").filter("vec_id % 20 = 0").count()
+    got = sorted(map(tuple, catalog.QUERIES["retrieval_topk_batch_whole"](spark, small).collect()))
+    assert len(got) == 10 * n
+    plain = vectors.batch_search
+    monkeypatch.setattr(vectors, "batch_search", lambda v, q, k: plain(v, q, k, broadcast_rows=0))
+    assert sorted(map(tuple, catalog.QUERIES["retrieval_topk_batch_whole"](spark, small).collect())) == got

@@ -40,8 +40,9 @@ def batch_search(vectors: DataFrame, queries: DataFrame, n: Column | int = 10, b
         pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
     else:
         cells = 16
-        q = q.withColumn("q_cell", F.pmod(F.xxhash64("query_id"), F.lit(cells))).withColumn("v_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("long"))
-        v = v.withColumn("v_cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells))).withColumn("q_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("long"))
+        every = F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))
+        q = q.withColumn("q_cell", F.pmod(F.xxhash64("query_id"), F.lit(cells))).withColumn("v_cell", F.explode(every))
+        v = v.withColumn("v_cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells))).withColumn("q_cell", F.explode(every))
         pairs = v.join(q, ["q_cell", "v_cell"]).filter(F.col("vec_id") != F.col("query_id"))
     similarity = F.round(F.try_divide(dot(F.col("embedding"), F.col("query")), F.col("v_norm") * F.col("q_norm")), 6)
     scored = pairs.withColumn("similarity", similarity)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,16 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
     return add
 
 
+def whole(name: str, run: Query, *swaps: tuple[str, str]) -> None:
+    """Register ``name_whole``, ``name`` over its whole input; its SQL twin is that of
+    ``name`` with the cuts swapped.  ``name`` and its SQL stay as they are."""
+    sql = SQL[name]
+    for old, new in swaps:
+        assert old in sql
+        sql = sql.replace(old, new)
+    QUERIES[name + "_whole"], SQL[name + "_whole"] = run, sql
+
+
 # --- Time alignment ---------------------------------------------------------------
 
 _PAIRS = """pairs AS (SELECT t.episode_id, t.chunk_index, s.segment_index, s.start_time AS segment_start, s.text AS segment_text,
@@ -363,20 +374,24 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, a.label AS query_label, b.label, ro
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM s)"""
 
 
-def _ranked(spark, sf_dir, n=10) -> DataFrame:
+#: Queries of a batch search: the first ten, and every 20th vector.
+FIRST_TEN, EVERY_20TH = "vec_id < 10", "vec_id % 20 = 0"
+
+
+def _ranked(spark, sf_dir, n=10, which=FIRST_TEN) -> DataFrame:
     v = load(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
+    q = v.filter(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
     return vectors.batch_search(v, q, n)
 
 
 @query(f"WITH {_TOPK}\nSELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 10")
-def retrieval_topk_batch(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("query_id", "vec_id", "similarity", "rank")
+def retrieval_topk_batch(spark, sf_dir, which=FIRST_TEN):
+    return _ranked(spark, sf_dir, which=which).select("query_id", "vec_id", "similarity", "rank")
 
 
 @query(f"WITH {_TOPK}\nSELECT query_id, vec_id, rank FROM r WHERE rank <= greatest(10, query_label * 3)")
-def retrieval_topk_adaptive(spark, sf_dir):
-    return _ranked(spark, sf_dir, F.greatest(F.lit(10), F.col("query_label") * 3)).select("query_id", "vec_id", "rank")
+def retrieval_topk_adaptive(spark, sf_dir, which=FIRST_TEN):
+    return _ranked(spark, sf_dir, F.greatest(F.lit(10), F.col("query_label") * 3), which).select("query_id", "vec_id", "rank")
 
 
 def _query_vector(spark, sf_dir) -> list[float]:
@@ -400,27 +415,31 @@ p AS (SELECT e.*, count(*) FILTER (WHERE r.rank <= least(10, e.expected) AND lab
 m AS (SELECT query_id, round_even(hits / 10, 4) AS precision, round_even(hits / expected, 4) AS recall, round_even(coalesce(1 / first, 0.0), 4) AS mrr, round_even(r_hits / expected, 4) AS r_precision FROM p WHERE expected > 0)"""
 
 
-def _runs(spark, sf_dir) -> DataFrame:
+def _runs(spark, sf_dir, which=FIRST_TEN) -> DataFrame:
     v = load(spark, sf_dir, "embeddings")
-    found = _ranked(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("l")).select("query_id", F.transform("l", lambda x: x["vec_id"]).alias("retrieved"))
-    q = v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    found = _ranked(spark, sf_dir, which=which).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("l")).select("query_id", F.transform("l", lambda x: x["vec_id"]).alias("retrieved"))
+    q = v.filter(which).select(F.col("vec_id").alias("query_id"), "label")
     expected = q.join(v.select("vec_id", "label"), "label").filter("vec_id <> query_id").groupBy("query_id").agg(F.collect_list("vec_id").alias("expected"))
     return found.join(expected, "query_id")
 
 
 @query(f"WITH {_EVAL}\nSELECT * FROM m")
-def retrieval_scores(spark, sf_dir):
-    return metrics.evaluate(_runs(spark, sf_dir))
+def retrieval_scores(spark, sf_dir, which=FIRST_TEN):
+    return metrics.evaluate(_runs(spark, sf_dir, which))
 
 
 @query(f"WITH {_EVAL}\nSELECT count(*) AS queries, round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall, round(avg(mrr), 6) AS avg_mrr, round(avg(r_precision), 6) AS avg_r_precision FROM m")
-def retrieval_eval(spark, sf_dir):
-    return metrics.averages(metrics.evaluate(_runs(spark, sf_dir)))
+def retrieval_eval(spark, sf_dir, which=FIRST_TEN):
+    return metrics.averages(metrics.evaluate(_runs(spark, sf_dir, which)))
 
 
 @query(f"WITH {_TOPK}\nSELECT CASE WHEN similarity >= 0.65 THEN 'green' WHEN similarity >= 0.55 THEN 'yellow' ELSE 'red' END AS band, count(*) AS n FROM r WHERE rank <= 10 GROUP BY 1")
-def similarity_bands(spark, sf_dir):
-    return _ranked(spark, sf_dir).groupBy(tx.similarity_band(F.col("similarity")).alias("band")).agg(F.count("*").alias("n"))
+def similarity_bands(spark, sf_dir, which=FIRST_TEN):
+    return _ranked(spark, sf_dir, which=which).groupBy(tx.similarity_band(F.col("similarity")).alias("band")).agg(F.count("*").alias("n"))
+
+
+for _f in (retrieval_topk_batch, retrieval_topk_adaptive, retrieval_scores, retrieval_eval, similarity_bands):
+    whole(_f.__name__, partial(_f, which=EVERY_20TH), (FIRST_TEN, EVERY_20TH))
 
 
 @query("""SELECT count(a.id) AS in_rows, count(b.id) AS in_vectors, count(*) FILTER (WHERE b.id IS NULL) AS only_rows, count(*) FILTER (WHERE a.id IS NULL) AS only_vectors, count(a.id) = count(b.id) AS consistent

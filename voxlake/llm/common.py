@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Most keys that :func:`heavy_join` broadcasts.
+HEAVY_KEYS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,19 @@ def drop_table(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def heavy_join(left: DataFrame, right: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has each key once and, as
+    ``count``, the rows that ``left`` has of it; ``left`` has ``total`` rows or fewer.
+
+    Keys of more than ``total / HEAVY_KEYS`` rows are at most ``HEAVY_KEYS``, whatever
+    the data: these are broadcast, so that the rows of a key stay spread over all tasks.
+    The rows of all other keys are joined by shuffle."""
+    least = max(1_000, -(-total // HEAVY_KEYS))
+    heavy = F.broadcast(right.filter(F.col(count) > least))
+    light = left.join(heavy.select(*key), key, "left_anti").join(right.filter(F.col(count) <= least), key)
+    return left.join(heavy, key).unionByName(light)
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` only, a null text as the empty text.  Other columns,
     whatever their names, never reach an operator."""

@@ -9,7 +9,9 @@
    as soon as the posterior probability that its similarity reaches the threshold falls
    below the tolerance (uniform prior).  A pair is treated in the first band it shares.
 4. What is left is verified exactly on the shingle sets, which are built again only for
-   the nodes concerned.
+   the nodes concerned.  A group whose sets have more than ``SHINGLES`` shingles is cut
+   into parts, and each pair of parts is a group of its own, so that what a task holds is
+   bounded by shingles and not by texts.
 
 A pair of similarity 0.8 misses all 24 bands with a probability of 3e-6.
 """
@@ -26,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_columns, drop_table, id_text, pieces, shared_table
+from .common import all_columns, drop_table, heavy_join, id_text, pieces, shared_table
 from .tokens import _Cache
 
 ROWS, BANDS, STEP = 4, 24, 16
 VALUES = ROWS * BANDS
 BLOCK = 256
+#: Shingles of one part of a group to verify (a longer text is a part by itself), and
+#: postings that are intersected at once.
+SHINGLES, POSTINGS = 2_000_000, 500_000
 #: Ids up to which the nodes to verify are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -165,25 +170,56 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the pairs, by products of 0/1 matrices over the
-    shingles that at least two of the sets have, a slice of them at a time."""
-    names, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, where, counts = np.unique(names, return_inverse=True, return_counts=True)
-    if len(a) <= 8:
+    """Sizes of the intersections of the pairs.
+
+    A few pairs are intersected one by one.  Many are counted by products of 0/1 matrices
+    over the shingles that at least two sets have; as the sets are sorted, a range of hash
+    values is a slice of each, and one range is held at a time."""
+    if len(a) <= 2 * len(sets):
         return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], np.int64)
-    shared = counts > 1
-    column = np.cumsum(shared) - 1
-    use = shared[where]
-    rows, cols = owner[use], column[where[use]]
+    ranges = -(-sum(map(len, sets)) // POSTINGS)
+    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
     total = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(shared.sum()), 8192):
-        inside = (cols >= at) & (cols < at + 8192)
-        m = np.zeros((len(sets), 8192), np.float32)
-        m[rows[inside], cols[inside] - at] = 1
-        total += m @ m.T
+    for k in range(ranges):
+        parts = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)]
+        names = np.concatenate(parts)
+        order = np.argsort(names)
+        owner = np.repeat(np.arange(len(sets)), list(map(len, parts)))[order]
+        names = names[order]
+        fresh = np.concatenate([[True], names[1:] != names[:-1]]) if len(names) else np.zeros(0, bool)
+        column = np.cumsum(fresh) - 1
+        often = np.bincount(column) > 1
+        use = often[column]
+        owner, column = owner[use], (np.cumsum(often) - 1)[column[use]]
+        width = int(column[-1]) + 1 if len(column) else 0
+        for at in range(0, width, 4096):
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[owner[lo:hi], column[lo:hi] - at] = 1
+            total += m @ m.T
     return total[a, b].astype(np.int64)
 
 
+def _parted(side: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``number, nodes, side`` of the groups in which the pairs ``a, b`` of one group are
+    verified: its nodes, in parts of ``SHINGLES`` shingles, pair of parts by pair."""
+    part = np.zeros(len(side), np.int64)
+    for own in (0, 1):
+        of = np.flatnonzero(side == own)
+        part[of] = np.cumsum(size[of]) // SHINGLES * 2 + own
+    p, q = np.minimum(part[a], part[b]), np.maximum(part[a], part[b])
+    low, high = np.where(part[a] <= part[b], a, b), np.where(part[a] <= part[b], b, a)
+    for number, pair in enumerate(sorted(set(zip(p.tolist(), q.tolist())))):
+        here = (p == pair[0]) & (q == pair[1])
+        if pair[0] == pair[1]:
+            nodes = np.unique(np.concatenate([low[here], high[here]]))
+            yield number, nodes, np.zeros(len(nodes), np.int32)
+        else:
+            one, two = np.unique(low[here]), np.unique(high[here])
+            yield number, np.concatenate([one, two]), np.repeat(np.array([0, 1], np.int32), [len(one), len(two)])
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     root = list(range(n))
 
@@ -222,7 +258,7 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
     kind = df.schema["doc_id"].dataType.simpleString()
     signed = shared_table(df.mapInArrow(sign, f"doc_id {kind}, node binary, size int, vals binary"), "jaccard-signed")
     members = signed.select("doc_id", "node")
-    nodes = signed.filter("size > 0").groupBy("node").agg(F.first("vals").alias("vals"), F.min("doc_id").alias("first_id"))
+    nodes = signed.filter("size > 0").groupBy("node").agg(F.first("vals").alias("vals"), F.first("size").alias("size"), F.min("doc_id").alias("first_id"))
     nodes = shared_table(nodes, "jaccard-nodes")
 
     bands = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.expr("vals").substr(k * 8 + 1, F.lit(8)))).alias("band", "key"))
@@ -231,7 +267,7 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     meet = (
-        bands.join(sizes, ["band", "key"])
+        heavy_join(bands, sizes, ["band", "key"], "m", nodes.count() * BANDS)
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -242,16 +278,19 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
             "node",
         )
     )
-    meet = meet.join(nodes.select("node", "vals"), "node").select("g", "band", "side", "node", "vals")
+    meet = meet.join(nodes.select("node", "size", "vals"), "node").select("g", "band", "side", "node", "size", "vals")
 
     def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            a, b = candidate_pairs(_matrix(t.column("vals")), t.column("side").to_numpy(), t.column("band").to_numpy(), keep)
-            if len(a):
-                yield from t.take(np.unique(np.concatenate([a, b]))).to_batches()
+            side, size = t.column("side").to_numpy(), t.column("size").to_numpy()
+            a, b = candidate_pairs(_matrix(t.column("vals")), side, t.column("band").to_numpy(), keep)
+            for number, who, own in _parted(side, size, a, b):
+                took = t.take(who)
+                took = took.append_column("part", pa.array(np.full(len(who), number, np.int32))).set_column(2, "side", pa.array(own))
+                yield from took.select(["g", "part", "band", "side", "node", "vals"]).to_batches()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "g long, band int, side int, node binary, vals binary"
+    schema = "g long, part int, band int, side int, node binary, vals binary"
     left = shared_table(meet.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(survive, schema), "jaccard-left")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +312,7 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
             a, b = candidate_pairs(_matrix(t.column("vals")), t.column("side").to_numpy(), t.column("band").to_numpy(), keep)
             if not len(a):
                 continue
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
             sizes = np.array([len(s) for s in sets])
             both = _overlaps(sets, a, b)
             ok = both >= threshold * (sizes[a] + sizes[b] - both) - 1e-9
@@ -285,7 +324,7 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
             who = np.flatnonzero(count).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in who], pa.binary()), pa.array(count[who], pa.int64()), pa.array([names[root[k]] for k in who], pa.binary())], names=["node", "n_links", "root"])
 
-    ready = left.join(sets, "node").select("g", "band", "side", "node", "vals", "shingles")
+    ready = left.join(sets, "node").select(F.xxhash64("g", "part").alias("g"), "band", "side", "node", "vals", "shingles")
     found = ready.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(verify, "node binary, n_links long, root binary")
     found = shared_table(found, "jaccard-found")
     for used in (left, wanted, nodes):
@@ -301,8 +340,8 @@ def components(edges: DataFrame) -> DataFrame:
     size = edges.count()
     while size:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = heavy_join(both, least, ["u"], "n", 2 * size).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = shared_table(small.select("e.u", "e.v").filter("u <> v").distinct(), "components")
@@ -329,11 +368,14 @@ def join_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
     members, found = links(docs, threshold, tolerance)
     tops = components(found.select("node", "root"))
     per_node = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    copies = members.groupBy("node").agg(F.min("doc_id").alias("copy_of"))
+    copies = members.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"))
     nodes = copies.join(per_node, "node", "left").join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    classes = nodes.groupBy("top").agg(F.min("copy_of").alias("class_id"))
-    nodes = nodes.join(classes, "top").select("node", "class_id", "copy_of", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return members.join(nodes, "node").select("doc_id", "class_id", "copy_of", "n_links")
+    nodes = shared_table(nodes, "jaccard-copies")
+    classes = nodes.groupBy("top").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("k"))
+    rows = members.count()
+    nodes = heavy_join(nodes, classes, ["top"], "k", rows).select("node", "class_id", "copy_of", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nodes = shared_table(nodes, "jaccard-classes")
+    return heavy_join(members, nodes, ["node"], "n", rows).select("doc_id", "class_id", "copy_of", "n_links")
 
 
 def one_per_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

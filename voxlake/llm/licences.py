@@ -1,26 +1,28 @@
 """Licence scans with built-in functions only.
 
-A template is a notice of at least five words.  Every text is read as overlapping
-windows of shingles (five words), as long as the template.  A window and a template are
-compared by ``BANDS`` MinHash values of one row each: where a window holds 80 % of the
-template their similarity is at least 2/3, and they miss each other in all 16 bands
-with a probability below 3e-8.  A window that is retrieved is verified exactly: the
-share of the template's shingles that it holds.
+Every text is read as overlapping windows of shingles (five words; a notice of fewer
+words is one shingle), as long as the template.  A window and a template are compared by
+``BANDS`` MinHash values of one row each: where a window holds 80 % of the template their
+similarity is at least 2/3, and they miss each other in all 16 bands with a probability
+below 3e-8.  A window that is retrieved is verified exactly: the share of the template's
+shingles that it holds.
 
 A band value of a window can equal the template's only if the window holds the very
 shingle that gives the template its value.  These shingles, one per template and band,
 are looked for first, and windows are only built around them; no other window could
 share a band.
+
+A text is scanned where it is read.  Its shingle hashes are kept once, windows are slices
+of them, and only the best window of a template leaves the row: work and memory are
+linear in the words of a text, however often it repeats a notice.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, let, shared_table
+from .common import id_text, let
 
 SHINGLE, BANDS = 5, 16
 
@@ -35,6 +37,7 @@ TEMPLATES = (
     ("bsd-terms", "BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("gpl-header", "GPL", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("mpl-header", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("rights-reserved", "All-Rights-Reserved", "All rights reserved."),
     ("cc-by-sa-line", "CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
 )
 
@@ -45,83 +48,96 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
 
 
-def _shingle_text(words: Column, k: Column) -> Column:
-    return F.array_join(F.slice(words, k + 1, SHINGLE), " ")
-
-
-def _hash(words: Column, k: Column) -> Column:
-    return F.xxhash64(*[F.get(words, k + j) for j in range(SHINGLE)])
-
+def _shingle_text(words: Column, k: Column, width: int) -> Column:
+    return F.array_join(F.slice(words, k + 1, width), " ")
 
-def _positions(words: Column) -> Column:
-    return F.sequence(F.lit(0), F.size(words) - SHINGLE)
 
+def _positions(words: Column, width: int) -> Column:
+    none = F.array().cast("array<int>")
+    return F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width)).otherwise(none)
 
-def _least(hashes, band: int, keep: bool = False) -> Column:
-    """The MinHash value of a band, with the shingle hash behind it if asked for."""
 
-    def value(h: Column) -> Column:
-        v = F.xxhash64(h, F.lit(band))
-        return F.struct(v.alias("value"), h.alias("hash")) if keep else v
-
-    return F.array_min(F.transform(hashes, value))
+def _hashes(words: Column, width: int) -> Column:
+    return F.transform(_positions(words, width), lambda k: F.xxhash64(*[F.get(words, k + j) for j in range(width)]))
 
 
 def template_table(spark, templates=TEMPLATES) -> DataFrame:
-    """One row per template: its length in shingles, shingle texts and band values with
-    the shingle hash behind each.  As many rows as ``templates`` has."""
+    """One row per template: the words of its shingles, its length in shingles, shingle
+    texts, and band values with the shingle hash behind each.  As many rows as
+    ``templates`` has; one without words is left out."""
     rows = [F.struct(F.lit(t).alias("template"), F.lit(licence).alias("licence"), F.lit(text).alias("text")) for t, licence, text in templates]
-    df = spark.range(1).select(F.inline(F.array(*rows))).withColumn("words", words_of(F.col("text"))).filter(F.size("words") >= SHINGLE)
-    df = df.withColumn("hashes", F.transform(_positions(F.col("words")), lambda k: _hash(F.col("words"), k)))
-    least = [_least("hashes", j, keep=True) for j in range(BANDS)]
+    df = spark.range(1).select(F.inline(F.array(*rows))).withColumn("words", words_of(F.col("text"))).withColumn("n", F.size("words"))
+    by_width = lambda of: F.coalesce(*[F.when((F.col("n") == w) | (F.col("n") >= w) & F.lit(w == SHINGLE), of(w)) for w in range(1, SHINGLE + 1)])
+    df = df.filter("n > 0").withColumn("hashes", by_width(lambda w: _hashes(F.col("words"), w)))
+    least = lambda j: F.array_min(F.transform("hashes", lambda h: F.struct(F.xxhash64(h, F.lit(j)).alias("value"), h.alias("hash"), F.lit(j).alias("band"))))
     return df.select(
-        "template", "licence", F.size("words").alias("n_words"), F.size("hashes").alias("length"),
-        F.array_distinct(F.transform(_positions(F.col("words")), lambda k: _shingle_text(F.col("words"), k))).alias("shingles"),
-        F.array(*least).alias("bands"),
+        "template", "licence", F.least("n", F.lit(SHINGLE)).alias("width"), F.size("hashes").alias("length"),
+        F.array_distinct(by_width(lambda w: F.transform(_positions(F.col("words"), w), lambda k: _shingle_text(F.col("words"), k, w)))).alias("shingles"),
+        F.array(*[least(j) for j in range(BANDS)]).alias("bands"),
     )
 
 
+def _constant(rows) -> Column:
+    """Template rows as one constant array."""
+    def row(r) -> Column:
+        bands = [F.struct(F.lit(b["value"]).alias("value"), F.lit(b["hash"]).alias("hash"), F.lit(b["band"]).alias("band")) for b in r.bands]
+        return F.struct(
+            F.lit(r.template).alias("template"), F.lit(r.licence).alias("licence"), F.lit(r.length).alias("length"),
+            F.array(*map(F.lit, r.shingles)).alias("shingles"), F.array(*bands).alias("bands"),
+        )
+
+    return F.array(*map(row, rows))
+
+
+def _matches(words: Column, width: int, rows, threshold: float, text: Column) -> Column:
+    """The best window of every template of ``rows``, all of one shingle width, as
+    ``(template, licence, text_id, containment, start, end)``."""
+    anchors = sorted({b["hash"] for r in rows for b in r.bands})
+
+    def shares_band(bands: Column, window: Column) -> Column:
+        least = lambda b: F.array_min(F.transform(window, lambda h: F.xxhash64(h, b["band"])))
+        return F.exists(bands, lambda b: F.array_contains(window, b["hash"]) & (least(b) == b["value"]))
+
+    def of_template(t: Column, hashes: Column, hits: Column) -> Column:
+        own = F.filter(hits, lambda k: F.exists(t["bands"], lambda b: b["hash"] == F.get(hashes, k)))
+        starts = F.array_distinct(F.flatten(F.transform(own, lambda k: F.sequence(F.greatest(k - t["length"] + 1, F.lit(0)), k))))
+
+        def window(start: Column) -> Column:
+            end = F.least(start + t["length"], F.size(hashes)) - 1
+            held = F.array_intersect(t["shingles"], F.transform(F.sequence(start, end), lambda k: _shingle_text(words, k, width)))
+            found = F.struct((F.size(held) / F.size(t["shingles"])).alias("containment"), start.alias("start"), (end + width).alias("end"))
+            return let(F.slice(hashes, start + 1, t["length"]), lambda w: F.when(shares_band(t["bands"], w), found))
+
+        return F.array_max(F.transform(starts, window))
+
+    def of_text(hashes: Column) -> Column:
+        def found(hits: Column) -> Column:
+            best = F.transform(_constant(rows), lambda t: F.struct(t["template"].alias("template"), t["licence"].alias("licence"), F.md5(text).alias("text_id"), of_template(t, hashes, hits).alias("best")))
+            return F.when(F.size(hits) > 0, F.filter(best, lambda m: m["best"]["containment"] >= threshold))
+
+        hits = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda k: F.get(hashes, k).isin(anchors))
+        return F.when(F.size(hashes) > 0, let(hits, found))
+
+    return let(_hashes(words, width), of_text)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """``doc_id, template, licence, containment, start_word, end_word`` for every
     document and template of which some window holds ``threshold``; the window is the
     last of the best ones.
 
-    Null and empty texts, and texts of fewer than five words, match nothing; equal rows
-    are reported once, rows of one doc_id with different texts are scanned each; an
-    empty table gives an empty result.  Texts are scanned in one pass without a shuffle;
-    only the few with a template's band shingle go on."""
-    table = template_table(docs.sparkSession, templates)
-    rows = table.collect()
-    anchors = sorted({b["hash"] for r in rows for b in r.bands})
-    read = let(
-        words_of(F.col("text")),
-        lambda words: F.struct(
-            words.alias("words"),
-            F.when(F.size(words) >= SHINGLE, F.filter(F.transform(_positions(words), lambda k: F.struct(k.alias("at"), _hash(words, k).alias("hash"))), lambda s: s["hash"].isin(anchors))).alias("hits"),
-        ),
-    )
-    found = id_text(docs).select("doc_id", F.md5("text").alias("text_id"), read.alias("read")).filter(F.size("read.hits") > 0)
-    found = found.select("doc_id", "text_id", "read.words", "read.hits")
-    found = shared_table(found, "licence-hits")
-    last = F.size("words") - SHINGLE
-    by_anchor = table.select("template", "licence", "length", "shingles", F.col("bands.value").alias("values"), F.explode(F.array_distinct(F.col("bands.hash"))).alias("hash"))
-    starts = (
-        found.select("doc_id", "text_id", last.alias("last"), F.inline("hits"))
-        .join(F.broadcast(by_anchor.select("template", "length", "hash")), "hash")
-        .select("doc_id", "text_id", "template", F.explode(F.sequence(F.greatest(F.col("at") - F.col("length") + 1, F.lit(0)), F.col("at"))).alias("start"))
-        .distinct()
-    )
-    whole = table.select("template", "licence", "length", "shingles", F.col("bands.value").alias("values"))
-    texts = found.select("text_id", "words").dropDuplicates(["text_id"])
-    windows = starts.join(texts, "text_id").join(F.broadcast(whole), "template")
-    windows = windows.withColumn("end", F.least(F.col("start") + F.col("length") - 1, F.size("words") - SHINGLE))
-    inside = F.sequence("start", "end")
-    same = lambda hashes: reduce(lambda a, b: a | b, [_least(hashes, j) == F.get("values", F.lit(j)) for j in range(BANDS)])
-    retrieved = let(F.transform(inside, lambda k: _hash(F.col("words"), k)), same)
-    held = F.array_intersect("shingles", F.transform(inside, lambda k: _shingle_text(F.col("words"), k)))
-    checked = windows.filter(retrieved).select("doc_id", "text_id", "template", "licence", "start", "end", (F.size(held) / F.size("shingles")).alias("containment"))
-    best = checked.filter(F.col("containment") >= threshold).groupBy("doc_id", "text_id", "template", "licence").agg(F.max(F.struct("containment", "start", "end")).alias("b"))
-    return best.select("doc_id", "template", "licence", F.round("b.containment", 6).alias("containment"), F.col("b.start").cast("long").alias("start_word"), (F.col("b.end") + SHINGLE).cast("long").alias("end_word"))
+    Null and empty texts, and texts shorter than a template's shingle, match nothing;
+    equal rows are reported once, rows of one doc_id with different texts are scanned
+    each; an empty table gives an empty result.  Texts are scanned in one pass; only the
+    matches are shuffled, to find equal rows."""
+    rows = template_table(docs.sparkSession, templates).collect()
+    df, text = id_text(docs), F.col("text")
+    none = F.array().cast("array<struct<template:string,licence:string,text_id:string,best:struct<containment:double,start:int,end:int>>>")
+    widths = sorted({r.width for r in rows})
+    all_widths = lambda words: F.concat(none, *[F.coalesce(_matches(words, w, [r for r in rows if r.width == w], threshold, text), none) for w in widths])
+    # The outer form keeps the optimiser from scanning twice, for a filter and for its rows.
+    found = df.select("doc_id", F.inline_outer(let(words_of(text), all_widths))).filter("template is not null").distinct()
+    return found.select("doc_id", "template", "licence", F.round("best.containment", 6).alias("containment"), F.col("best.start").cast("long").alias("start_word"), F.col("best.end").cast("long").alias("end_word"))
 
 
 def scan_sql(templates=TEMPLATES, threshold: float = 0.8) -> str:
@@ -130,19 +146,20 @@ def scan_sql(templates=TEMPLATES, threshold: float = 0.8) -> str:
     values = ", ".join(f"({quote(a)}, {quote(b)}, {quote(c)})" for a, b, c in templates)
     split = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
     return f"""
-WITH t AS (SELECT template, licence, {split.format("notice")} AS words FROM (VALUES {values}) v(template, licence, notice)),
-ts AS (SELECT template, licence, len(words) - 4 AS length, array_to_string(words[k:k + 4], ' ') AS shingle
-       FROM t, unnest(range(1, len(words) - 3)) u(k)),
+WITH t0 AS (SELECT template, licence, {split.format("notice")} AS words FROM (VALUES {values}) v(template, licence, notice)),
+t AS (SELECT *, least(len(words), {SHINGLE}) AS width FROM t0 WHERE len(words) > 0),
+ts AS (SELECT template, licence, width, len(words) - width + 1 AS length, array_to_string(words[k:k + width - 1], ' ') AS shingle
+       FROM t, unnest(range(1, len(words) - width + 2)) u(k)),
 tn AS (SELECT template, count(DISTINCT shingle) AS n FROM ts GROUP BY 1),
 d AS (SELECT doc_id, md5(text) AS text_id, {split.format("text")} AS words FROM documents WHERE text IS NOT NULL),
-ds AS (SELECT doc_id, text_id, len(words) AS n_words, k, array_to_string(words[k:k + 4], ' ') AS shingle
-       FROM d, unnest(range(1, len(words) - 3)) u(k)),
-hits AS (SELECT DISTINCT doc_id, text_id, n_words, template, licence, length, k, shingle FROM ds JOIN ts USING (shingle)),
-w AS (SELECT a.doc_id, a.text_id, a.n_words, a.template, a.licence, a.length, a.k, count(DISTINCT b.shingle) AS held
+ds AS (SELECT doc_id, text_id, len(words) AS n_words, width, k, array_to_string(words[k:k + width - 1], ' ') AS shingle
+       FROM d, (SELECT DISTINCT width FROM t) w, unnest(range(1, len(words) - width + 2)) u(k)),
+hits AS (SELECT DISTINCT doc_id, text_id, n_words, template, licence, width, length, k, shingle FROM ds JOIN ts USING (width, shingle)),
+w AS (SELECT a.doc_id, a.text_id, a.n_words, a.template, a.licence, a.width, a.length, a.k, count(DISTINCT b.shingle) AS held
       FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.text_id = b.text_id AND a.template = b.template AND b.k BETWEEN a.k AND a.k + a.length - 1
       GROUP BY ALL),
 c AS (SELECT w.*, held / n AS containment FROM w JOIN tn USING (template) WHERE held / n >= {threshold}),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text_id, template ORDER BY containment DESC, k DESC) AS place FROM c)
 SELECT doc_id, template, licence, round(containment, 6) AS containment, k - 1 AS start_word,
-       least(k - 1 + length - 1, n_words - 5) + 5 AS end_word
+       least(k - 1 + length, n_words - width + 1) - 1 + width AS end_word
 FROM r WHERE place = 1"""

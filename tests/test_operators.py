@@ -16,14 +16,14 @@ SEG = "episode_id string, segment_index int, text string, start_time double, end
 TURN = "episode_id string, chunk_index int, text string, start_time double, end_time double, speaker string"
 
 
-def test_align_fixture(spark):
-    s = spark.createDataFrame([("e", 0, "Hello there.", 0.0, 2.0), ("e", 1, "How are you.", 2.0, 4.5), ("e", 2, "I am fine thanks.", 5.0, 9.0)], SEG)
-    t = spark.createDataFrame([("e", 0, None, 0.0, 4.5, "SPEAKER_00"), ("e", 1, None, 5.0, 9.0, "SPEAKER_01")], TURN)
+def test_turns_take_the_text_of_their_segments(spark):
+    s = spark.createDataFrame([("e", 0, "Rain again today,", 0.5, 3.5), ("e", 1, "so we stay in. ", 3.5, 6.0), ("e", 2, "Bring the lamp over", 7.0, 12.0), ("e", 3, "and close the door.", 12.0, 14.0)], SEG)
+    t = spark.createDataFrame([("e", 0, None, 0.0, 6.5, "X"), ("e", 1, "kept", 6.5, 7.0, "Z"), ("e", 2, None, 7.0, 15.0, "Y")], TURN)
     rows = intervals.align_turns(s, t).orderBy("chunk_index").collect()
-    assert [r.text for r in rows] == ["Hello there. How are you.", "I am fine thanks."]
-    chunks = chunking.chunk_episodes(s, t).collect()
-    assert [c.text for c in chunks] == ["Hello there. How are you. I am fine thanks."]
-    assert (chunks[0].start_time, chunks[0].end_time, chunks[0].speakers) == (0.0, 9.0, ["SPEAKER_00", "SPEAKER_01"])
+    assert [r.text for r in rows] == ["Rain again today, so we stay in.", "kept", "Bring the lamp over and close the door."]
+    c = chunking.chunk_episodes(s, t).first()
+    assert c.text == "Rain again today, so we stay in. Bring the lamp over and close the door."
+    assert (c.start_time, c.end_time, c.speakers) == (0.5, 14.0, ["X", "Y", "Z"])
 
 
 def test_too_little_overlap(spark):
@@ -36,7 +36,49 @@ def test_nearest_speaker(spark):
     s = spark.createDataFrame([("e", 0, "a", 10.0, 12.0), ("e", 1, "b", 20.0, 21.0), ("e", 2, "c", 30.0, 31.0), ("e", 3, "d", 40.0, 42.0)], SEG)
     t = spark.createDataFrame([("e", 0, None, 9.0, 11.0, "A"), ("e", 1, None, 11.0, 13.0, "B"), ("e", 2, None, 23.0, 24.0, "C"), ("e", 3, None, 33.01, 34.0, "D"), ("e", 4, None, 40.0, 42.0, None), ("e", 5, None, 43.0, 44.0, "F")], TURN)
     got = {r.segment_index: r.matched_speaker for r in intervals.speaker_of_segments(s, t).collect()}
-    assert got == {0: "A", 1: "C", 2: None, 3: "F"}
+    assert got == {0: "A", 1: "C", 2: None, 3: None}
+
+
+def test_speaker_of_segments_equals_loop(spark):
+    rng = random.Random(8)
+    turns, segs = [], []
+    for e in range(12):
+        turns += [(f"e{e}", k, None, float(a := rng.randrange(60)), a + rng.randrange(1, 9) / 2, rng.choice(["A", "B", None, ""])) for k in range(12)]
+        segs += [(f"e{e}", k, "t", float(a := rng.randrange(60)), a + rng.randrange(1, 9) / 2) for k in range(20)]
+    got = {(r.episode_id, r.segment_index): r.matched_speaker for r in intervals.speaker_of_segments(spark.createDataFrame(segs, SEG), spark.createDataFrame(turns, TURN)).collect()}
+    for e, k, _, start, end in segs:
+        own = sorted((t for t in turns if t[0] == e), key=lambda t: (t[3], t[1]))
+        by_overlap = sorted(((-(min(end, t[4]) - max(start, t[3])), n) for n, t in enumerate(own) if min(end, t[4]) > max(start, t[3])))
+        name = own[by_overlap[0][1]][5] if by_overlap else None
+        if not name:
+            near = sorted((max(0.0, t[3] - end, start - t[4]), n) for n, t in enumerate(own))
+            name = own[near[0][1]][5] if near and near[0][0] <= 2.0 else None
+        assert got[e, k] == (name or None)
+
+
+def test_times_at_offsets_equal_loop(spark):
+    rng = random.Random(3)
+    offs, ranges = [], []
+    for e in range(6):
+        at = 0
+        for k in range(rng.randrange(0, 15)):
+            n = rng.randrange(1, 30)
+            offs.append((f"e{e}", at, at + n, float(k), k + 0.5))
+            at += n + 1
+        ranges += [(f"e{e}", k, a := rng.randrange(at + 20), a + rng.randrange(40)) for k in range(10)]
+    r = spark.createDataFrame(ranges, "episode_id string, chunk_index int, start_char int, end_char int")
+    o = spark.createDataFrame(offs, "episode_id string, start_char int, end_char int, start_time double, end_time double")
+    got = {(x.episode_id, x.chunk_index): (x.start_time, x.end_time) for x in intervals.times_at_offsets(r, o).collect()}
+    assert len(got) == len(ranges)
+    for e, k, a, z in ranges:
+        own = [x for x in offs if x[0] == e]
+        assert got[e, k] == (next((x[3] for x in own if x[2] >= a), 0.0), next((x[4] for x in reversed(own) if x[1] <= z), 0.0))
+
+
+def test_enrolment_looks_at_the_beginning_only(spark):
+    s = spark.createDataFrame([("e", 0, "this is Ana, hello", 299.0, 301.0), ("e", 1, "i'm Bob, hello", 300.5, 302.0)], SEG)
+    t = spark.createDataFrame([("e", 0, None, 290.0, 299.5, "A"), ("e", 1, None, 300.2, 310.0, "B")], TURN)
+    assert [(r.speaker, r.name) for r in sequence.enroll(s, t).collect()] == [("A", "Ana")]
 
 
 def test_bucketed_interval_join_equals_plain(spark):
@@ -87,12 +129,16 @@ def test_text_offsets(spark):
     assert [(r.start_char, r.end_char) for r in sequence.text_offsets(s).orderBy("start_char").collect()] == [(0, 5), (6, 11)]
 
 
-def test_find_times():
-    a, b = "first segment of this talk, long enough to be found by its text", "second part of the talk, also long enough to be found somewhere"
-    full, offsets = f"{a} {b}", [(0, len(a), 0.0, 3.0), (len(a) + 1, len(a) + 1 + len(b), 3.0, 6.0)]
-    assert chunking.find_times(full[:60], full, offsets)[::2] == (0.0, 60)
-    assert chunking.find_times(b[:40], full, offsets, len(a))[0] == 3.0
-    assert chunking.find_times("word", full, offsets)[2] == 4
+def test_located_chunks(spark):
+    rng = random.Random(6)
+    full = " ".join(rng.choice(["red", "green", "blue", "grey", "pink"]) + str(rng.randrange(50)) for _ in range(900))
+    spans = [(k, min(k + 240, len(full))) for k in range(0, len(full), 200)]
+    rows = [("e", k, full[a:z]) for k, (a, z) in enumerate(spans)] + [("e", 99, "short"), ("e", 100, "nowhere to be found, although it is long"), ("f", 0, "x")]
+    c = spark.createDataFrame(rows, "episode_id string, chunk_index int, text string")
+    got = {(r.episode_id, r.chunk_index): (r.start_char, r.end_char) for r in chunking.located_chunks(c, spark.createDataFrame([("e", full), ("f", "")], "episode_id string, full_text string")).collect()}
+    assert all(got["e", k] == s for k, s in enumerate(spans))
+    end = len(full)
+    assert got["e", 99] == (end, end + 5) and got["e", 100] == (end + 5, end + 45) and got["f", 0] == (0, 1)
 
 
 @given(st.text(alphabet="ab .,!?\n", max_size=400), st.integers(3, 20))
@@ -106,15 +152,45 @@ def test_chunks_cover_text_in_order(text, size):
         assert all(x[1] >= y[0] and x[1] < y[1] for x, y in zip(chunks, chunks[1:]))
 
 
-@pytest.mark.parametrize("retrieved,expected,k,p,r,rr,rp", [
-    ("abcde", "bdxy", 5, 0.4, 0.5, 0.5, 0.5), ("abcde", "e", 3, 0, 0, 0.2, 0), ("a", "a", 0, 0, 0, 1, 1), ("abc", "bxyz", 3, 1 / 3, 0.25, 0.5, 0.25),
-    ("abc", "ab", 3, 2 / 3, 1, 1, 1), ("ab", "", 5, 0, 0, 0, 0), ("abcde", "ax", 5, 0.2, 0.5, 1, 0.5), ("abc", "c", 3, 1 / 3, 1, 1 / 3, 0),
-])
-def test_retrieval_metrics(spark, retrieved, expected, k, p, r, rr, rp):
-    df = spark.createDataFrame([(list(retrieved), list(expected))], "r array<string>, e array<string>")
-    a, b = F.col("r"), F.col("e")
-    got = df.select(metrics.precision_at(a, b, F.lit(k)), metrics.recall_at(a, b, F.lit(k)), metrics.reciprocal_rank(a, b), metrics.r_precision(a, b)).first()
-    assert list(got) == pytest.approx([p, r, rr, rp])
+def test_retrieval_metrics_equal_sets(spark):
+    rng = random.Random(12)
+    cases = [(k, rng.sample("abcdefghij", rng.randrange(8)), rng.sample("abcdefghijklm", rng.randrange(6)), rng.randrange(7)) for k in range(80)]
+    df = spark.createDataFrame(cases, "i int, r array<string>, e array<string>, k int")
+    a, b, n = F.col("r"), F.col("e"), F.col("k")
+    rows = df.select("i", metrics.precision_at(a, b, n), metrics.recall_at(a, b, n), metrics.reciprocal_rank(a, b), metrics.r_precision(a, b)).orderBy("i").collect()
+    safe = lambda x, y: x / y if y else 0.0
+    for (i, found, wanted, k), row in zip(cases, rows):
+        hits = [x in wanted for x in found]
+        first = hits.index(True) + 1 if any(hits) else 0
+        assert list(row)[1:] == pytest.approx([safe(sum(hits[:k]), k), safe(sum(hits[:k]), len(wanted)), safe(1, first), safe(sum(hits[: len(wanted)]), len(wanted))])
+    found = spark.createDataFrame([(i, n + 1, x in e) for i, r, e, _ in cases for n, x in enumerate(r)], "query_id int, rank int, relevant boolean")
+    counts = spark.createDataFrame([(i, len(e)) for i, _, e, _ in cases], "query_id int, expected int")
+    lists = spark.createDataFrame([(i, r, e) for i, r, e, _ in cases if r], "query_id int, retrieved array<string>, expected array<string>")
+    assert sorted(map(tuple, metrics.evaluate_found(found, counts, 5).collect())) == sorted(map(tuple, metrics.evaluate(lists, 5).collect()))
+
+
+def test_context_is_numbered_by_place(spark):
+    c = spark.createDataFrame([(1, 2, "T", 61.0, "b"), (1, 5, "U", 0.0, "c")], "query_id int, rank int, episode_title string, start_time double, text string")
+    text = rag.contexts(c).first().context
+    assert text == "[Excerpt 1]\nEpisode: T\nTime: 01:01\nContent: b\n\n---\n[Excerpt 2]\nEpisode: U\nTime: 00:00\nContent: c\n"
+    prompt = spark.range(1).select(rag.user_prompt(F.lit(None), F.lit("por quê?"), "pt_br").alias("p"), rag.judge_prompt(F.lit("q"), F.array().cast("array<string>"), F.lit("a"), F.lit("r")).alias("j")).first()
+    assert prompt.p == "Trechos disponíveis:\n\nNenhum trecho relevante encontrado.\n\nPergunta: por quê?" and "(no context retrieved)" in prompt.j
+
+
+def test_vote_ties_go_to_the_first_label(spark):
+    v = spark.createDataFrame([("s", "é", 1.0), ("s", "z", 0.5), ("t", "B", 1.0), ("t", "_", 1.0), ("t", "B", 1.0)], "k string, l string, p double")
+    assert {r.k: r.language for r in reports.language_vote(v, "k", "l", "p").collect()} == {"s": "z", "t": "B"}
+
+
+def test_template_without_its_values():
+    assert tx.translate({"a": "{n} sources"}, "a", n=2) == "2 sources" and tx.translate({"a": "{n} sources"}, "a") == "{n} sources"
+    with pytest.raises(KeyError):
+        tx.translate({}, "a")
+
+
+def test_result_line(spark):
+    line = spark.range(1).select(rag.result_line(F.lit(1), F.lit("T"), F.lit(65.0), F.lit(0.51234), F.lit("x" * 400)).alias("l")).first().l
+    assert line == "[1] T @ 01:05 (similarity: 0.512)\n    " + "x" * 300
 
 
 def test_judge(spark):
@@ -147,18 +223,68 @@ def test_feed_and_catalog(spark, tmp_path):
     e = sources.read_feed(spark, str(tmp_path / "feed.xml"))
     got = {r.id: (r.description, r.audio_url, r.duration_seconds, r.explicit) for r in e.collect()}
     assert got == {"1": ("c", "u", 0, "no"), "2": ("s", None, 61, "no")}
+    (tmp_path / "bad.xml").write_text("<rss><item><guid>1</guid><title>A</title></item><item><guid>2</guid><title>B</item></rss>")
+    assert sources.read_feed(spark, str(tmp_path / "bad.xml")).count() == 1 and "<guid>2" in sources.broken_items(spark, str(tmp_path / "bad.xml")).first().item
     again = sources.insert_if_absent(e, e.withColumn("title", F.lit("changed")))
     assert sorted(r.title for r in again.collect()) == ["A", "B"]
     sources.save_catalog(e.select("id", "title"), str(tmp_path / "cat"), "p")
     assert sources.read_catalog(spark, str(tmp_path / "cat"), "id string, title string").count() == 2
+    many = spark.range(1000).select(F.col("id"), F.lit("t").alias("title"))
+    parts = sources.catalog_parts(many, "p", "2024-01-01", part_episodes=100).collect()
+    assert len(parts) > 5 and all('"total_episodes":1000,"generated_at":"2024-01-01"' in p.document for p in parts)
+    assert sorted(r.id for r in sources.parsed_catalog(sources.catalog_parts(many, "p", part_episodes=100), "id long, title string").collect()) == list(range(1000))
 
 
 def test_partial_windows(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"episode_id": "e", "window_index": 0}')
-    (tmp_path / "b.json").write_text('{"episode_id": "e", ')
-    done = sources.read_windows(spark, str(tmp_path), "episode_id string, window_index int")
-    planned = spark.createDataFrame([("e", 0), ("e", 1)], "episode_id string, window_index int")
-    assert [r.window_index for r in sources.missing_windows(planned, done).collect()] == [1]
+    schema, at = "window_index int, text string, episode_id string", str(tmp_path / "w")
+    planned = spark.createDataFrame([("e", 0), ("e", 1), ("f", 0)], "episode_id string, window_index int")
+    asked = []
+
+    def compute(missing):
+        asked.append(sorted(map(tuple, missing.collect())))
+        return missing.withColumn("text", F.concat("episode_id", F.col("window_index").cast("string")))
+
+    assert sources.resume_windows(spark, planned.filter("episode_id = 'e' and window_index = 0"), at, schema, compute).count() == 1
+    (tmp_path / "w" / "episode_id=e" / "broken.json").write_text('{"window_index": 1, ')
+    got = sources.resume_windows(spark, planned, at, schema, compute)
+    assert sorted((r.episode_id, r.window_index, r.text) for r in got.collect()) == [("e", 0, "e0"), ("e", 1, "e1"), ("f", 0, "f0")]
+    assert asked == [[("e", 0)], [("e", 1), ("f", 0)]]
+    sources.clear_windows(spark, at, ["e"])
+    assert [r.episode_id for r in sources.read_windows(spark, at, schema).collect()] == ["f"]
+
+
+def test_audio_report(spark, tmp_path):
+    for name, n in (("a", 10), ("b", 0)):
+        (tmp_path / f"{name}.mp3").write_bytes(b"x" * n)
+    (tmp_path / "note.txt").write_text("no audio")
+    e = spark.createDataFrame([("1", True), ("2", False), ("3", True)], "id string, downloaded boolean")
+    r = sources.audio_report(sources.list_audio(spark, str(tmp_path)), e).first()
+    assert (r.files, r.empty_files, r.downloaded, r.matches) == (2, 1, 2, True)
+    sources.write_report(spark.createDataFrame([(1, "x")], "n int, s string"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().n == 1
+
+
+def test_audio_windows(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    from voxlake.sources import audio
+
+    rate, x = 100, (np.arange(2 * 1050).reshape(-1, 2) % 1000 * 16).astype("<i2")
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(x.tobytes())
+    (tmp_path / "b.wav").write_bytes(b"no audio")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    rows = audio.audio_windows(files, size=4, overlap=1).orderBy("path", "window_index").collect()
+    assert [(r.start_time, r.end_time) for r in rows[:3]] == [(0.0, 4.0), (3.0, 7.0), (6.0, 10.0)] and rows[3].end_time == 10.5
+    mono = (x.astype(float) / 32768).mean(1)
+    for r in rows[:4]:
+        assert r.rate == rate and np.allclose(r.samples, mono[round(r.start_time * rate) : round(r.end_time * rate)], atol=1e-6)
+    assert len(rows) == 5 and rows[4].error and rows[4].samples is None
 
 
 def test_phases(spark):
@@ -219,3 +345,49 @@ def test_hooks(spark):
     assert got == {"1": (True, None), "2": (False, "no url"), "3": (False, "gone")}
     out = audio.apply_model(e, "id", "title", lambda: str.lower).collect()
     assert sorted(r.output for r in out) == ["a", "b", "c", "d"]
+
+
+def test_whole_then_windows(spark):
+    from voxlake.plans import build
+
+    items = spark.createDataFrame([("short", 10.0), ("long", 9000.0), ("heavy", 20.0), ("broken", 20.0), ("null", None)], "episode_id string, duration double")
+    error = F.when(F.col("episode_id") == "heavy", "CUDA out of memory. Tried").when(F.col("episode_id") == "broken", "no such file")
+    whole = lambda df: df.select("episode_id", F.when(error.isNull(), "whole").alias("output"), error.alias("error"))
+    windowed = lambda df: df.select("episode_id", F.lit("windows").alias("output"), F.lit(None).cast("string").alias("error"))
+    got = {r.episode_id: r.output for r in build.whole_or_windows(items, whole, windowed, 7200).collect()}
+    assert got == {"short": "whole", "long": "windows", "heavy": "windows", "broken": None, "null": "whole"}
+
+
+def test_build_and_ask(spark, tmp_path):
+    """Segments and turns in, answers out; a second run of a phase adds nothing."""
+    from voxlake.plans import build
+    from voxlake.schemas import Store
+
+    store = Store(spark, str(tmp_path)).create()
+
+    def add(name, rows, columns):
+        df = spark.createDataFrame(rows, columns)
+        for c in store.read(name).schema:
+            if c.name not in df.columns:
+                df = df.withColumn(c.name, F.lit(None).cast(c.dataType))
+        store.append(name, df)
+
+    add("episodes", [("e", "On lamps", True, True), ("f", "On doors", True, True), ("g", "No words", True, True)], "id string, title string, downloaded boolean, transcribed boolean")
+    add("transcription_segments", [("e", 0, "brass lamps shine at night", 0.0, 5.0), ("f", 0, "oak doors creak in winter", 0.0, 6.0)], "episode_id string, segment_index int, text string, start_time double, end_time double")
+    add("turns", [("e", 0, 0.0, 5.0, "Ana"), ("f", 0, 0.0, 6.0, "Bob")], "episode_id string, chunk_index int, start_time double, end_time double, speaker string")
+    assert [r.text for r in build.align(store).orderBy("episode_id").collect()] == ["brass lamps shine at night", "oak doors creak in winter"]
+    ran = {p.name: p for p in build.phases(store)}
+    assert ran["ingestion"].run is None and phases.run_phase(ran["chunking"])["status"] == "completed"
+    assert store.read("rag_chunks").count() == 2 and build.chunk(store) == 0
+    assert phases.run_phase(ran["indexing"])["status"] == "completed" and build.index(store) == 0
+    assert {r.id: (r.chunked, r.indexed) for r in store.episodes().collect()} == {"e": (True, True), "f": (True, True), "g": (False, False)}
+    p = vectors.probe(store.read("vectors")).first()
+    assert p.vectors == p.with_document == p.with_embedding == p.with_metadata == 2
+    q = spark.createDataFrame([(1, "oak doors in winter"), (2, "nothing alike")], "query_id int, query string")
+    got = {r.query_id: r for r in build.ask(store, q).collect()}
+    assert got[1].chunks_used == 1 and got[1].context_chunks == ["oak doors creak in winter"] and got[1].sources.startswith("On doors|00:00|0.")
+    assert got[2].chunks_used == 0 and got[2].answer == "No relevant excerpts were found."
+    assert {r.query_id: r.chunks_used for r in build.ask(store, q, speaker="Ana").collect()} == {1: 0, 2: 0}
+    assert {r.query_id: r.chunks_used for r in build.ask(store, q, episode_id="f").collect()}[1] == 1
+    with pytest.raises(ValueError):
+        store.mark("nothing", q)

@@ -22,7 +22,13 @@ INTRO_PATTERNS = {
     ),
 }
 #: What marks an error message as one of memory.
-OOM_SIGNATURES = ("out of memory", "cuda error: out of memory", "cublas_status_alloc_failed", "unable to find an engine")
+OOM_SIGNATURES = ("out of memory", "cuda error: out of memory", "get was unable to find an engine", "cuda out of memory")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a column that is computed once a row.  A column named inside the
+    lambda of an array function would be computed anew for every element."""
+    return F.transform(F.array(value), body)[0]
 
 
 def mmss(seconds: Column) -> Column:
@@ -75,10 +81,14 @@ def words(text: Column) -> Column:
 def repetition_rate(word_list: Column, size: int = 50) -> Column:
     """Share of distinct ones among whole windows of ``size`` words that start before
     the last ``size`` words; 1.0 where there is no window."""
-    n = F.size(word_list)
-    starts = F.sequence(F.lit(0), n - size - 1, F.lit(size))
-    windows = F.transform(starts, lambda k: F.array_join(F.slice(word_list, k + 1, size), " "))
-    return F.when(n > size, F.size(F.array_distinct(windows)) / F.size(windows)).otherwise(1.0)
+
+    def rate(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.sequence(F.lit(0), F.greatest(n - size - 1, F.lit(0)), F.lit(size))
+        windows = F.transform(starts, lambda k: F.array_join(F.slice(w, k + 1, size), " "))
+        return F.when(n > size, F.size(F.array_distinct(windows)) / F.size(starts)).otherwise(1.0)
+
+    return let(word_list, rate)
 
 
 def json_list(values: Column) -> Column:

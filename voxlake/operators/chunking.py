@@ -92,19 +92,34 @@ def chunk_texts(texts: DataFrame, size: int = 500, overlap: int = 50, tokenize:
     return texts.select("episode_id", "full_text").mapInPandas(run, f"episode_id {kind}, chunk_index long, start_char long, end_char long, token_count int, text string")
 
 
-def find_times(chunk_text: str, full_text: str, offsets: Sequence[tuple[int, int, float, float]], search_start: int = 0) -> tuple[float, float, int]:
-    """Times of a chunk that is found by its beginning: the first 200, 100, 50 or 30
-    characters, from 500 before ``search_start`` on.  Kept for splitters that give no
-    offsets; :func:`chunk_texts` gives exact ones."""
-    at = -1
-    for n in (200, 100, 50, 30):
-        if len(chunk_text) >= n and (at := full_text.find(chunk_text[:n], max(0, search_start - 500))) >= 0:
-            break
-    start = at if at >= 0 else search_start
-    end = start + len(chunk_text)
-    first = next((o[2] for o in offsets if o[1] >= start), None)
-    last = next((o[3] for o in reversed(offsets) if o[0] <= end), None)
-    return first or 0.0, last or 0.0, end
+#: Beginnings that are looked for, longest first, and how far before the
+#: end of the chunk before.
+BEGINNINGS, LOOK_BACK = (200, 100, 50, 30), 500
+
+
+def located_chunks(chunks: DataFrame, texts: DataFrame) -> DataFrame:
+    """``episode_id, chunk_index, start_char, end_char`` of chunks (``episode_id,
+    chunk_index, text``) of a splitter that gives no offsets, by looking for their
+    beginnings in ``texts`` (``episode_id, full_text``).
+
+    The chunks of an episode are taken in order.  Each is looked for from ``LOOK_BACK``
+    characters before the end of the last one on, by the longest of ``BEGINNINGS`` that
+    it has and that is found; one that is not found begins where the last one ended.
+    :func:`times_at_offsets` turns the places into times."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c)
+    row = chunks.groupBy("episode_id").agg(listed.alias("c")).join(texts.select("episode_id", "full_text"), "episode_id")
+    kind = f"array<struct<chunk_index:{chunks.schema['chunk_index'].dataType.simpleString()},start_char:int,end_char:int>>"
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(acc, c):
+        since = F.greatest(acc["at"] - LOOK_BACK, F.lit(0)) + 1
+        found = [F.when(F.length(c["text"]) >= n, F.nullif(F.position(F.substring(c["text"], 1, n), F.col("full_text"), since), F.lit(0))) for n in BEGINNINGS]
+        start = F.coalesce(*[f - 1 for f in found], acc["at"])
+        end = start + F.length(c["text"])
+        place = F.struct(c["chunk_index"].alias("chunk_index"), start.alias("start_char"), end.alias("end_char"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(place)).alias("out"))
+
+    return row.select("episode_id", F.inline(F.aggregate("c", none, step, lambda acc: acc["out"])))
 
 
 def chunk_episodes(segments: DataFrame, turns: DataFrame, size: int = 500, overlap: int = 50, tokenize: Callable[[str], Sequence] = simple_tokens) -> DataFrame:

@@ -7,7 +7,7 @@ only in the bucket where the later of the two begins, so none is found twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,13 +60,16 @@ def align_turns(segments: DataFrame, turns: DataFrame, min_ratio: float = 0.5) -
 
 def speaker_of_segments(segments: DataFrame, turns: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Segments with the speaker of the turn they overlap most (ties to the earliest
-    turn); without an overlap, of the nearest turn at most ``tolerance`` away; else null.
-    Turns without a label do not count."""
-    labelled = turns.filter(F.coalesce("speaker", F.lit("")) != "")
-    pairs = interval_join(segments.select("episode_id", "segment_index", "start_time", "end_time"), labelled.select("episode_id", "chunk_index", "start_time", "end_time", "speaker"), "episode_id", reach=tolerance)
+    turn).  Where none overlaps, or that turn has no label, it is the speaker of the
+    nearest turn at most ``tolerance`` away (overlapping turns are at distance 0, ties
+    to the earliest); null where that has no label either, or there is none."""
+    pairs = interval_join(segments.select("episode_id", "segment_index", "start_time", "end_time"), turns.select("episode_id", "chunk_index", "start_time", "end_time", "speaker"), "episode_id", reach=tolerance)
     shared = overlap(F.col("l_start_time"), F.col("l_end_time"), F.col("r_start_time"), F.col("r_end_time"))
-    rank = F.struct(F.greatest(shared, F.lit(0.0)), F.least(shared, F.lit(0.0)), -F.col("r_start_time"), -F.col("r_chunk_index"))
-    best = pairs.groupBy(F.col("l_episode_id").alias("episode_id"), F.col("l_segment_index").alias("segment_index")).agg(F.max_by("r_speaker", rank).alias("matched_speaker"))
+    place = (F.col("r_start_time"), F.col("r_chunk_index"))
+    most = F.min_by("r_speaker", F.when(shared > 0, F.struct(-shared, *place)))
+    nearest = F.min_by("r_speaker", F.struct(F.greatest(-shared, F.lit(0.0)), *place))
+    label = lambda c: F.nullif(c, F.lit(""))
+    best = pairs.groupBy(F.col("l_episode_id").alias("episode_id"), F.col("l_segment_index").alias("segment_index")).agg(F.coalesce(label(most), label(nearest)).alias("matched_speaker"))
     return segments.join(best, ["episode_id", "segment_index"], "left")
 
 
@@ -84,9 +87,16 @@ def times_at_offsets(ranges: DataFrame, offsets: DataFrame) -> DataFrame:
     """Times of character ranges: the start of the first segment that ends at or after
     the range's start, and the end of the last that starts at or before its end; 0.0
     where there is none.  ``ranges``: ``episode_id, chunk_index, start_char, end_char``;
-    ``offsets``: ``episode_id, start_char, end_char, start_time, end_time``."""
-    r = ranges.select("episode_id", "chunk_index", F.col("start_char").alias("from_char"), F.col("end_char").alias("to_char"))
-    pairs = r.join(offsets, "episode_id", "left")
-    first = F.min(F.when(F.col("end_char") >= F.col("from_char"), F.struct("start_char", "start_time")))
-    last = F.max(F.when(F.col("start_char") <= F.col("to_char"), F.struct("start_char", "end_time")))
-    return pairs.groupBy("episode_id", "chunk_index", "from_char", "to_char").agg(F.coalesce(first["start_time"], F.lit(0.0)).alias("start_time"), F.coalesce(last["end_time"], F.lit(0.0)).alias("end_time"))
+    ``offsets``: ``episode_id, start_char, end_char, start_time, end_time``, where no two
+    of an episode overlap.
+
+    Both sides are put in one order, and each range takes what stands next to it: no
+    range meets more than its neighbours."""
+    none = F.lit(None).cast("double")
+    r = ranges.select("episode_id", "chunk_index", F.lit(1).alias("kind"), F.col("start_char").alias("from_char"), F.col("end_char").alias("to_char"), none.alias("start_time"), none.alias("end_time"))
+    o = offsets.select("episode_id", F.lit(None).cast(ranges.schema["chunk_index"].dataType).alias("chunk_index"), F.lit(0).alias("kind"), F.col("end_char").alias("from_char"), F.col("start_char").alias("to_char"), "start_time", "end_time")
+    so_far = lambda *order: Window.partitionBy("episode_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = lambda column, order: F.coalesce(F.last(F.when(F.col("kind") == 0, F.struct(column)), ignorenulls=True).over(order)[column], F.lit(0.0))
+    both = o.unionByName(r)
+    both = both.withColumn("first", near("start_time", so_far(F.desc("from_char"), "kind"))).withColumn("last", near("end_time", so_far("to_char", "kind")))
+    return both.filter("kind = 1").select("episode_id", "chunk_index", "from_char", "to_char", F.col("first").alias("start_time"), F.col("last").alias("end_time"))

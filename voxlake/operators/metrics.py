@@ -38,6 +38,20 @@ def evaluate(runs: DataFrame, k: int = 10) -> DataFrame:
     return scored.select("query_id", *[F.bround(c, 4).alias(n) for n, c in four.items()])
 
 
+def evaluate_found(found: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
+    """The same metrics from rows: ``found`` (``query_id, rank, relevant``) and
+    ``expected`` (``query_id, expected``, the number of relevant items).  No list of
+    relevant items is built; queries that expect nothing, or found nothing, are left
+    out."""
+    n, hit = F.col("expected"), F.coalesce("relevant", F.lit(False))
+    counted = found.join(expected.filter("expected > 0"), "query_id").groupBy("query_id", "expected").agg(
+        F.count_if(hit & (F.col("rank") <= k)).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.count_if(hit & (F.col("rank") <= n)).alias("r_hits")
+    )
+    ratio = lambda a, b: a.cast("double") / b
+    four = {"precision": ratio(F.col("hits"), F.lit(k)), "recall": ratio(F.col("hits"), n), "mrr": F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), "r_precision": ratio(F.col("r_hits"), n)}
+    return counted.select("query_id", *[F.bround(c, 4).alias(name) for name, c in four.items()])
+
+
 def averages(scores: DataFrame) -> DataFrame:
     """Means of the already rounded scores."""
     return scores.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(f"avg_{c}") for c in ("precision", "recall", "mrr", "r_precision")])

@@ -9,27 +9,31 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mmss
 
-#: Labels and messages of a prompt.
-LABELS = ("Excerpt", "Episode", "Time", "Content")
-NO_CONTEXT = "No relevant excerpts found."
+#: Labels and messages of a prompt, by language.
+LABELS_OF = {"en": ("Excerpt", "Episode", "Time", "Content"), "pt_br": ("Trecho", "Episódio", "Tempo", "Conteúdo")}
+NO_CONTEXT_OF = {"en": "No relevant excerpts found.", "pt_br": "Nenhum trecho relevante encontrado."}
+FRAME_OF = {"en": ("Available excerpts:\n\n", "\n\nQuestion: "), "pt_br": ("Trechos disponíveis:\n\n", "\n\nPergunta: ")}
+LABELS = LABELS_OF["en"]
 NO_JUDGE_CONTEXT = "(no context retrieved)"
 
 
-def context_block(rank: Column, title: Column, start: Column, text: Column) -> Column:
+def context_block(number: Column, title: Column, start: Column, text: Column, labels: tuple[str, str, str, str] = LABELS) -> Column:
     """Four labelled lines, each ended by a line break."""
-    excerpt, episode, time, content = LABELS
-    return F.concat(F.lit(f"[{excerpt} "), rank.cast("string"), F.lit(f"]\n{episode}: "), title, F.lit(f"\n{time}: "), mmss(start), F.lit(f"\n{content}: "), text, F.lit("\n"))
+    excerpt, episode, time, content = labels
+    return F.concat(F.lit(f"[{excerpt} "), number.cast("string"), F.lit(f"]\n{episode}: "), title, F.lit(f"\n{time}: "), mmss(start), F.lit(f"\n{content}: "), text, F.lit("\n"))
 
 
-def contexts(chunks: DataFrame) -> DataFrame:
-    """``query_id, context`` from ``query_id, rank, episode_title, start_time, text``."""
-    block = context_block(F.col("rank"), F.col("episode_title"), F.col("start_time"), F.col("text"))
-    parts = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
-    return chunks.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda p: p["block"]), "\n---\n").alias("context"))
+def contexts(chunks: DataFrame, labels: tuple[str, str, str, str] = LABELS) -> DataFrame:
+    """``query_id, context`` from ``query_id, rank, episode_title, start_time, text``: the
+    chunks in rank order, numbered by place from 1, whatever ranks are missing."""
+    parts = F.array_sort(F.collect_list(F.struct("rank", F.struct("episode_title", "start_time", "text").alias("c"))))
+    blocks = F.transform(F.col("parts"), lambda p, i: context_block(i + 1, p["c"]["episode_title"], p["c"]["start_time"], p["c"]["text"], labels))
+    return chunks.groupBy("query_id").agg(parts.alias("parts")).select("query_id", F.array_join(blocks, "\n---\n").alias("context"))
 
 
-def user_prompt(context: Column, query: Column) -> Column:
-    return F.concat(F.lit("Available excerpts:\n\n"), F.coalesce(context, F.lit(NO_CONTEXT)), F.lit("\n\nQuestion: "), query)
+def user_prompt(context: Column, query: Column, language: str = "en") -> Column:
+    head, asked = FRAME_OF[language]
+    return F.concat(F.lit(head), F.coalesce(context, F.lit(NO_CONTEXT_OF[language])), F.lit(asked), query)
 
 
 def judge_prompt(question: Column, chunks: Column, answer: Column, reference: Column) -> Column:
@@ -44,8 +48,9 @@ def extractive(prompt: Column, first_text: Column) -> Column:
     return F.concat(F.substring(first_text, 1, 200), F.lit(" [Excerpt 1]"))
 
 
-def answers(queries: DataFrame, chunks: DataFrame, min_similarity: float = 0.5, generate: Callable[[Column, Column], Column] = extractive, refusal: str = "No relevant excerpts were found.") -> DataFrame:
-    """``query_id, answer, sources, chunks_used`` for every query (``query_id, query``).
+def answers(queries: DataFrame, chunks: DataFrame, min_similarity: float = 0.5, generate: Callable[[Column, Column], Column] = extractive, refusal: str = "No relevant excerpts were found.", language: str = "en") -> DataFrame:
+    """``query_id, answer, sources, chunks_used, context_chunks`` for every query
+    (``query_id, query``).
 
     ``chunks`` holds the top-k (``query_id, rank, similarity, episode_id, chunk_index,
     episode_title, start_time, text``); those under the floor are dropped, and a query
@@ -56,10 +61,11 @@ def answers(queries: DataFrame, chunks: DataFrame, min_similarity: float = 0.5,
     source = F.concat_ws("|", "episode_title", mmss(F.col("start_time")), F.format_string("%.3f", F.bround("similarity", 3)))
     listed = unique.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", source.alias("s")))).alias("l"))
     listed = listed.select("query_id", F.array_join(F.transform("l", lambda x: x["s"]), "; ").alias("sources"))
-    used = kept.groupBy("query_id").agg(F.count("*").alias("chunks_used"), F.min_by("text", "rank").alias("first_text"))
-    joined = queries.join(contexts(kept), "query_id", "left").join(used, "query_id", "left").join(listed, "query_id", "left")
-    answer = F.when(F.col("chunks_used").isNotNull(), generate(user_prompt(F.col("context"), F.col("query")), F.col("first_text"))).otherwise(refusal)
-    return joined.select("query_id", answer.alias("answer"), F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
+    used = kept.groupBy("query_id").agg(F.count("*").alias("chunks_used"), F.min_by("text", "rank").alias("first_text"), texts.alias("context_chunks"))
+    joined = queries.join(contexts(kept, LABELS_OF[language]), "query_id", "left").join(used, "query_id", "left").join(listed, "query_id", "left")
+    answer = F.when(F.col("chunks_used").isNotNull(), generate(user_prompt(F.col("context"), F.col("query"), language), F.col("first_text"))).otherwise(refusal)
+    return joined.select("query_id", answer.alias("answer"), F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"), F.coalesce("context_chunks", F.array().cast("array<string>")).alias("context_chunks"))
 
 
 def parse_judge(raw: Column) -> Column:

@@ -51,13 +51,13 @@ def coverage(episodes: DataFrame) -> DataFrame:
     return counted.withColumn("percent", share(F.col("done"), F.col("eligible"))).withColumn("status", F.when(F.col("pending") == 0, "Complete").otherwise("Pending"))
 
 
-def transcript_metrics(transcripts: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+def transcript_metrics(transcripts: DataFrame) -> DataFrame:
     """Per transcript: characters, estimated words, characters a minute, repetition rate
     and the flag for rates below one half, tested before rounding."""
     n = F.length("full_text").cast("long")
-    rate = repetition_rate(words(F.col("full_text")))
+    rate = F.col("rate")
     minutes = F.col("duration_seconds").cast("double") / 60
-    return transcripts.select(
+    return transcripts.withColumn("rate", repetition_rate(words(F.col("full_text")))).select(
         "episode_id", "language", "model_used", n.alias("total_chars"), F.floor(n / 5).cast("long").alias("estimated_words"),
         F.bround(F.coalesce(F.try_divide(n.cast("double"), minutes), F.lit(0.0)), 1).alias("chars_per_minute"),
         F.bround("avg_logprob", 4).alias("avg_logprob"), F.bround(rate, 4).alias("repetition_rate"), (rate < 0.5).alias("hallucination_flag"),
@@ -68,8 +68,9 @@ def segment_metrics(segments: DataFrame) -> DataFrame:
     """Per episode, from its segments: their number, the characters of their joined
     text, and the mean log-probability, a missing one counting 0."""
     return segments.groupBy("episode_id").agg(
-        F.count("*").alias("total_segments"), (F.sum(F.length(F.trim("text"))) + F.count("*") - 1).alias("total_chars"), F.max("end_time").alias("duration")
-    )
+        F.count("*").alias("total_segments"), (F.sum(F.length(F.trim("text"))) + F.count("*") - 1).alias("total_chars"), F.max("end_time").alias("duration"),
+        F.bround(F.avg(F.coalesce("avg_logprob", F.lit(0.0))), 4).alias("avg_logprob"),
+    )
 
 
 def quality_report(metrics: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def language_vote(votes: DataFrame, key: str, label: str, probability: str) -> D
     """The most frequent label per key, ties to the first in order, and the mean
     probability."""
     counted = votes.groupBy(key, label).agg(F.count("*").alias("n"), F.sum(probability).alias("p"))
-    return counted.groupBy(key).agg(F.max_by(label, F.struct("n", F.translate(label, "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))).alias("language"), F.round(F.sum("p") / F.sum("n"), 6).alias("confidence"))
+    return counted.groupBy(key).agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias("language"), F.round(F.sum("p") / F.sum("n"), 6).alias("confidence"))
 
 
 def has_issues(report: DataFrame, *counters: str) -> DataFrame:

@@ -3,9 +3,14 @@ offsets, order checks, first-wins mappings."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import INTRO_PATTERNS, extract_name
+from .intervals import speaker_of_segments
+
 
 def needs_windows(duration, limit: float = 7200):
     """Whether a recording is longer than ``limit`` seconds."""
@@ -74,6 +79,15 @@ def first_names(named: DataFrame) -> DataFrame:
     return both.groupBy("episode_id", "speaker", F.col("first").alias("name")).agg(F.count_if(F.col("name") != F.col("first")).alias("collisions"))
 
 
+def enroll(segments: DataFrame, turns: DataFrame, aliases: Mapping[str, str] = {}, patterns: Sequence[str] = INTRO_PATTERNS["en"], intro: float = 300) -> DataFrame:
+    """``episode_id, speaker, name, collisions`` from the introductions of an episode:
+    segments and turns that start within its first ``intro`` seconds, each named segment
+    given to its speaker, the first name of a speaker kept."""
+    said = segments.filter(F.col("start_time") <= intro).withColumn("name", extract_name(F.col("text"), aliases, patterns)).filter("name is not null")
+    named = speaker_of_segments(said.drop("speaker"), turns.filter(F.col("start_time") <= intro))
+    return first_names(named.filter("matched_speaker is not null").withColumnRenamed("matched_speaker", "speaker"))
+
+
 def speaker_rollup(enrolled: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
     """Speakers over all episodes, computed anew so that a rerun changes nothing:
     appearances, first and last episode, role."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,27 +29,97 @@ def search(vectors: DataFrame, query: Sequence[float], n: int = 5, where: Column
     return top if min_similarity is None else top.filter(F.col("similarity") >= min_similarity)
 
 
-def batch_search(vectors: DataFrame, queries: DataFrame, n: Column | int = 10, broadcast_rows: int = 10_000) -> DataFrame:
-    """``query_id, vec_id, similarity, rank`` of the nearest other vectors per query.
-
-    ``queries``: ``query_id, query`` and whatever ``n`` names.  Norms are computed once a
-    vector.  Up to ``broadcast_rows`` queries are broadcast; more are dealt with the
-    vectors into a grid, so that no task holds all of either side."""
-    q = queries.withColumn("q_norm", F.sqrt(dot(F.col("query"), F.col("query"))))
-    v = vectors.select("vec_id", "embedding").withColumn("v_norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    if queries.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    else:
-        cells = 16
-        every = F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))
-        q = q.withColumn("q_cell", F.pmod(F.xxhash64("query_id"), F.lit(cells))).withColumn("v_cell", F.explode(every))
-        v = v.withColumn("v_cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells))).withColumn("q_cell", F.explode(every))
-        pairs = v.join(q, ["q_cell", "v_cell"]).filter(F.col("vec_id") != F.col("query_id"))
-    similarity = F.round(F.try_divide(dot(F.col("embedding"), F.col("query")), F.col("v_norm") * F.col("q_norm")), 6)
-    scored = pairs.withColumn("similarity", similarity)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+#: Bytes of vectors, as doubles, that are broadcast or make one cell of the grid.
+CELL_BYTES = 64 << 20
+
+
+def _nearest(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+    """``query_id, vec_id, similarity``: for each query of ``q`` its ``n`` nearest rows of
+    ``v``, itself left out, by blocked products."""
+    found = []
+    for size, group in v.groupby(v["embedding"].map(len)):
+        ids, own = group["vec_id"].to_numpy(), q[q["query"].map(len) == size]
+        if not len(own) or not size:
+            continue
+        m = np.stack(group["embedding"].to_numpy()).astype(np.float64)
+        m_norm = np.sqrt((m * m).sum(1))
+        for at in range(0, len(own), 256):
+            part = own.iloc[at : at + 256]
+            x = np.stack(part["query"].to_numpy()).astype(np.float64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = x @ m.T / (np.sqrt((x * x).sum(1))[:, None] * m_norm)
+            rank = np.where(np.isfinite(s), np.round(s, 6), -np.inf)
+            for query_id, n, row, raw in zip(part["query_id"], part["n"], rank, s):
+                row = np.where(ids == query_id, np.nan, row)
+                some = np.flatnonzero(~np.isnan(row))
+                if len(some) > n:
+                    some = some[row[some] >= np.partition(row[some], len(some) - n)[len(some) - n]]
+                best = sorted(some.tolist(), key=lambda k: (-row[k], ids[k]))[:n]
+                found += [(query_id, ids[k], raw[k] if np.isfinite(raw[k]) else None) for k in best]
+    return pd.DataFrame(found, columns=["query_id", "vec_id", "similarity"])
+
+
+def batch_search(vectors: DataFrame, queries: DataFrame, n: Column | int = 10, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """``query_id, vec_id, similarity, rank`` and the other columns of ``queries``: the
+    ``n`` nearest other vectors per query, ties to the smaller id.
+
+    ``queries``: ``query_id, query`` and whatever ``n`` names; vectors of another length
+    than the query's do not match it, a similarity with a zero vector is null and last.
+    Queries whose bytes fit one cell are broadcast, and each task keeps its best ``n`` of
+    each.  More of them are cut into blocks and the vectors into shards of that size; a
+    task holds one of either."""
     keep = F.lit(n) if isinstance(n, int) else n
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep).drop("embedding", "query", "v_norm", "q_norm")
+    q = queries.withColumn("n", keep.cast("int"))
+    others = [c for c in queries.columns if c != "query"]
+    slim = q.select("query_id", "query", "n")
+    v = vectors.select("vec_id", "embedding").filter("embedding is not null")
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double"
+    weight = lambda df, c: df.agg(F.coalesce(F.sum(F.size(c).cast("long") * 8), F.lit(0))).first()[0]
+    q_bytes = weight(slim.filter("query is not null"), "query")
+    if q_bytes <= cell_bytes:
+        held = vectors.sparkSession.sparkContext.broadcast(slim.filter("query is not null").toPandas())
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = pd.DataFrame([], columns=["query_id", "vec_id", "similarity"])
+            for b in batches:
+                new = _nearest(held.value, b)
+                best = _cut(pd.concat([best, new]) if len(best) else new, held.value)
+            yield best
+
+        found = v.mapInPandas(scan, schema)
+    else:
+        blocks, shards = -(-q_bytes // cell_bytes), max(1, -(-weight(v, "embedding") // cell_bytes))
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+        left = slim.filter("query is not null").withColumn("block", part("query_id", blocks)).withColumn("shard", every(shards))
+        right = v.withColumn("shard", part("vec_id", shards)).withColumn("block", every(blocks))
+        found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(_nearest, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "vec_id")
+    ranked = found.withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.row_number().over(order))
+    return ranked.join(q.select(*others, F.col("n").alias("_n")), "query_id").filter(F.col("rank") <= F.col("_n")).drop("_n")
+
+
+def _cut(found: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """The ``n`` best rows of each query."""
+    order = found.assign(r=found["similarity"].astype(float).round(6)).sort_values(["r", "vec_id"], ascending=[False, True], na_position="last", kind="stable")
+    place = order.groupby("query_id").cumcount()
+    return order[place < order["query_id"].map(dict(zip(queries["query_id"], queries["n"])))].drop(columns="r")
+
+
+def search_text(vectors: DataFrame, questions: DataFrame, encoder: Callable[[], Callable[[str], Sequence[float]]] | None = None, n: int = 5, episode_id=None, speaker: str | None = None) -> DataFrame:
+    """The ``n`` nearest rows of the ``vectors`` table for every question (``query_id,
+    query``), those of one episode or with one speaker if asked for: ``query_id, rank,
+    similarity, id, text, episode_id, chunk_index, episode_title, start_time``."""
+    base = vectors
+    if episode_id is not None:
+        base = base.filter(F.col("metadata.episode_id") == episode_id)
+    if speaker is not None:
+        base = base.filter(F.array_contains(F.split("metadata.speakers", ","), speaker))
+    q = with_embedding(questions, "query", "embedding", encoder or (lambda: hashed_bag)).select("query_id", F.col("embedding").alias("query"))
+    found = batch_search(base.select(F.col("id").alias("vec_id"), "embedding"), q, n).withColumnRenamed("vec_id", "id")
+    about = base.select("id", F.col("document").alias("text"), "metadata.episode_id", "metadata.chunk_index", "metadata.episode_title", "metadata.start_time")
+    return found.join(about, "id")
 
 
 def hashed_bag(text: str, size: int = 64) -> list[float]:
@@ -64,26 +135,46 @@ def hashed_bag(text: str, size: int = 64) -> list[float]:
     return [x / norm for x in v]
 
 
-def encode_index(chunks: DataFrame, encoder: Callable[[], Callable[[str], Sequence[float]]] = lambda: hashed_bag) -> DataFrame:
-    """Chunks (``episode_id, chunk_index, text, ...``) with ``embedding_id`` and
-    ``embedding``.  ``encoder`` builds the model once a task."""
+def with_embedding(rows: DataFrame, text: str, name: str, encoder: Callable[[], Callable[[str], Sequence[float]]]) -> DataFrame:
+    """``rows`` with the vector of a text column; ``encoder`` builds the model once a task."""
+
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encoder()
         for batch in batches:
             yield batch.fillna("").map(lambda t: list(model(t)))
 
-    return chunks.withColumn("embedding_id", F.concat_ws("_", F.col("episode_id").cast("string"), F.col("chunk_index").cast("string"))).withColumn("embedding", encode("text"))
+    return rows.withColumn(name, encode(text))
+
+
+def encode_index(chunks: DataFrame, encoder: Callable[[], Callable[[str], Sequence[float]]] = lambda: hashed_bag) -> DataFrame:
+    """Chunks (``episode_id, chunk_index, text, ...``) with ``embedding_id`` and
+    ``embedding``."""
+    named = chunks.withColumn("embedding_id", F.concat_ws("_", F.col("episode_id").cast("string"), F.col("chunk_index").cast("string")))
+    return with_embedding(named, "text", "embedding", encoder)
+
+
+def vector_rows(encoded: DataFrame) -> DataFrame:
+    """Rows of the ``vectors`` table from chunks of :func:`with_metadata` that
+    :func:`encode_index` has encoded."""
+    return encoded.select(F.col("embedding_id").alias("id"), F.col("embedding").cast("array<float>"), F.col("text").alias("document"), "metadata")
+
+
+def probe(vectors: DataFrame) -> DataFrame:
+    """One row: how many vectors there are, and of those how many have a document, an
+    embedding and metadata."""
+    return vectors.agg(F.count("*").alias("vectors"), F.count("document").alias("with_document"), F.count("embedding").alias("with_embedding"), F.count("metadata").alias("with_metadata"))
 
 
 def with_metadata(chunks: DataFrame, episodes: DataFrame) -> DataFrame:
     """Chunks with their episode's metadata, '' and 0 where it is missing."""
-    e = episodes.select(F.col("id").alias("episode_id"), "title", "duration_seconds")
+    published = F.col("published_at") if "published_at" in episodes.columns else F.lit(None).cast("string")
+    e = episodes.select(F.col("id").alias("episode_id"), "title", "duration_seconds", published.alias("published_at"))
     j = chunks.join(e, "episode_id", "left")
     return j.withColumn("metadata", F.struct(
-        "episode_id", F.coalesce("title", F.lit("")).alias("episode_title"), F.coalesce("duration_seconds", F.lit(0)).alias("duration_seconds"), "chunk_index",
-        "start_time", "end_time", F.coalesce(F.array_join("speakers", ","), F.lit("")).alias("speakers"), F.coalesce("token_count", F.lit(0)).alias("token_count"),
-    )).drop("title", "duration_seconds")
+        F.col("episode_id").cast("string").alias("episode_id"), F.coalesce("title", F.lit("")).alias("episode_title"), F.coalesce("published_at", F.lit("")).alias("published_at"),
+        F.coalesce("duration_seconds", F.lit(0)).cast("int").alias("duration_seconds"), F.col("chunk_index").cast("int").alias("chunk_index"), "start_time", "end_time", F.coalesce(F.array_join("speakers", ","), F.lit("")).alias("speakers"), F.coalesce("token_count", F.lit(0)).alias("token_count"),
+    )).drop("title", "duration_seconds", "published_at")
 
 
 def consistency(rows: DataFrame, vectors: DataFrame, row_id: str, vector_id: str) -> DataFrame:

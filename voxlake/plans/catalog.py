@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from ..functions import text as tx
 from ..operators import chunking, intervals, metrics, rag, reports, sequence, vectors
 from ..sources import catalog as sources
 from ..views import episodes, load, segments, transcripts, turns, with_views
-from . import phases
+from . import build, phases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,16 +28,6 @@ def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
     return add
 
 
-def whole(name: str, run: Query, *swaps: tuple[str, str]) -> None:
-    """Register ``name_whole``, ``name`` over its whole input; its SQL twin is that of
-    ``name`` with the cuts swapped.  ``name`` and its SQL stay as they are."""
-    sql = SQL[name]
-    for old, new in swaps:
-        assert old in sql
-        sql = sql.replace(old, new)
-    QUERIES[name + "_whole"], SQL[name + "_whole"] = run, sql
-
-
 # --- Time alignment ---------------------------------------------------------------
 
 _PAIRS = """pairs AS (SELECT t.episode_id, t.chunk_index, s.segment_index, s.start_time AS segment_start, s.text AS segment_text,
@@ -60,20 +49,23 @@ def align_turns(spark, sf_dir):
     return intervals.align_turns(segments(spark, sf_dir), turns(spark, sf_dir)).select("episode_id", "chunk_index", "text", "aligned")
 
 
-_NEAREST = """p AS (SELECT s.episode_id, s.segment_index, t.speaker, t.start_time, t.chunk_index,
-  least(t.end_time, s.end_time) - greatest(t.start_time, s.start_time) AS shared FROM v_segments s JOIN v_turns t USING (episode_id)),
-n AS (SELECT *, row_number() OVER (PARTITION BY episode_id, segment_index ORDER BY greatest(shared, 0.0) DESC, least(shared, 0.0) DESC, start_time, chunk_index) AS k
-  FROM p WHERE shared >= -2.0)"""
+def _nearest(segs: str = "v_segments", turns: str = "v_turns") -> str:
+    """CTEs ``p`` and ``n``: the speaker of every segment that has a turn within reach."""
+    first = "(arg_min(struct_pack(s := speaker), row({}, start_time, chunk_index)){}).s"
+    most, near = first.format("-shared", " FILTER (WHERE shared > 0)"), first.format("greatest(-shared, 0.0)", "")
+    return f"""p AS (SELECT s.episode_id, s.segment_index, t.speaker, t.start_time, t.chunk_index,
+  least(t.end_time, s.end_time) - greatest(t.start_time, s.start_time) AS shared FROM {segs} s JOIN {turns} t USING (episode_id)),
+n AS (SELECT episode_id, segment_index, coalesce(nullif({most}, ''), nullif({near}, '')) AS speaker FROM p WHERE shared >= -2.0 GROUP BY ALL)"""
 
 
-@query(_NEAREST + """
-SELECT s.episode_id, s.segment_index, n.speaker AS matched_speaker FROM v_segments s LEFT JOIN n ON s.episode_id = n.episode_id AND s.segment_index = n.segment_index AND k = 1""", "v_segments", "v_turns")
+@query(_nearest() + """
+SELECT s.episode_id, s.segment_index, n.speaker AS matched_speaker FROM v_segments s LEFT JOIN n USING (episode_id, segment_index)""", "v_segments", "v_turns")
 def speaker_for_segment(spark, sf_dir):
     return intervals.speaker_of_segments(segments(spark, sf_dir), turns(spark, sf_dir)).select("episode_id", "segment_index", "matched_speaker")
 
 
 @query("""r AS (SELECT s.episode_id, s.segment_index, array_to_string(list_sort(list(DISTINCT t.speaker)), ',') AS speakers
-  FROM v_segments s JOIN v_turns t ON s.episode_id = t.episode_id AND t.start_time < s.end_time AND t.end_time > s.start_time GROUP BY ALL)
+  FROM v_segments s JOIN v_turns t ON s.episode_id = t.episode_id AND t.start_time < s.end_time AND t.end_time > s.start_time WHERE t.speaker <> '' GROUP BY ALL)
 SELECT s.episode_id, s.segment_index, r.speakers FROM v_segments s LEFT JOIN r USING (episode_id, segment_index)""", "v_segments", "v_turns")
 def speakers_in_range(spark, sf_dir):
     ranges = segments(spark, sf_dir).withColumnRenamed("segment_index", "chunk_index").drop("speaker")
@@ -150,30 +142,39 @@ def relabel_speakers(spark, sf_dir):
 
 
 _HOSTS = {"captain anders": "Anders Holm", "anders": "Anders Holm", "bea": "Bea Lindt"}
-_INTRO = """intro AS (SELECT *, CASE segment_index % 5 WHEN 0 THEN 'Hello, this is ana maria souza, welcome' WHEN 1 THEN 'hi i''m tom, and more' WHEN 2 THEN 'my name is Li and so on' WHEN 3 THEN 'here is Captain Anders again' ELSE 'nothing to see' END AS said FROM v_segments WHERE start_time <= 300)"""
-_NAME = """named AS (SELECT *, CASE segment_index % 5 WHEN 0 THEN 'Ana Maria' WHEN 1 THEN 'Tom' WHEN 3 THEN 'Anders Holm' END AS name FROM intro)"""
+_INTRO = r"""spoken AS (SELECT *, list_filter(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '), lambda w: w <> '') AS w FROM v_segments),
+intro AS (SELECT * EXCLUDE (text), CASE segment_index % 5 WHEN 0 THEN 'Hello, this is ' || w[1] || ' ' || w[2] || ' ' || w[3] || ', welcome' WHEN 1 THEN 'hi i''m ' || w[1] || ' and more'
+  WHEN 2 THEN 'my name is Li and so on' WHEN 3 THEN 'here is Captain Anders, said ' || w[1] ELSE w[1] || ' bea ' || w[2] || ' this is' END AS text FROM spoken)"""
+_NAME = r"""low AS (SELECT *, lower(text) AS l FROM intro),
+ways AS (SELECT *, [regexp_extract(l, 'this is ([^,]+?)(?:,|\s+from\s|\s+and\s|$)', 1), regexp_extract(l, 'i''?m ([^,]+?)(?:,|\s+from\s|\s+and\s|$)', 1), regexp_extract(l, 'my name is ([^,]+?)(?:,|\s+from\s|\s+and\s|$)', 1)] AS found FROM low),
+cut AS (SELECT *, list_filter(list_transform(found, lambda f: array_to_string(list_transform(list_filter(regexp_split_to_array(trim(f), '\s+'), lambda x: x <> '')[1:2], lambda x: upper(x[1:1]) || x[2:]), ' ')), lambda f: length(f) > 2) AS names FROM ways),
+named AS (SELECT *, CASE WHEN regexp_matches(l, '\banders\b') THEN 'Anders Holm' WHEN regexp_matches(l, '\bbea\b') THEN 'Bea Lindt' ELSE names[1] END AS name FROM cut)"""
 
 
 def _intros(spark, sf_dir) -> DataFrame:
-    k = F.col("segment_index") % 5
-    said = F.when(k == 0, "Hello, this is ana maria souza, welcome").when(k == 1, "hi i'm tom, and more").when(k == 2, "my name is Li and so on").when(k == 3, "here is Captain Anders again").otherwise("nothing to see")
-    s = segments(spark, sf_dir).filter("start_time <= 300").withColumn("said", said)
-    return s.withColumn("name", tx.extract_name(F.col("said"), _HOSTS))
+    """Segments that say something else: introductions made of their own words."""
+    s = segments(spark, sf_dir)
+    words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), lambda w: w != "")
+    k, w = F.col("segment_index") % 5, [F.get(words, F.lit(j)) for j in range(3)]
+    join = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    said = F.when(k == 0, join("Hello, this is ", w[0], " ", w[1], " ", w[2], ", welcome")).when(k == 1, join("hi i'm ", w[0], " and more")).when(k == 2, "my name is Li and so on")
+    said = said.when(k == 3, join("here is Captain Anders, said ", w[0])).otherwise(join(w[0], " bea ", w[1], " this is"))
+    return s.withColumn("text", said)
 
 
 @query(_INTRO + ", " + _NAME + "\nSELECT episode_id, segment_index, name FROM named", "v_segments")
 def name_extraction(spark, sf_dir):
-    return _intros(spark, sf_dir).select("episode_id", "segment_index", "name")
+    return _intros(spark, sf_dir).select("episode_id", "segment_index", tx.extract_name(F.col("text"), _HOSTS).alias("name"))
 
 
-_FIRST = _INTRO + ", " + _NAME + ", " + _NEAREST + """, m AS (SELECT d.episode_id, n.speaker, d.name, d.start_time, d.segment_index FROM named d JOIN n ON d.episode_id = n.episode_id AND d.segment_index = n.segment_index AND k = 1 WHERE d.name IS NOT NULL),
+_FIRST = _INTRO + ", " + _NAME + ", early AS (SELECT * FROM named WHERE start_time <= 300), early_turns AS (SELECT * FROM v_turns WHERE start_time <= 300), " + _nearest("early", "early_turns") + """,
+m AS (SELECT d.episode_id, n.speaker, d.name, d.start_time, d.segment_index FROM early d JOIN n USING (episode_id, segment_index) WHERE d.name IS NOT NULL AND n.speaker IS NOT NULL),
 f AS (SELECT episode_id, speaker, arg_min(name, row(start_time, segment_index)) AS first FROM m GROUP BY ALL),
 e AS (SELECT m.episode_id, m.speaker, f.first AS name, count(*) FILTER (WHERE m.name <> f.first) AS collisions FROM m JOIN f USING (episode_id, speaker) GROUP BY ALL)"""
 
 
 def _enrolled(spark, sf_dir) -> DataFrame:
-    named = intervals.speaker_of_segments(_intros(spark, sf_dir).drop("speaker"), turns(spark, sf_dir))
-    return sequence.first_names(named.filter("name is not null and matched_speaker is not null").withColumnRenamed("matched_speaker", "speaker"))
+    return sequence.enroll(_intros(spark, sf_dir), turns(spark, sf_dir), _HOSTS)
 
 
 @query(_FIRST + "\nSELECT * FROM e", "v_segments", "v_turns")
@@ -212,13 +213,15 @@ def transcript_metrics(spark, sf_dir):
 
 @query(f"WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents)\nSELECT doc_id, CAST(len(ws) AS INT) AS n_words, round(CAST({_RATE} AS DOUBLE), 6) AS repetition_rate FROM w")
 def repetition_rate(spark, sf_dir):
-    w = tx.words(F.col("text"))
-    return load(spark, sf_dir, "documents").select("doc_id", F.size(w).alias("n_words"), F.round(tx.repetition_rate(w), 6).alias("repetition_rate"))
+    measured = tx.let(tx.words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), F.round(tx.repetition_rate(w), 6).alias("repetition_rate")))
+    return load(spark, sf_dir, "documents").select("doc_id", measured.alias("m")).select("doc_id", "m.n_words", "m.repetition_rate")
 
 
-@query("SELECT episode_id, count(*) AS total_segments, CAST(sum(length(trim(text, ' '))) + count(*) - 1 AS BIGINT) AS total_chars, max(end_time) AS duration FROM v_segments GROUP BY 1", "v_segments")
+@query("""SELECT episode_id, count(*) AS total_segments, CAST(sum(length(trim(text, ' '))) + count(*) - 1 AS BIGINT) AS total_chars, max(end_time) AS duration,
+  round_even(avg(CASE WHEN segment_index % 7 <> 0 THEN -CAST(segment_index % 50 AS DOUBLE) / 64 ELSE 0.0 END), 4) AS avg_logprob FROM v_segments GROUP BY 1""", "v_segments")
 def segment_metrics(spark, sf_dir):
-    return reports.segment_metrics(segments(spark, sf_dir))
+    k = F.col("segment_index")
+    return reports.segment_metrics(segments(spark, sf_dir).withColumn("avg_logprob", F.when(k % 7 != 0, -(k % 50).cast("double") / 64)))
 
 
 @query(_METRICS + """
@@ -318,10 +321,10 @@ def language_vote(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)
-SELECT doc_id AS id, lang, 'old' AS version FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, lang, 'new' FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (FROM p)""")
+SELECT doc_id AS id, lang, 'old' AS version FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, lang, 'new' FROM documents WHERE doc_id NOT IN (FROM p)""")
 def insert_if_absent(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    old, new = d.filter("id % 3 = 0").withColumn("version", F.lit("old")), d.filter("id % 2 = 0").withColumn("version", F.lit("new"))
+    old, new = d.filter("id % 3 = 0").withColumn("version", F.lit("old")), d.withColumn("version", F.lit("new"))
     return sources.insert_if_absent(old, new.unionAll(new), order="version")
 
 
@@ -330,11 +333,10 @@ def safe_filename(spark, sf_dir):
     return episodes(spark, sf_dir).select("id", tx.audio_file_name(F.col("title")).alias("file_name"))
 
 
-@query("SELECT 'demo' AS podcast, id, title, duration_seconds, image_url FROM v_episodes WHERE indexed", "v_episodes")
+@query("SELECT 'demo' AS podcast, (SELECT count(*) FROM v_episodes) AS total_episodes, id, title, duration_seconds, image_url FROM v_episodes", "v_episodes")
 def catalog_json(spark, sf_dir):
-    e = episodes(spark, sf_dir).filter("indexed").select("id", "title", "duration_seconds", "image_url")
-    doc = sources.catalog_document(e, "demo").select(F.from_json("document", f"podcast string, total_episodes long, episodes array<struct<{e._jdf.schema().toDDL()}>>").alias("d"))
-    return doc.select("d.podcast", F.inline("d.episodes"))
+    e = episodes(spark, sf_dir).select("id", "title", "duration_seconds", "image_url")
+    return sources.parsed_catalog(sources.catalog_parts(e, "demo"), e._jdf.schema().toDDL())
 
 
 @query("""SELECT 'ep-' || doc_id AS id, 'Episode ' || doc_id AS title, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE CAST(doc_id % 5000 AS INT) END AS duration_seconds,
@@ -365,33 +367,39 @@ def pending_work(spark, sf_dir):
     return out
 
 
+@query("""tr AS (SELECT id * 10 + k AS id, id AS episode_id FROM v_episodes, unnest(range(0, id % 3)) u(k))
+SELECT t.episode_id, t.chunk_index, min(tr.id) AS transcription_id FROM v_turns t LEFT JOIN tr USING (episode_id) GROUP BY ALL""", "v_segments", "v_turns", "v_episodes")
+def turns_transcription(spark, sf_dir):
+    """Turns with their episode's transcription: none, one or two an episode."""
+    e = episodes(spark, sf_dir).filter("id % 3 > 0").select(F.col("id").alias("episode_id"), F.explode(F.sequence(F.lit(0), (F.col("id") % 3 - 1).cast("int"))).alias("k"))
+    tr = e.select((F.col("episode_id") * 10 + F.col("k")).alias("id"), "episode_id")
+    return build.with_transcription(turns(spark, sf_dir), tr).select("episode_id", "chunk_index", "transcription_id")
+
+
 # --- Vectors and retrieval --------------------------------------------------------
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))"
 _NORM = "sqrt(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))))"
 _TOPK = f"""n AS (SELECT *, {_NORM} AS norm FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, a.label AS query_label, b.label, round({_DOT} / (a.norm * b.norm), 6) AS similarity FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, a.label AS query_label, b.label, round({_DOT} / (a.norm * b.norm), 6) AS similarity FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM s)"""
 
 
-#: Queries of a batch search: the first ten, and every 20th vector.
-FIRST_TEN, EVERY_20TH = "vec_id < 10", "vec_id % 20 = 0"
-
-
-def _ranked(spark, sf_dir, n=10, which=FIRST_TEN) -> DataFrame:
+def _ranked(spark, sf_dir, n=10) -> DataFrame:
+    """The stated queries, every 20th vector, against all vectors."""
     v = load(spark, sf_dir, "embeddings")
-    q = v.filter(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
     return vectors.batch_search(v, q, n)
 
 
 @query(f"WITH {_TOPK}\nSELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 10")
-def retrieval_topk_batch(spark, sf_dir, which=FIRST_TEN):
-    return _ranked(spark, sf_dir, which=which).select("query_id", "vec_id", "similarity", "rank")
+def retrieval_topk_batch(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("query_id", "vec_id", "similarity", "rank")
 
 
 @query(f"WITH {_TOPK}\nSELECT query_id, vec_id, rank FROM r WHERE rank <= greatest(10, query_label * 3)")
-def retrieval_topk_adaptive(spark, sf_dir, which=FIRST_TEN):
-    return _ranked(spark, sf_dir, F.greatest(F.lit(10), F.col("query_label") * 3), which).select("query_id", "vec_id", "rank")
+def retrieval_topk_adaptive(spark, sf_dir):
+    return _ranked(spark, sf_dir, F.greatest(F.lit(10), F.col("query_label") * 3)).select("query_id", "vec_id", "rank")
 
 
 def _query_vector(spark, sf_dir) -> list[float]:
@@ -415,31 +423,27 @@ p AS (SELECT e.*, count(*) FILTER (WHERE r.rank <= least(10, e.expected) AND lab
 m AS (SELECT query_id, round_even(hits / 10, 4) AS precision, round_even(hits / expected, 4) AS recall, round_even(coalesce(1 / first, 0.0), 4) AS mrr, round_even(r_hits / expected, 4) AS r_precision FROM p WHERE expected > 0)"""
 
 
-def _runs(spark, sf_dir, which=FIRST_TEN) -> DataFrame:
-    v = load(spark, sf_dir, "embeddings")
-    found = _ranked(spark, sf_dir, which=which).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("l")).select("query_id", F.transform("l", lambda x: x["vec_id"]).alias("retrieved"))
-    q = v.filter(which).select(F.col("vec_id").alias("query_id"), "label")
-    expected = q.join(v.select("vec_id", "label"), "label").filter("vec_id <> query_id").groupBy("query_id").agg(F.collect_list("vec_id").alias("expected"))
-    return found.join(expected, "query_id")
+def _scores(spark, sf_dir) -> DataFrame:
+    """Relevant are the other vectors with the query's label."""
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "label")
+    found = _ranked(spark, sf_dir).join(v, "vec_id").select("query_id", "rank", (F.col("label") == F.col("query_label")).alias("relevant"))
+    counts = v.groupBy("label").agg((F.count("*") - 1).alias("expected"))
+    return metrics.evaluate_found(found, v.filter("vec_id % 20 = 0").join(counts, "label").select(F.col("vec_id").alias("query_id"), "expected"))
 
 
 @query(f"WITH {_EVAL}\nSELECT * FROM m")
-def retrieval_scores(spark, sf_dir, which=FIRST_TEN):
-    return metrics.evaluate(_runs(spark, sf_dir, which))
+def retrieval_scores(spark, sf_dir):
+    return _scores(spark, sf_dir)
 
 
 @query(f"WITH {_EVAL}\nSELECT count(*) AS queries, round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall, round(avg(mrr), 6) AS avg_mrr, round(avg(r_precision), 6) AS avg_r_precision FROM m")
-def retrieval_eval(spark, sf_dir, which=FIRST_TEN):
-    return metrics.averages(metrics.evaluate(_runs(spark, sf_dir, which)))
+def retrieval_eval(spark, sf_dir):
+    return metrics.averages(_scores(spark, sf_dir))
 
 
 @query(f"WITH {_TOPK}\nSELECT CASE WHEN similarity >= 0.65 THEN 'green' WHEN similarity >= 0.55 THEN 'yellow' ELSE 'red' END AS band, count(*) AS n FROM r WHERE rank <= 10 GROUP BY 1")
-def similarity_bands(spark, sf_dir, which=FIRST_TEN):
-    return _ranked(spark, sf_dir, which=which).groupBy(tx.similarity_band(F.col("similarity")).alias("band")).agg(F.count("*").alias("n"))
-
-
-for _f in (retrieval_topk_batch, retrieval_topk_adaptive, retrieval_scores, retrieval_eval, similarity_bands):
-    whole(_f.__name__, partial(_f, which=EVERY_20TH), (FIRST_TEN, EVERY_20TH))
+def similarity_bands(spark, sf_dir):
+    return _ranked(spark, sf_dir).groupBy(tx.similarity_band(F.col("similarity")).alias("band")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT count(a.id) AS in_rows, count(b.id) AS in_vectors, count(*) FILTER (WHERE b.id IS NULL) AS only_rows, count(*) FILTER (WHERE a.id IS NULL) AS only_vectors, count(a.id) = count(b.id) AS consistent
@@ -458,14 +462,14 @@ def mmss_format(spark, sf_dir):
     return segments(spark, sf_dir).select("episode_id", "segment_index", tx.mmss(s).alias("mmss"), tx.hhmmss(s).alias("hhmmss"))
 
 
-_CHUNK_OF = """got AS (SELECT r.query_id, r.rank, r.similarity, r.vec_id AS episode_id, r.vec_id % 3 AS chunk_index, 'Episode ' || r.vec_id AS episode_title, CAST(r.vec_id * 7 AS DOUBLE) AS start_time, substring(d.text, 1, 300) AS text
+_CHUNK_OF = """got AS (SELECT r.query_id, r.rank, r.similarity, r.vec_id AS episode_id, r.vec_id % 3 AS chunk_index, 'Episode ' || r.vec_id AS episode_title, CAST(r.vec_id * 7 AS DOUBLE) AS start_time, d.text AS text
   FROM r JOIN documents d ON d.doc_id = r.vec_id WHERE rank <= 5),
-blocks AS (SELECT *, printf('%02d:%02d', CAST(floor(start_time / 60) AS BIGINT), CAST(start_time AS BIGINT) % 60) AS clock FROM got)"""
-_CONTEXT = "string_agg('[Excerpt ' || rank || ']' || chr(10) || 'Episode: ' || episode_title || chr(10) || 'Time: ' || clock || chr(10) || 'Content: ' || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank)"
+blocks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, printf('%02d:%02d', CAST(floor(start_time / 60) AS BIGINT), CAST(start_time AS BIGINT) % 60) AS clock FROM got)"""
+_CONTEXT = "string_agg('[Excerpt ' || place || ']' || chr(10) || 'Episode: ' || episode_title || chr(10) || 'Time: ' || clock || chr(10) || 'Content: ' || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank)"
 
 
 def _chunks_found(spark, sf_dir) -> DataFrame:
-    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 300).alias("text"))
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     i = F.col("vec_id")
     return _ranked(spark, sf_dir, 5).join(d, "vec_id").select("query_id", "rank", "similarity", i.alias("episode_id"), (i % 3).alias("chunk_index"), F.concat(F.lit("Episode "), i.cast("string")).alias("episode_title"), (i * 7).cast("double").alias("start_time"), "text")
 
@@ -478,20 +482,20 @@ def rag_context(spark, sf_dir):
 
 @query(f"""WITH {_TOPK}, {_CHUNK_OF}, k AS (SELECT * FROM blocks WHERE similarity >= 0.35), u AS (SELECT *, row_number() OVER (PARTITION BY query_id, episode_id, chunk_index ORDER BY rank) AS seen FROM k),
 l AS (SELECT query_id, string_agg(episode_title || '|' || clock || '|' || printf('%.3f', round_even(similarity, 3)), '; ' ORDER BY rank) AS sources FROM u WHERE seen = 1 GROUP BY 1),
-g AS (SELECT query_id, count(*) AS chunks_used, arg_min(text, rank) AS first_text FROM k GROUP BY 1), q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 10)
+g AS (SELECT query_id, count(*) AS chunks_used, arg_min(text, rank) AS first_text FROM k GROUP BY 1), q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0)
 SELECT q.query_id, CASE WHEN g.query_id IS NULL THEN 'No relevant excerpts were found.' ELSE substring(first_text, 1, 200) || ' [Excerpt 1]' END AS answer, coalesce(sources, '') AS sources, coalesce(chunks_used, 0) AS chunks_used
 FROM q LEFT JOIN g USING (query_id) LEFT JOIN l USING (query_id)""")
 def rag_answer(spark, sf_dir):
-    q = load(spark, sf_dir, "embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("What is "), F.col("vec_id").cast("string"), F.lit("?")).alias("query"))
-    return rag.answers(q, _chunks_found(spark, sf_dir), min_similarity=0.35)
+    q = load(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("What is "), F.col("vec_id").cast("string"), F.lit("?")).alias("query"))
+    return rag.answers(q, _chunks_found(spark, sf_dir), min_similarity=0.35).drop("context_chunks")
 
 
-@query(f"""WITH {_TOPK}, {_CHUNK_OF}, c AS (SELECT query_id, string_agg('[' || k || '] ' || text, chr(10) || chr(10) ORDER BY k) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM got) WHERE query_id % 3 <> 0 GROUP BY 1)
+@query(f"""WITH {_TOPK}, {_CHUNK_OF}, c AS (SELECT query_id, string_agg('[' || k || '] ' || text, chr(10) || chr(10) ORDER BY k) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM got) GROUP BY 1)
 SELECT vec_id AS query_id, 'QUESTION:' || chr(10) || 'q' || vec_id || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || coalesce(context, '(no context retrieved)') || chr(10) || chr(10) || 'ANSWER:' || chr(10) || 'a' || chr(10) || chr(10) || 'REFERENCE_ANSWER:' || chr(10) || 'r' AS prompt
-FROM embeddings e LEFT JOIN c ON c.query_id = e.vec_id WHERE vec_id < 10""")
+FROM embeddings e LEFT JOIN c ON c.query_id = e.vec_id WHERE vec_id % 20 = 0""")
 def judge_prompts(spark, sf_dir):
-    c = _chunks_found(spark, sf_dir).filter("query_id % 3 <> 0").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l")).select("query_id", F.transform("l", lambda x: x["text"]).alias("texts"))
-    q = load(spark, sf_dir, "embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("query_id")).join(c, "query_id", "left")
+    c = _chunks_found(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l")).select("query_id", F.transform("l", lambda x: x["text"]).alias("texts"))
+    q = load(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id")).join(c, "query_id", "left")
     none = F.array().cast("array<string>")
     return q.select("query_id", rag.judge_prompt(F.concat(F.lit("q"), F.col("query_id").cast("string")), F.coalesce("texts", none), F.lit("a"), F.lit("r")).alias("prompt"))
 
@@ -524,12 +528,17 @@ def session_metrics(spark, sf_dir):
     return metrics.run_totals(load(spark, sf_dir, "events").select(F.when(i % 9 != 0, i % 700).alias("tokens_used"), ((i % 256).cast("double") / 16).alias("elapsed")))
 
 
-@query("""WITH m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'CUDA error: Out of Memory while running' WHEN 1 THEN 'GET was Unable to find an engine' WHEN 2 THEN 'disk full' ELSE event_type END AS message FROM events)
-SELECT event_id, contains(lower(message), 'out of memory') OR contains(lower(message), 'unable to find an engine') AS memory_error FROM m""")
+_MESSAGES = (
+    "CUDA error: Out of Memory while running", "GET was Unable to find an engine", "CUDA out of memory.", "It is OUT OF MEMORY",
+    "Unable to find an engine to execute", "CUBLAS_STATUS_ALLOC_FAILED when calling", "out of  memory", "disk full",
+)
+
+
+@query(f"""WITH m AS (SELECT event_id, {list(_MESSAGES)}[event_id % 8 + 1] || ' ' || event_type AS message FROM events)
+SELECT event_id, len(list_filter(['out of memory', 'cuda error: out of memory', 'get was unable to find an engine', 'cuda out of memory'], lambda s: contains(lower(message), s))) > 0 AS memory_error FROM m""")
 def memory_errors(spark, sf_dir):
-    k = F.col("event_id") % 4
-    message = F.when(k == 0, "CUDA error: Out of Memory while running").when(k == 1, "GET was Unable to find an engine").when(k == 2, "disk full").otherwise(F.col("event_type"))
-    return load(spark, sf_dir, "events").select("event_id", tx.is_memory_error(message).alias("memory_error"))
+    said = F.get(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % 8).cast("int"))
+    return load(spark, sf_dir, "events").select("event_id", tx.is_memory_error(F.concat(said, F.lit(" "), F.col("event_type"))).alias("memory_error"))
 
 
 @query()
@@ -563,8 +572,8 @@ def episode_overview(spark, sf_dir):
     parts = F.array_sort(F.collect_list(F.struct("segment_index", "text")))
     text = s.groupBy("episode_id").agg(F.count("*").alias("segments"), F.max("end_time").alias("duration"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("full_text"))
     n = F.length("full_text").cast("long")
-    rate = tx.repetition_rate(tx.words(F.col("full_text")))
-    return text.join(aligned, "episode_id").select(
+    rate = F.col("rate")
+    return text.join(aligned, "episode_id").withColumn("rate", tx.repetition_rate(tx.words(F.col("full_text")))).select(
         "episode_id", "segments", "turns", "aligned_turns", reports.share(F.col("aligned_turns"), F.col("turns")).alias("aligned_share"), n.alias("total_chars"),
         F.round(n / F.col("duration") * 60, 4).alias("chars_per_minute"), F.round(rate, 6).alias("repetition_rate"), (rate < 0.5).alias("hallucination_flag"),
     )

@@ -56,6 +56,7 @@ class Phase:
     run: Callable[[], object] | None = None
 
 
+#: Names of the phases, as shown.
 PHASES = (
     Phase(1, "ingestion", "Data Collection", "downloaded"),
     Phase(2, "transcription", "Transcription", "transcribed", ("downloaded",), True),

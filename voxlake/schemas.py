@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = {
     "episodes": """id string, title string, published_at string, duration_seconds int, description string, audio_url string, image_url string, explicit string,
@@ -17,7 +18,10 @@ TABLES = {
     "speaker_embeddings": "id int, speaker_id int, episode_id string, embedding array<double>, confidence double, source string, created_at timestamp",
     "vectors": """id string, embedding array<float>, document string, metadata struct<episode_id: string, episode_title: string, published_at: string,
         duration_seconds: int, chunk_index: int, start_time: double, end_time: double, speakers: string, token_count: int>""",
+    "flags": "episode_id string, flag string, set_at timestamp",
 }
+#: Flags of an episode that ``Store.mark`` sets.
+FLAGS = ("downloaded", "transcribed", "diarized", "chunked", "indexed")
 
 
 class Store:
@@ -38,6 +42,21 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> None:
         rows.select(self.read(name).columns).write.mode("append").parquet(f"{self.path}/{name}")
 
+    def mark(self, flag: str, episode_ids: DataFrame) -> None:
+        """Set a flag of episodes (their ids are the first column).  Flags are rows that
+        are only ever added, so setting one twice changes nothing and no table is
+        rewritten."""
+        if flag not in FLAGS:
+            raise ValueError(flag)
+        ids = episode_ids.select(F.col(episode_ids.columns[0]).cast("string").alias("episode_id")).distinct()
+        self.append("flags", ids.withColumn("flag", F.lit(flag)).withColumn("set_at", F.current_timestamp()))
+
+    def episodes(self) -> DataFrame:
+        """The episodes with the flags that their row or a mark sets."""
+        set_by = self.read("flags").groupBy(F.col("episode_id").alias("id")).agg(*[F.max(F.when(F.col("flag") == f, F.lit(True))).alias(f"_{f}") for f in FLAGS])
+        joined = self.read("episodes").join(set_by, "id", "left")
+        return joined.withColumns({f: F.coalesce(f"_{f}", f, F.lit(False)) for f in FLAGS}).drop(*[f"_{f}" for f in FLAGS])
+
     def views(self) -> None:
         """Temporary views of all tables, for ``spark.sql``."""
         for name in TABLES:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,31 +29,59 @@ def entry(item: Column) -> Column:
     )
 
 
+def _items(spark: SparkSession, path: str) -> DataFrame:
+    schema = f"{ITEM}, _corrupt_record string"
+    return spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).load(path)
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Episodes of RSS files; broken items are dropped with their text in no column."""
-    items = spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE").schema(ITEM).load(path)
+    """Episodes of RSS files; broken items are left out, see :func:`broken_items`."""
+    # Spark reads no file for the corrupt column alone, so the test names another, too.
+    any_guid = F.coalesce(F.length("guid") >= 0, F.lit(True))
+    items = _items(spark, path).filter(F.col("_corrupt_record").isNull() & any_guid).drop("_corrupt_record")
     return items.select(F.struct("*").alias("i")).select(entry(F.col("i")).alias("e")).select("e.*")
 
 
+def broken_items(spark: SparkSession, path: str) -> DataFrame:
+    """``guid, item``: every item of RSS files that cannot be parsed, its text and its
+    guid where that could be read."""
+    return _items(spark, path).filter("_corrupt_record is not null").select("guid", F.col("_corrupt_record").alias("item"))
+
+
 def published_ts(published_at: Column) -> Column:
     """RFC-2822 text as a timestamp; the day name is not looked at."""
     return F.try_to_timestamp(F.regexp_replace(published_at, "^[A-Za-z]+, *", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
 
 
-def catalog_document(episodes: DataFrame, podcast: str) -> DataFrame:
-    """One row, one JSON document: podcast, number of episodes and the episodes in id
-    order.  For catalogues, which are small; larger tables are written as they are."""
+#: Episodes of one part of a written catalogue.
+PART_EPISODES = 10_000
+
+
+def catalog_parts(episodes: DataFrame, podcast: str, generated_at: str | None = None, part_episodes: int = PART_EPISODES) -> DataFrame:
+    """``part, document``: JSON documents of the podcast, the number of all its episodes,
+    the time given and the episodes in id order.  A catalogue of up to ``part_episodes``
+    is one document; a larger one is cut into ranges of ids of about that size, so that
+    no task holds it whole."""
+    total = episodes.count()
+    parts = max(1, -(-total // part_episodes))
+    ranged = episodes.coalesce(1) if parts == 1 else episodes.repartitionByRange(parts, "id")
     listed = F.array_sort(F.collect_list(F.struct("id", *[c for c in episodes.columns if c != "id"])))
-    return episodes.agg(F.to_json(F.struct(F.lit(podcast).alias("podcast"), F.count("*").alias("total_episodes"), listed.alias("episodes"))).alias("document"))
+    head = [F.lit(podcast).alias("podcast"), F.lit(total).alias("total_episodes"), *([F.lit(generated_at).alias("generated_at")] if generated_at else [])]
+    return ranged.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.to_json(F.struct(*head, listed.alias("episodes"))).alias("document"))
+
 
+def parsed_catalog(parts: DataFrame, schema: str) -> DataFrame:
+    """``podcast, total_episodes`` and the columns of ``schema``, one row an episode."""
+    doc = parts.select(F.from_json("document", f"podcast string, total_episodes long, episodes array<struct<{schema}>>").alias("d"))
+    return doc.select("d.podcast", "d.total_episodes", F.inline("d.episodes"))
 
-def save_catalog(episodes: DataFrame, path: str, podcast: str) -> None:
-    catalog_document(episodes, podcast).write.mode("overwrite").text(path)
+
+def save_catalog(episodes: DataFrame, path: str, podcast: str, generated_at: str | None = None) -> None:
+    catalog_parts(episodes, podcast, generated_at).select("document").write.mode("overwrite").text(path)
 
 
 def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    doc = spark.read.text(path).select(F.from_json("value", f"podcast string, total_episodes long, episodes array<struct<{schema}>>").alias("d"))
-    return doc.select("d.podcast", F.inline("d.episodes"))
+    return parsed_catalog(spark.read.text(path).withColumnRenamed("value", "document"), schema).drop("total_episodes")
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
@@ -69,13 +99,24 @@ def audio_report(files: DataFrame, catalogued: DataFrame) -> DataFrame:
 
 
 def list_audio(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.mp3").load(path).select("path", "length")
+    """``path, length`` of the audio files of a folder.  The file system is asked, as
+    Spark's readers pass over empty files, which the report counts."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    rows = [(f.getPath().toString(), f.getLen()) for f in found if f.isFile() and f.getPath().getName().endswith(".mp3")]
+    return spark.createDataFrame(rows, "path string, length long")
+
+
+def write_windows(windows: DataFrame, path: str) -> None:
+    """Add partial results (``episode_id, window_index, ...``), a folder an episode."""
+    windows.write.mode("append").partitionBy("episode_id").json(path)
 
 
 def read_windows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Partial results, one JSON document a window; broken files are left out."""
-    raw = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return raw.filter("_corrupt_record is null").drop("_corrupt_record")
+    """Partial results, one JSON line a window, the first of each window where a task
+    wrote it twice; broken lines are left out.  ``schema`` names all columns."""
+    raw = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return raw.filter("_corrupt_record is null").drop("_corrupt_record").dropDuplicates(["episode_id", "window_index"])
 
 
 def missing_windows(planned: DataFrame, done: DataFrame) -> DataFrame:
@@ -83,5 +124,21 @@ def missing_windows(planned: DataFrame, done: DataFrame) -> DataFrame:
     return planned.join(done.select("episode_id", "window_index").distinct(), ["episode_id", "window_index"], "left_anti")
 
 
+def resume_windows(spark: SparkSession, planned: DataFrame, path: str, schema: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results of all planned windows: those at ``path`` are reused, ``compute`` makes the
+    missing ones, which are written there first."""
+    spark.createDataFrame([], schema).write.mode("ignore").json(path)
+    write_windows(compute(missing_windows(planned, read_windows(spark, path, schema))), path)
+    return read_windows(spark, path, schema).join(planned.select("episode_id", "window_index"), ["episode_id", "window_index"], "left_semi")
+
+
+def clear_windows(spark: SparkSession, path: str, episode_ids: Sequence) -> None:
+    """Delete the partial results of finished episodes, whose ids a caller names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for i in episode_ids:
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/episode_id={i}")
+        target.getFileSystem(conf).delete(target, True)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)

@@ -25,13 +25,15 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diarization turns: 28 of every 32 seconds, three speakers in rotation."""
+    """Diarization turns: 28 of every 32 seconds, three speakers in rotation; a few have no
+    label, null or empty."""
     ends = segments(spark, sf_dir).groupBy("episode_id").agg(F.max("end_time").alias("top"))
     t = ends.select("episode_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / 32))).alias("chunk_index"))
     start = (F.col("chunk_index") * 32 + F.col("episode_id") % 4).cast("double")
+    mark = (F.col("episode_id") + F.col("chunk_index")) % 11
     return t.select(
         "episode_id", "chunk_index", start.alias("start_time"), (start + 28).alias("end_time"),
-        F.concat(F.lit("SPEAKER_0"), (F.col("chunk_index") % 3).cast("string")).alias("speaker"), F.lit(None).cast("string").alias("text"),
+        F.when(mark == 3, F.lit(None)).when(mark == 7, F.lit("")).otherwise(F.concat(F.lit("SPEAKER_0"), (F.col("chunk_index") % 3).cast("string"))).alias("speaker"), F.lit(None).cast("string").alias("text"),
     )
 
 
@@ -66,7 +68,7 @@ CTES = {
   CAST(sum(length(text)) OVER w - length(text) AS DOUBLE) / 16 AS start_time, CAST(sum(length(text)) OVER w AS DOUBLE) / 16 AS end_time, role AS speaker
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
     "v_turns": """v_turns AS (SELECT episode_id, k AS chunk_index, CAST(32 * k + episode_id % 4 AS DOUBLE) AS start_time,
-  CAST(32 * k + episode_id % 4 + 28 AS DOUBLE) AS end_time, 'SPEAKER_0' || CAST(k % 3 AS VARCHAR) AS speaker
+  CAST(32 * k + episode_id % 4 + 28 AS DOUBLE) AS end_time, CASE (episode_id + k) % 11 WHEN 3 THEN NULL WHEN 7 THEN '' ELSE 'SPEAKER_0' || CAST(k % 3 AS VARCHAR) END AS speaker
   FROM (SELECT episode_id, max(end_time) AS top FROM v_segments GROUP BY 1) e, unnest(range(0, CAST(floor(top / 32) AS BIGINT) + 1)) u(k))""",
     "v_episodes": """v_episodes AS (SELECT *, diarized AND id % 3 <> 0 AS chunked, diarized AND id % 3 <> 0 AND id % 2 = 0 AS indexed FROM (
   SELECT doc_id AS id, substring(text, 1, 60) AS title, (doc_id * 37) % 9000 AS duration_seconds, lang, source,

@@ -8,8 +8,12 @@ into windows of its own size, first fit over falling lengths; gaps of longer win
 are filled with whole documents of shorter tiers, and what then remains is closed with
 the head of a shorter document, whose tail stays in its tier.  A window of a tier is
 full, and so a power of two, except for the last ones of a partition, which are merged
-into one sequence.  ``step_group`` numbers groups of sequences with equal numbers of
-ids: one longest window, two of half its size, and so on.
+into one sequence.
+
+Sequences are trained on in step groups of equal size: one longest window, two of half
+its size, and so on.  A group is numbered when it is full; what the tiers still have at
+the end of a partition is put together, longest first, so that one group at most is not
+full.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_text, pieces
-from .tokens import Encoder
+from .tokens import encoder
 
 #: Ids that a task gathers before it packs them.
 POOL_IDS = 2_000_000
@@ -35,19 +39,26 @@ class Packer:
     def __init__(self, window: int = 4096, shortest: int = 512):
         self.window = window
         self.tiers = [t for t in (window >> k for k in range(12)) if t >= min(shortest, window)]
-        self.sequence = 0
-        self.made: dict[int, int] = defaultdict(int)
+        self.sequence = self.groups = 0
+        self.waiting: dict[int, list] = defaultdict(list)
         self.open: dict[int, list] = {t: [[], 0] for t in self.tiers}
 
     def _emit(self, parts: list, tier: int) -> Iterator[tuple]:
-        at = 0
-        fill = self.window // tier
-        self.made[tier] += 1
-        group = (self.made[tier] - 1) // fill
+        """Number a sequence, and give the rows of its step group if that is full now."""
+        at, rows = 0, []
         for doc, start, length, crc, total in parts:
-            yield doc, start, length, crc, total, self.sequence, at, tier, group
+            rows.append((doc, start, length, crc, total, self.sequence, at, tier))
             at += length
         self.sequence += 1
+        self.waiting[tier].append(rows)
+        if len(self.waiting[tier]) * tier == self.window:
+            yield from self._group(self.waiting.pop(tier))
+
+    def _group(self, sequences: list) -> Iterator[tuple]:
+        for rows in sequences:
+            for row in rows:
+                yield (*row, self.groups)
+        self.groups += 1
 
     def pool(self, docs: list[tuple[object, bytes]]) -> Iterator[tuple]:
         """Rows of all full windows of this pool; what is left stays for the next."""
@@ -136,8 +147,19 @@ class Packer:
             else:
                 home[0].extend(parts)
                 home[1] += used
-        for parts, _ in sequences:
-            yield from self._emit(parts, self.window)
+        for parts, used in sequences:
+            # One that is no power of two is padded to the longest window.
+            yield from self._emit(parts, self.window if used & (used - 1) else used)
+        group, room = [], self.window
+        for tier in sorted(self.waiting, reverse=True):
+            for rows in self.waiting.pop(tier):
+                group.append(rows)
+                room -= tier
+                if not room:
+                    yield from self._group(group)
+                    group, room = [], self.window
+        if group:
+            yield from self._group(group)
         self.open = {t: [[], 0] for t in self.tiers}
 
 
@@ -147,8 +169,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2)
 
     A null or empty text is one piece holding just ``end_id``; null doc_ids and repeated
     rows are packed like any other; an empty table packs into nothing.  ``sequence_id``
-    is the partition number times 2^32 plus a running number, ``step_group`` likewise
-    within its partition and tier.  A task holds one pool of ``POOL_IDS`` ids, or one
+    is the partition number times 2^32 plus a running number, ``step_group`` likewise;
+    ``tier`` is the length that a sequence is padded to.  A task holds one pool of ``POOL_IDS`` ids, or one
     document if that is longer."""
     df = id_text(docs)
     kind = df.schema["doc_id"].dataType.simpleString()
@@ -156,7 +178,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = Encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         packer, base = Packer(window), TaskContext.get().partitionId() << 32
         pool, size, doc_type = [], 0, None
 

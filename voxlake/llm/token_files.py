@@ -10,8 +10,10 @@ three adaptive models:
   hit rate.
 
 Adaptive weights, kept per level of confidence of the order-2 and order-1 predictions,
-mix them: where both name the same id their shares add up.  The shares drive a 48-bit
-range coder that emits 16-bit words; carries are resolved when a block is closed.
+mix them: where both name the same id their shares add up, and order 0 has what they
+leave.  The shares drive a 64-bit range coder that emits 32-bit words; a step codes which
+prediction came true or the group of the id, and an id of order 0 takes one step more.
+Carries are resolved when a block is closed.
 
 Blocks are coded in lockstep, one numpy lane per block, which makes the cost of Python
 a cost per step instead of per id.
@@ -27,77 +29,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, pieces, shared_dir
-from .tokens import Encoder
+from .common import drop_table, id_text, pieces, shared_dir, shared_table
+from .tokens import encoder, vocabulary_size
 
 BLOCK = 4096
-LANES = 4096
+LANES = 2048
+#: Ids below this can be coded.
+IDS = 1 << 16
 _S1, _S2 = 1 << 11, 1 << 12
 _REBUILD = 64
 _TOP = 1 << 16
+#: By what was trusted (0 to 3) and whether it came true: what is trusted now, above bit 16.
+_TRUST = np.array([0, 0, 1, 1, 1, 2, 3, 3], np.int32) << 16
+_ONES = np.ones(16, np.float32)
+_B24, _B32, _B16 = np.uint64(24), np.uint64(32), np.uint64(16)
+_WORD = np.uint64(1 << 32)
 
 
 class _Model:
     """The adaptive state of ``n`` lanes; encoder and decoder make the same calls."""
 
     def __init__(self, n: int):
-        self.n = n
-        self.lane = np.arange(n, dtype=np.int64)
+        lane = np.arange(n, dtype=np.int64)
+        self.b1, self.b2, self.bw, self.b0 = lane * _S1, lane * _S2, lane * 16, lane * 256
         # An entry holds an id and, above bit 16, how far it is trusted.
         self.t1, self.t2 = np.zeros(n * _S1, np.int32), np.zeros(n * _S2, np.int32)
-        self.w = np.full((n * 16, 2), 8192, np.int32)
-        self.last = np.zeros(n * 256, np.uint16)
+        # The shares of the order-2 (above bit 16) and the order-1 prediction.
+        self.w = np.full(n * 16, (8192 << 16) + 8192, np.int32)
+        # For every group of order 0 the id seen last and, above bit 16, how many were seen.
+        self.seen = np.zeros(n * 256, np.int32)
         self.hit = np.full(n, 8192, np.int32)
-        self.count = np.ones((n, 256), np.int32)
-        self.p1, self.p2 = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.p1, self.far = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self._rebuild(n)
 
     def _rebuild(self, k: int) -> None:
-        total = np.cumsum(self.count[:k], 1, dtype=np.int64)
-        cum = np.zeros((k, 257), np.int32)
-        cum[:, 1:] = total * (_TOP - 256) // total[:, -1:] + np.arange(1, 257)
-        self.cum = np.ascontiguousarray(cum)
+        """Shares of the 256 groups of order 0, where each begins and how wide it is."""
+        total = np.cumsum((self.seen[: k * 256] >> 16).reshape(k, 256) * 24 + 1, 1, dtype=np.int64)
+        ends = (total * (_TOP - 256) // total[:, -1:] + np.arange(1, 257)).astype(np.int32)
+        starts = np.zeros((k, 256), np.int32)
+        starts[:, 1:] = ends[:, :-1]
+        self.parts = (starts.astype(np.int64) << 32 | (ends - starts)).ravel()
+        self.fine, self.coarse = starts.reshape(k * 16, 16), np.ascontiguousarray(starts[:, ::16])
 
     def predict(self, k: int, t: int) -> None:
         """Look up the predictions for step ``t`` of the first ``k`` lanes."""
         if t and (t % _REBUILD == 0 or t in (8, 16, 32)):
             self._rebuild(k)
-        p1, p2, lane = self.p1[:k], self.p2[:k], self.lane[:k]
-        self.i1 = lane * _S1 + ((p1 * 20261 >> 3) & (_S1 - 1))
-        self.i2 = lane * _S2 + (((p1 * 25717 ^ p2 * 31153) >> 4) & (_S2 - 1))
-        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.x1, self.x2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
-        self.iw = lane * 16 + (self.e2 >> 16) * 4 + (self.e1 >> 16)
-        self.f = self.w.take(self.iw, 0)
-        f2, f1 = self.f[:, 0], self.f[:, 1]
-        same = self.x1 == self.x2
-        self.f2 = np.where(same, f2 + f1, f2)
-        self.f1 = np.where(same, 0, f1)
-
-    def update(self, k: int, ids: np.ndarray, low: np.ndarray, slots: np.ndarray, hits: np.ndarray) -> None:
-        """Learn ``ids``; ``low`` are the lanes that order 0 coded, in ``slots``."""
+        p1 = self.p1[:k]
+        self.i1 = self.b1[:k] + ((p1 * 20261 >> 3) & (_S1 - 1))
+        self.i2 = self.b2[:k] + (((p1 * 25717 ^ self.far[:k]) >> 4) & (_S2 - 1))
+        e1, e2 = self.t1.take(self.i1, mode="clip"), self.t2.take(self.i2, mode="clip")
+        self.x1, self.x2 = e1 & 0xFFFF, e2 & 0xFFFF
+        self.l1, self.l2 = e1 >> 16, e2 >> 16
+        self.iw = self.bw[:k] + (self.l2 * 4 + self.l1)
+        f = self.w.take(self.iw, mode="clip")
+        self.r2, self.r1 = f >> 16, f & 0xFFFF
+        joint = self.r1 * (self.x1 == self.x2)
+        self.f2, self.f1 = self.r2 + joint, self.r1 - joint
+
+    def update(self, k: int, ids: np.ndarray, low: np.ndarray, hits: np.ndarray) -> None:
+        """Learn ``ids``; ``low`` are the lanes that order 0 coded."""
         h1, h2 = ids == self.x1, ids == self.x2
-        for table, at, was, hit in ((self.t1, self.i1, self.e1, h1), (self.t2, self.i2, self.e2, h2)):
-            level = was >> 16
-            trust = np.where(hit, np.minimum(level + 1, 3), level >> 1)
-            table[at] = (trust << 16) + np.where(level < 2, ids, was & 0xFFFF)
+        self.t1[self.i1] = _TRUST.take(h1 * 4 + self.l1) + np.where(self.l1 < 2, ids, self.x1)
+        self.t2[self.i2] = _TRUST.take(h2 * 4 + self.l2) + np.where(self.l2 < 2, ids, self.x2)
         # Shares stay between 64 and 30000 of 65536, so order 0 always keeps some.
-        goal = np.empty_like(self.f)
-        goal[:, 0], goal[:, 1] = h2, h1 & ~h2
-        self.w[self.iw] = np.clip(self.f + ((goal * 29936 + 64 - self.f) >> 4), 64, 30000)
-        slot = ids & 255
-        at = self.lane[:k] * 256 + slot
-        self.last[at] = ids
-        self.count.ravel()[at] += 24
+        g2, g1 = h2 * np.int32(29936) + 64, (h1 > h2) * np.int32(29936) + 64
+        self.w[self.iw] = (self.r2 + ((g2 - self.r2) >> 4) << 16) + (self.r1 + ((g1 - self.r1) >> 4))
+        at = self.b0[:k] + (ids & 255)
+        self.seen[at] = (self.seen.take(at, mode="clip") & -65536) + 65536 + ids
         if len(low):
             rate = self.hit[low]
             self.hit[low] = np.clip(rate + (np.where(hits, 61440, 2048) - rate >> 5), 2048, 61440)
-        self.p2[:k] = self.p1[:k]
+        self.far[:k] = self.p1[:k] * 31153
         self.p1[:k] = ids
 
+    def group(self, who: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width, in 2^24, of the groups ``at`` of the lanes ``who``: their part
+        of what the predictions leave."""
+        base = (self.f2 + self.f1)[who].astype(np.int64)
+        rest, part = _TOP - base, self.parts.take(at, mode="clip")
+        begin = part >> 32
+        start = rest * begin >> 8
+        return (base << 8) + start, (rest * (begin + (part & 0xFFFFFFFF)) >> 8) - start
+
+    def find(self, who: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """The groups in whose part the points ``goal`` lie."""
+        base = (self.f2 + self.f1)[who].astype(np.int64)
+        most = ((((goal - (base << 8) + 1) << 8) - 1) // (_TOP - base)).astype(np.int32)[:, None]
+        # A product counts faster than a sum over so short an axis.
+        row = who * 16 + ((self.coarse.take(who, 0) <= most).astype(np.float32) @ _ONES).astype(np.int64) - 1
+        return row * 16 + ((self.fine.take(row, 0) <= most).astype(np.float32) @ _ONES).astype(np.int64) - 1 - who * 256
+
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The payload of each block of ids below 65,536, for at most ``BLOCK`` ids each."""
+    """The payload of each block, of at most ``BLOCK`` ids below ``IDS`` each."""
+    if any(len(b) and (b.max() >= IDS or b.min() < 0) for b in blocks):
+        raise ValueError(f"ids from {IDS} on cannot be coded")
     step = _even(len(blocks))
     return [x for at in range(0, len(blocks), step) for x in _encode(blocks[at : at + step])]
 
@@ -126,59 +153,62 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     for lane, k in enumerate(order):
         ids[: sizes[k], lane] = blocks[k]
     model = _Model(n)
-    width = 2 * steps + 8
-    words, pos = np.zeros(n * width, np.uint32), np.zeros(n, np.int64)
+    width = steps + 8
+    words, pos = np.zeros(n * width, np.uint64), np.zeros(n, np.int64)
     base = np.arange(n) * width
-    low, rng = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
-    b16, b32, b48, m16, m32, m48 = (np.uint64(x) for x in (16, 32, 48, 0xFFFF, 0xFFFFFFFF, (1 << 48) - 1))
-    one = np.uint64(1 << 32)
-
-    def put(lanes: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        r = rng[lanes] >> b16
-        at, span = low[lanes] + r * start.astype(np.uint64), r * freq.astype(np.uint64)
-        over = np.flatnonzero(at >> b48)
+    low, rng = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+
+    def put(lanes, at: np.ndarray, add: np.ndarray, span: np.ndarray) -> None:
+        """Narrow the ranges of ``lanes`` (a slice or an index)."""
+        who = None
+        over = np.flatnonzero(at < add)
         if len(over):
-            words[base[lanes[over]] + pos[lanes[over]] - 1] += np.uint32(1)
-            at &= m48
-        out = np.flatnonzero(span < one)
+            who = np.arange(n)[lanes]
+            words[base[who[over]] + pos[who[over]] - 1] += np.uint64(1)
+        out = np.flatnonzero(span < _WORD)
         if len(out):
-            who = lanes[out]
-            words[base[who] + pos[who]] = (at[out] >> b32) & m16
-            pos[who] += 1
-            at[out] = (at[out] & m32) << b16
-            span[out] <<= b16
+            who = np.arange(n)[lanes] if who is None else who
+            to = who[out]
+            words[base[to] + pos[to]] = at[out] >> _B32
+            pos[to] += 1
+            at[out] <<= _B32
+            span[out] <<= _B32
         low[lanes], rng[lanes] = at, span
 
     for t in range(steps):
         k = int(active[t])
         x = ids[t, :k]
         model.predict(k, t)
-        by2 = x == model.x2
-        by1 = (x == model.x1) & ~by2
-        rest = ~(by1 | by2)
         f2, f1 = model.f2, model.f1
-        put(model.lane[:k], np.where(by2, 0, np.where(by1, f2, f2 + f1)), np.where(by2, f2, np.where(by1, f1, _TOP - f2 - f1)))
-        who = np.flatnonzero(rest)
-        slots = x[who] & 255
-        hits = np.zeros(0, bool)
+        by2, by1 = x == model.x2, x == model.x1
+        start, freq = (f2 * ~by2).astype(np.int64) << 8, np.where(by2, f2, f1).astype(np.int64) << 8
+        who = np.flatnonzero(~(by1 | by2))
+        hits = by1
         if len(who):
-            start = model.cum[who, slots]
-            put(who, start, model.cum[who, slots + 1] - start)
-            hits = model.last[who * 256 + slots] == x[who]
+            of = x[who]
+            at = model.b0[who] + (of & 255)
+            start[who], freq[who] = model.group(who, at)
+        r = rng[:k] >> _B24
+        add = r * start.astype(np.uint64)
+        put(slice(0, k), low[:k] + add, add, r * freq.astype(np.uint64))
+        if len(who):
+            hits = (model.seen.take(at) & 0xFFFF) == of
             share = model.hit[who]
             step = (_TOP - share) >> 8
-            put(who, np.where(hits, 0, share + (x[who] >> 8) * step), np.where(hits, share, step))
-        model.update(k, x, who, slots, hits)
-    for shift in (b32, b16, np.uint64(0)):
-        words[base + pos] = (low >> shift) & m16
+            r = rng[who] >> _B16
+            add = r * np.where(hits, 0, share + (of >> 8) * step).astype(np.uint64)
+            put(who, low[who] + add, add, r * np.where(hits, share, step).astype(np.uint64))
+        model.update(k, x, who, hits)
+    for shift in (_B32, np.uint64(0)):
+        words[base + pos] = (low >> shift) & np.uint64(0xFFFFFFFF)
         pos += 1
     grid = words.reshape(n, width)
-    while len(over := np.argwhere(grid > 0xFFFF)):
-        grid[over[:, 0], over[:, 1]] &= np.uint32(0xFFFF)
-        np.add.at(grid, (over[:, 0], over[:, 1] - 1), np.uint32(1))
+    while len(over := np.argwhere(grid >= _WORD)):
+        grid[over[:, 0], over[:, 1]] -= _WORD
+        np.add.at(grid, (over[:, 0], over[:, 1] - 1), np.uint64(1))
     result: list[bytes] = [b""] * n
     for lane, k in enumerate(order):
-        result[k] = grid[lane, : pos[lane]].astype("<u2").tobytes()
+        result[k] = grid[lane, : pos[lane]].astype("<u4").tobytes()
     return result
 
 
@@ -186,59 +216,54 @@ def _decode(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
     sizes = np.array(counts, np.int64)
     order, active = _order(sizes)
     n, steps = len(payloads), len(active)
-    width = max((len(p) // 2 for p in payloads), default=0) + 4
+    width = max((len(p) // 4 for p in payloads), default=0) + 4
     grid = np.zeros((n, width), np.uint64)
     for lane, k in enumerate(order):
-        grid[lane, : len(payloads[k]) // 2] = np.frombuffer(payloads[k], "<u2")
-    words, base, pos = grid.ravel(), np.arange(n) * width, np.full(n, 3, np.int64)
-    b16 = np.uint64(16)
-    v = (grid[:, 0] << np.uint64(32)) | (grid[:, 1] << b16) | grid[:, 2]
-    rng, one = np.full(n, 1 << 48, np.uint64), np.uint64(1 << 32)
+        grid[lane, : len(payloads[k]) // 4] = np.frombuffer(payloads[k], "<u4")
+    words, base, pos = grid.ravel(), np.arange(n) * width, np.full(n, 2, np.int64)
+    v = (grid[:, 0] << _B32) | grid[:, 1]
+    rng = np.full(n, (1 << 64) - 1, np.uint64)
     model = _Model(n)
     ids = np.zeros((steps, n), np.int32)
 
-    def aim(lanes: np.ndarray) -> np.ndarray:
-        return np.minimum(v[lanes] // (rng[lanes] >> b16), np.uint64(_TOP - 1)).astype(np.int32)
-
-    def take(lanes: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        r = rng[lanes] >> b16
-        at, span = v[lanes] - r * start.astype(np.uint64), r * freq.astype(np.uint64)
-        out = np.flatnonzero(span < one)
+    def take(lanes, at: np.ndarray, span: np.ndarray) -> None:
+        out = np.flatnonzero(span < _WORD)
         if len(out):
-            who = lanes[out]
-            at[out] = (at[out] << b16) | words[base[who] + np.minimum(pos[who], width - 1)]
+            who = np.arange(n)[lanes][out]
+            at[out] = (at[out] << _B32) | words[base[who] + np.minimum(pos[who], width - 1)]
             pos[who] += 1
-            span[out] <<= b16
+            span[out] <<= _B32
         v[lanes], rng[lanes] = at, span
 
     for t in range(steps):
         k = int(active[t])
         model.predict(k, t)
         f2, f1 = model.f2, model.f1
-        goal = aim(model.lane[:k])
-        by2 = goal < f2
-        by1 = ~by2 & (goal < f2 + f1)
-        take(model.lane[:k], np.where(by2, 0, np.where(by1, f2, f2 + f1)), np.where(by2, f2, np.where(by1, f1, _TOP - f2 - f1)))
+        r = rng[:k] >> _B24
+        goal = np.minimum(v[:k] // r, np.uint64((1 << 24) - 1)).astype(np.int64)
+        upto = goal >> 8
+        by2 = upto < f2
+        by1 = (upto < f2 + f1) & ~by2
+        start, freq = (f2 * ~by2).astype(np.int64) << 8, np.where(by2, f2, f1).astype(np.int64) << 8
         x = np.where(by2, model.x2, model.x1)
         who = np.flatnonzero(~(by1 | by2))
-        slots, hits = np.zeros(0, np.int64), np.zeros(0, bool)
+        hits = by1
         if len(who):
-            goal = aim(who)
-            slots = np.zeros(len(who), np.int32)
-            flat, row = model.cum.ravel(), who * 257
-            for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-                slots += bit * (flat[row + slots + bit] <= goal)
-            start = model.cum[who, slots]
-            take(who, start, model.cum[who, slots + 1] - start)
-            goal = aim(who)
+            slots = model.find(who, goal[who])
+            at = model.b0[who] + slots
+            start[who], freq[who] = model.group(who, at)
+        take(slice(0, k), v[:k] - r * start.astype(np.uint64), r * freq.astype(np.uint64))
+        if len(who):
+            r = rng[who] >> _B16
+            aim = np.minimum(v[who] // r, np.uint64(_TOP - 1)).astype(np.int32)
             share = model.hit[who]
             step = (_TOP - share) >> 8
-            hits = goal < share
-            high = np.where(hits, 0, (goal - share) // step)
-            take(who, np.where(hits, 0, share + high * step), np.where(hits, share, step))
-            x[who] = np.where(hits, model.last[who * 256 + slots], high * 256 + slots)
+            hits = aim < share
+            high = np.where(hits, 0, np.minimum((aim - share) // step, 255))
+            take(who, v[who] - r * np.where(hits, 0, share + high * step).astype(np.uint64), r * np.where(hits, share, step).astype(np.uint64))
+            x[who] = np.where(hits, model.seen.take(at) & 0xFFFF, high * 256 + slots)
         ids[t, :k] = x
-        model.update(k, x, who, slots, hits)
+        model.update(k, x, who, hits)
     result: list[np.ndarray] = [np.zeros(0, np.int32)] * n
     for lane, k in enumerate(order):
         result[k] = ids[: sizes[k], lane].copy()
@@ -249,10 +274,32 @@ def block_crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+#: Ids of a file, about: as many blocks as are coded in lockstep.
+FILE_IDS = LANES * BLOCK
+#: Characters of a text by which rows of one doc_id are ordered.
+HEAD = 64
 _FILE = "file_no int, block_no int, n_ids int, crc32 long, payload binary, doc_ids array<{kind}>, doc_parts array<int>, closed boolean"
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2) -> None:
+def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
+    """``doc_id, head, n, ids`` per row of ``docs``, as a stored table: the first ``HEAD``
+    characters of its text, and its ids and ``end_id`` as little-endian unsigned 16-bit
+    integers."""
+    df = id_text(docs)
+    if vocabulary_size(vocabulary) > IDS or not 0 <= end_id < IDS:
+        raise ValueError(f"{vocabulary}: ids from {IDS} on cannot be coded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(vocabulary, "<u2"), np.array([end_id], "<u2").tobytes()
+        for b in pieces(batches):
+            ids = [encode(text) + end for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "head", "n", "ids"])
+
+    df = df.withColumn("head", F.substring("text", 1, HEAD))
+    return shared_table(df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, head string, n long, ids binary"), "token-ids")
+
+
+def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, file_ids: int = FILE_IDS) -> None:
     """Encode every whole text, append ``end_id`` and write the ids in ascending doc_id
     order as Parquet files at ``path``, one row per coded block.
 
@@ -261,24 +308,27 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
     many of its ids each has; a document may run over several blocks, and ``closed`` says
     whether the last one ends with the block.  Null texts are
     empty (just ``end_id``), null doc_ids come first, and rows of one doc_id are ordered
-    by text, so that equal rows are interchangeable.  An empty table writes no blocks.
-
-    One range shuffle of the texts puts them in order; encoding and coding run behind
-    it, holding at most ``LANES`` blocks of ids at a time."""
-    df = id_text(docs)
-    kind = df.schema["doc_id"].dataType.simpleString()
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by the first ``HEAD`` characters of their text, then by their ids, so that equal rows
+    are interchangeable.  An empty table writes no blocks.
+    A vocabulary with ids of 65,536 or more is refused.
+
+    Texts are tokenised where they are read.  What is put in order, by a range shuffle
+    over the doc_id, these characters and a hash of the ids, are their 16-bit ids, in as many ranges as
+    there are ``file_ids``, so that many rows of one doc_id are spread too."""
+    ids = tokenised(docs, vocabulary, end_id)
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    files = max(1, -(-total // file_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = Encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         file_no, number, held, owners = TaskContext.get().partitionId(), 0, [], []
         size = 0
 
         def flush(last: bool):
             nonlocal number, held, owners, size
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.frombuffer(b"".join(held), "<u2")
             keep = len(ids) if last else len(ids) // BLOCK * BLOCK
             blocks = [ids[at : min(at + BLOCK, keep)] for at in range(0, keep, BLOCK)]
             payloads = encode_blocks(blocks)
@@ -306,18 +356,19 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), None, pa.list_(pa.int32()), pa.bool_()]
         for b in pieces(batches):
             kinds[5] = pa.list_(b.schema.field(0).type)
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text) + end
-                held.append(ids)
-                owners.append([doc, len(ids) // 4])
-                size += len(ids) // 4
+            held += b.column(3).to_pylist()
+            counts = b.column(2).to_pylist()
+            owners += [list(x) for x in zip(b.column(0).to_pylist(), counts)]
+            size += sum(counts)
             if size >= LANES * BLOCK:
                 yield batch(flush(False))
         if owners:
             yield batch(flush(True))
 
-    ordered = df.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    place = F.xxhash64("ids")
+    ordered = ids.repartitionByRange(files, "doc_id", "head", place).sortWithinPartitions("doc_id", "head", place, "ids")
     ordered.mapInArrow(run, _FILE.format(kind=kind)).write.parquet(path)
+    drop_table(ids)
 
 
 def read_token_files(spark, path: str, kind: str = "bigint") -> DataFrame:
@@ -327,7 +378,7 @@ def read_token_files(spark, path: str, kind: str = "bigint") -> DataFrame:
     Every block is checked against its crc32; a damaged block fails the read.  The
     blocks of a file meet in one task, in order, and are decoded in bounded groups."""
     blocks = spark.read.schema(_FILE.format(kind=kind)).parquet(path)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = blocks.select("file_no").distinct().count() or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file_no", "doc_id", "at", "n_tokens", "ids_crc32"]
@@ -355,9 +406,9 @@ def read_token_files(spark, path: str, kind: str = "bigint") -> DataFrame:
 
     files = blocks.groupBy("file_no").agg(F.sum("n_ids").alias("size"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per file written, so the number of shuffle partitions bounds this side.
+    # One row per file, of FILE_IDS ids or more.
     files = files.select("file_no", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    read = blocks.repartition(parts, "file_no").sortWithinPartitions("file_no", "block_no")
+    read = blocks.repartitionById(parts, F.col("file_no")).sortWithinPartitions("file_no", "block_no")
     found = read.mapInArrow(run, f"file_no int, doc_id {kind}, at long, n_tokens long, ids_crc32 long")
     return found.join(F.broadcast(files), "file_no").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

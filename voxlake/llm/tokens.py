@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,16 +76,16 @@ class _Words:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as bytes, little-endian unsigned 32-bit if not asked for others."""
 
-    def __init__(self, path: str):
-        self.library = _load(path)
+    def __init__(self, path: str, kind: str = "<u4"):
+        self.library, self._kind = _load(path), kind
         merge = _Words(self.library)
-        parts = _Cache(lambda word: np.array(merge(word), "<u4").tobytes())
+        parts = _Cache(lambda word: np.array(merge(word), kind).tobytes())
         self._chunk = _Cache(lambda chunk: b"".join(map(parts.__getitem__, WORDS.findall(chunk))))
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self._kind).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if UNSAFE.search(text):
@@ -92,6 +93,18 @@ class Encoder:
         return b"".join(map(self._chunk.__getitem__, text.lower().split()))
 
 
+@lru_cache(1)
+def encoder(path: str, kind: str = "<u4") -> Encoder:
+    """The encoder of this process, with what its caches hold from earlier tasks."""
+    return Encoder(path, kind)
+
+
+def vocabulary_size(path: str) -> int:
+    """Ids of the vocabulary, those of added tokens with them."""
+    return max(_load(path).get_vocab(with_added_tokens=True).values(), default=-1) + 1
+
+
+@lru_cache(1)
 def single_token_words(path: str) -> frozenset[str]:
     """The vocabulary's strings that, as a whole pre-token, encode to exactly one
     token: each is run through the library alone and kept only if its own id comes
@@ -125,6 +138,12 @@ class Counter:
         return sum(map(self._chunk.__getitem__, text.lower().split()))
 
 
+@lru_cache(1)
+def counter(path: str, whole: frozenset[str]) -> Counter:
+    """The counter of this process, with what its caches hold from earlier tasks."""
+    return Counter(path, whole)
+
+
 def _piece_counter(path: str):
     import sentencepiece
 
@@ -142,7 +161,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     whole = docs.sparkSession.sparkContext.broadcast(frozenset() if sentence else single_token_words(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _piece_counter(vocabulary) if sentence else Counter(vocabulary, whole.value)
+        count = _piece_counter(vocabulary) if sentence else counter(vocabulary, whole.value)
         for b in pieces(batches, 2048):
             yield pa.record_batch([b.column(0), b.column(2), pa.array(map(count, b.column(1).to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -32,7 +32,7 @@ from .common import shared_table
 
 #: Bytes of queries that are broadcast, vectors in a shard, vectors in a block of postings,
 #: blocks scored at once.
-QUERY_BYTES, SHARD, ROWS, BLOCKS = 32 << 20, 8192, 32, 16
+QUERY_BYTES, SHARD, ROWS, BLOCKS = 32 << 20, 8192, 32, 32
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding", scale: int = 256) -> DataFrame:
@@ -53,11 +53,11 @@ class Shard:
         weight = np.argsort(-np.abs(values).sum(0), kind="stable")[:16]
         order = np.lexsort((values[:, weight] > 0).T[::-1]) if len(weight) else np.arange(len(ids))
         self.rows, self.ids = rows[order], ids[order]
-        # A line of ``lists`` is a dimension's postings of both signs, in block order.
-        self.lists = np.ascontiguousarray(values[order].T)
+        # A column is a dimension's list of postings of both signs, in block order.
+        self.lists = np.ascontiguousarray(values[order])
         starts = np.arange(0, len(ids), ROWS)
-        self.high = np.maximum(np.maximum.reduceat(self.lists, starts, axis=1), 0)
-        self.low = np.minimum(np.minimum.reduceat(self.lists, starts, axis=1), 0)
+        self.high = np.maximum(np.maximum.reduceat(self.lists, starts, axis=0), 0).T
+        self.low = np.minimum(np.minimum.reduceat(self.lists, starts, axis=0), 0).T
 
 
 def maxscore(query: np.ndarray, own_row: int, shard: Shard, best: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
@@ -83,12 +83,14 @@ def maxscore(query: np.ndarray, own_row: int, shard: Shard, best: list[tuple[int
         rows = rows[rows < len(shard.ids)]
         rows = rows[shard.rows[rows] != own_row]
         split = len(terms) if theta is None else min(len(terms), int(np.searchsorted(-to_come, -theta, side="right")))
-        partial = q[:split] @ shard.lists[terms[:split]][:, rows]
+        essential = np.zeros_like(query)
+        essential[terms[:split]] = q[:split]
+        partial = shard.lists[rows] @ essential
         j = split
         while j < len(terms) and len(rows):
             competitive = partial + to_come[j] >= theta
             rows, partial = rows[competitive], partial[competitive]
-            partial = partial + q[j : j + 8] @ shard.lists[terms[j : j + 8]][:, rows]
+            partial = partial + shard.lists[rows[:, None], terms[j : j + 8]] @ q[j : j + 8]
             j += 8
         if theta is not None:
             keep = partial >= theta

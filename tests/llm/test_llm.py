@@ -350,23 +350,49 @@ def test_components(spark):
 # --- Pipeline ---------------------------------------------------------------------
 
 
-def test_pipeline(spark, small, tables):
-    docs, seen = tables["documents"], []
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, small)
-        out.write.mode("overwrite").parquet(path := f"/tmp/voxlake-test-{name.replace(' ', '-')}")
-        docs = spark.read.parquet(path)
-        seen.append((name, docs))
-    assert len(corpus_pipeline.STAGES) == 5 and all(d.columns == tables["documents"].columns for _, d in seen[:-1])
-    counts = [tables["documents"].count(), *(d.count() for _, d in seen[:-1])]
+def stages(spark, docs, sf_dir, folder):
+    """The result of each stage, written and read again."""
+    out = []
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+        out.append(docs)
+    return out
+
+
+def test_pipeline(spark, small, tables, tmp_path):
+    seen = stages(spark, tables["documents"], small, tmp_path)
+    assert len(corpus_pipeline.STAGES) == 5 and all(d.columns == tables["documents"].columns for d in seen[:-1])
+    counts = [tables["documents"].count(), *(d.count() for d in seen[:-1])]
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0.5 * counts[0]
-    check_pack(seen[-1][1].collect(), plain(seen[-2][1]))
-    final = "\n".join(t for _, t in plain(seen[3][1]))
+    check_pack(seen[-1].collect(), plain(seen[-2]))
+    final = "\n".join(t for _, t in plain(seen[3]))
     assert not any(base_of(final)[k] for k in ("email",))
 
 
-def test_pipeline_on_odd_rows(spark, small, odd):
-    docs = odd
-    for name, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, small).write.mode("overwrite").parquet(path := f"/tmp/voxlake-odd-{name.replace(' ', '-')}")
-        docs = spark.read.parquet(path)
+def test_run_leaves_its_result_only(spark, small, tmp_path, monkeypatch):
+    from voxlake.llm import common
+
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = corpus_pipeline.run(spark, small).count()
+    assert rows > 0 and [p.name[:8] for p in tmp_path.iterdir()] == ["pipeline"]
+
+
+def test_pipeline_on_odd_rows(spark, small, odd, tmp_path):
+    good, unique, clean, redacted, packed = stages(spark, odd, small, tmp_path)
+    assert all(d.columns == odd.columns for d in (good, unique, clean, redacted))
+    words = lambda t: tuple(re.findall(r"\w+", t.lower()))
+    kept = [words(t) for _, t in plain(unique)]
+    assert len(set(kept)) == len(kept) == unique.count() and set(kept) <= {words(t) for _, t in plain(good)}
+    gone = {words(t) for _, t in plain(good)} - set(kept)
+    for w in gone:
+        sets = [{x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in (w, *kept)]
+        assert any(len(sets[0] & s) >= 0.8 * len(sets[0] | s) for s in sets[1:])
+    assert plain(clean) == plain(unique) and redacted.count() == clean.count()
+    tokens_of = sorted(len(ids_of(t)) + 1 for _, t in plain(redacted))
+    assert sorted(r.doc_tokens for r in packed.filter("start = 0").collect()) == tokens_of and packed.agg(F.sum("length")).first()[0] == sum(tokens_of)
+
+
+def test_pipeline_on_nothing(spark, small, none, tmp_path):
+    assert [d.count() for d in stages(spark, none, small, tmp_path)] == [0] * 5

@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 #: Most keys that :func:`heavy_join` broadcasts.
 HEAVY_KEYS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session.  Only where that is unset (tests, local mode) a folder of our own."""
+    session.  Only where that is unset and driver and executors are one process (tests,
+    local mode) a folder of our own; a cluster has to name one."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="voxlake-")
@@ -33,17 +38,34 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     is also computed only once, however many plans read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table written by :func:`shared_table` once nothing reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    delete_path(df.sparkSession, df.shared_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the tables that :func:`shared_table` writes inside.  What is
+    wanted of them must have been written elsewhere by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[before:]:
+            delete_path(spark, path)
+        del _MADE[before:]
 
 
 def heavy_join(left: DataFrame, right: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
@@ -53,7 +75,7 @@ def heavy_join(left: DataFrame, right: DataFrame, key: list[str], count: str, to
     Keys of more than ``total / HEAVY_KEYS`` rows are at most ``HEAVY_KEYS``, whatever
     the data: these are broadcast, so that the rows of a key stay spread over all tasks.
     The rows of all other keys are joined by shuffle."""
-    least = max(1_000, -(-total // HEAVY_KEYS))
+    least = max(64, -(-total // HEAVY_KEYS))
     heavy = F.broadcast(right.filter(F.col(count) > least))
     light = left.join(heavy.select(*key), key, "left_anti").join(right.filter(F.col(count) <= least), key)
     return left.join(heavy, key).unionByName(light)

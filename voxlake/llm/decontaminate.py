@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_columns, id_text, pieces
+from .common import id_text, pieces
 
 #: Items of an index shard, which bounds what is sent to the executors at once.
 SHARD = 5_000
@@ -33,6 +33,8 @@ SHARD = 5_000
 ITEMS = 4
 K1, B = 1.2, 0.75
 SHINGLE = 5
+#: Stretches of a text that are bounded at once.
+STRETCHES = 64
 WORD = re.compile(r"\w+")
 
 
@@ -137,16 +139,19 @@ class Index:
         stretches = -(-n // step)
         keys = np.unique((at // step) * (missing + 1) + known[at])
         stretch, term = keys // (missing + 1), keys % (missing + 1)
-        first = np.searchsorted(stretch, np.arange(stretches + 1))
-        bounds = np.zeros((stretches + 1, self.maxima.shape[1]), np.float32)
-        for lo in range(0, len(term), 65536):
-            np.add.at(bounds, stretch[lo : lo + 65536], self.maxima[term[lo : lo + 65536]])
-        for w, block in np.argwhere(bounds[:-1] + bounds[1:] >= threshold - 1e-4):
-            if w and w == stretches - 1:
-                continue
-            terms = sorted(set(term[first[w] : first[min(w + 2, stretches)]].tolist()))
-            for item, value in self.wand(terms, int(block), threshold):
-                yield item, value, int(w * step), words[w * step : (w + 2) * step]
+        first = np.searchsorted(stretch, np.arange(stretches + 2))
+        # A few stretches at a time, and the one after them: the bounds never grow with
+        # the text.
+        for lo in range(0, max(1, stretches - 1), STRETCHES):
+            hi = min(lo + STRETCHES, max(1, stretches - 1))
+            a, z = first[lo], first[min(hi + 1, stretches)]
+            bounds = np.zeros((hi - lo + 1, self.maxima.shape[1]), np.float32)
+            np.add.at(bounds, stretch[a:z] - lo, self.maxima[term[a:z]])
+            for k, block in np.argwhere(bounds[:-1] + bounds[1:] >= threshold - 1e-4):
+                w = lo + int(k)
+                terms = sorted(set(term[first[w] : first[min(w + 2, stretches)]].tolist()))
+                for item, value in self.wand(terms, int(block), threshold):
+                    yield item, value, w * step, words[w * step : (w + 2) * step]
 
 
 def _overlap(part: set, inside: set, words: list[str]) -> float:
@@ -158,22 +163,24 @@ def _overlap(part: set, inside: set, words: list[str]) -> float:
     return len(part & inside) / len(part)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part_overlap: float = 0.5) -> DataFrame:
-    """``doc_id, item_id, score, item_overlap, question_overlap, answer_overlap,
-    start_word`` per document and item it leaks, at its best window.
-
-    A pair is a leak where the window scores ``threshold``, holds ``overlap`` of the
-    item's shingles and ``part_overlap`` of those of the question and of the answer.
-    Null and empty texts, and items without words, match nothing; repeated rows come
-    back each; an empty side gives an empty result.
-
-    Document frequencies and lengths are counted over all items; the index is sent a
-    shard at a time, so its size on an executor is bounded however many items there are."""
-    df = id_text(docs)
-    kind = df.schema["doc_id"].dataType.simpleString()
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, score double, item_overlap double, question_overlap double, answer_overlap double, start_word long"
-    spark = docs.sparkSession
+def _found(ix: Index, text: str, threshold: float, overlap: float, part_overlap: float) -> dict[int, tuple]:
+    """For every item that ``text`` leaks: item overlap, score, negative first word,
+    question and answer overlap at its best window."""
+    best: dict[int, tuple] = {}
+    for item, value, start, words in ix.search(text, threshold):
+        question, answer, whole = ix.parts[item]
+        inside = shingles(words)
+        found = [_overlap(p, inside, words) for p in (whole, question, answer)]
+        if found[0] >= overlap and min(found) >= part_overlap:
+            row = (found[0], value, -start, found[1], found[2])
+            best[item] = max(best.get(item, row), row)
+    return best
+
+
+def _indexes(benchmark: DataFrame) -> Iterator:
+    """A broadcast index for every shard of the items.  Document frequencies and lengths
+    are counted over all items."""
+    spark = benchmark.sparkSession
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +190,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
 
     counted = items.select("text").mapInArrow(split, "words array<string>, n long")
     n_items, total = counted.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    result = None
     shards = max(1, -(-n_items // SHARD))
     frequencies = counted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     for shard in range(shards):
@@ -191,21 +197,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
         rows = [(r.item_id, r.text) for r in own.sort("item_id", "text").collect()]
         terms = own.select("text").mapInArrow(split, "words array<string>, n long").select(F.explode("words").alias("word")).distinct()
         df_of = {r.word: r.df for r in frequencies.join(terms, "word").collect()}
-        index = spark.sparkContext.broadcast(Index(rows, df_of, n_items, total / max(n_items, 1)))
+        yield spark.sparkContext.broadcast(Index(rows, df_of, n_items, total / max(n_items, 1)))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part_overlap: float = 0.5) -> DataFrame:
+    """``doc_id, item_id, score, item_overlap, question_overlap, answer_overlap,
+    start_word`` per document and item it leaks, at its best window.
+
+    A pair is a leak where the window scores ``threshold``, holds ``overlap`` of the
+    item's shingles and ``part_overlap`` of those of the question and of the answer.
+    Null and empty texts, and items without words, match nothing; repeated rows come
+    back each; an empty side gives an empty result; columns beside ``doc_id, text`` and
+    ``item_id, text`` are not looked at.
+
+    The index is sent a shard at a time, so its size on an executor is bounded however
+    many items there are."""
+    df = id_text(docs)
+    kind = df.schema["doc_id"].dataType.simpleString()
+    item_kind = benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id {item_kind}, score double, item_overlap double, question_overlap double, answer_overlap double, start_word long"
+    result = None
+    for index in _indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = index.value
             for b in pieces(batches):
                 out = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    best: dict[int, tuple] = {}
-                    for item, value, start, words in ix.search(text, threshold):
-                        question, answer, whole = ix.parts[item]
-                        inside = shingles(words)
-                        found = [_overlap(p, inside, words) for p in (whole, question, answer)]
-                        if found[0] >= overlap and min(found) >= part_overlap:
-                            row = (found[0], value, -start, found[1], found[2])
-                            best[item] = max(best.get(item, row), row)
+                    best = _found(ix, text, threshold, overlap, part_overlap)
                     out += [(doc, ix.ids[k], r[1], r[0], r[3], r[4], -r[2]) for k, r in sorted(best.items())]
                 if out:
                     types = [b.schema.field(0).type, None, *[pa.float64()] * 4, pa.int64()]
@@ -217,10 +236,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
     return result
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text leaks no item, whatever their doc_id; all columns
-    kept."""
-    key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    leaking = leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("key")).distinct()
-    keyed = docs.select(F.struct(*all_columns(docs)).alias("own"), key.alias("key"))
-    return keyed.join(leaking, "key", "left_anti").select([F.col("own").getField(c).alias(c) for c in docs.columns])
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part_overlap: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text leaks no item, whatever their doc_id, each judged by
+    itself where it is read; all columns are kept, whatever their names.  Null and empty
+    texts leak nothing; an empty table, or no items, leaves ``docs`` as it is."""
+    at = docs.columns.index("text")
+    kept = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    schema = kept.schema
+    for index in _indexes(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            ix = index.value
+            for b in pieces(batches):
+                yield b.filter(pa.array([not _found(ix, t or "", threshold, overlap, part_overlap) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        kept = kept.mapInArrow(run, schema)
+    return kept.toDF(*docs.columns)

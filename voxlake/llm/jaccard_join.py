@@ -320,7 +320,14 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
             if not len(a):
                 continue
             count = np.bincount(a, minlength=len(sets)) + np.bincount(b, minlength=len(sets))
-            names, root = t.column("node").to_pylist(), _roots(len(sets), a, b)
+            # The root is the least node by name, so that edges hang many nodes on one
+            # smaller node, and never one node on many smaller ones.
+            names = t.column("node").to_pylist()
+            order = sorted(range(len(names)), key=names.__getitem__)
+            place = np.empty(len(names), np.int64)
+            place[order] = np.arange(len(names))
+            least = _roots(len(names), place[a], place[b])
+            root = [order[least[place[k]]] for k in range(len(names))]
             who = np.flatnonzero(count).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in who], pa.binary()), pa.array(count[who], pa.int64()), pa.array([names[root[k]] for k in who], pa.binary())], names=["node", "n_links", "root"])
 
@@ -342,8 +349,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
         large = heavy_join(both, least, ["u"], "n", 2 * size).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = heavy_join(large, least, ["u"], "n", 2 * size).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = shared_table(small.select("e.u", "e.v").filter("u <> v").distinct(), "components")
         n = small.count()
         changed = n != size or small.join(edges, ["u", "v"], "left_anti").limit(1).count()

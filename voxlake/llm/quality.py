@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, id_text, pieces, shared_table
 
+#: Labelled documents up to which their ids are broadcast, so that no other is measured.
+BROADCAST_LABELS = 500_000
 #: Random features, bins of the calibration, tasks that sum partial equations.
 FEATURES, BINS, SUMMERS = 256, 1024, 8
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
@@ -123,9 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, ridge: float = 1.0) -> Model:
     """Fit on all labelled rows outside the held-out fold.
 
     Null labels and labels of unknown documents are ignored; several labels of one
-    document are averaged.  Without any label every score is 0.5."""
+    document are averaged; repeated rows of a document count each, and rows without a
+    doc_id have no label.  Without any label, or any document, every score is 0.5.  Texts
+    are measured as :func:`statistics` does: null and empty ones have zeros, long ones are
+    read whole."""
     y = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     y = y.withColumn("fold", fold(F.col("doc_id"))).filter(F.col("fold") != HELD_OUT)
+    if y.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        # So few that only labelled documents need to be measured.
+        y = F.broadcast(y)
+        docs = docs.join(F.broadcast(y.select("doc_id")), "doc_id", "left_semi")
     known = shared_table(measured(docs).join(y, "doc_id").select("stats", "y", "fold"), "quality-fit")
     schema = "sums binary"
 
@@ -200,7 +209,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, all columns kept."""
+    """The rows of ``docs`` that the classifier does not reject, all columns kept, whatever
+    their names.  Each row is judged by its own text, null and empty ones like any other;
+    repeated rows and null ids are kept or dropped alike; an empty table stays empty."""
     model = fit(docs, labels)
     # By place: what the columns are called, dots included, does not matter here.
     text = docs.columns.index("text")

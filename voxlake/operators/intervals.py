@@ -1,8 +1,8 @@
 """Joins over time and character intervals: an equality on the episode plus a residual.
 
-Spark plans them as hash or sort-merge joins on the key.  Where one episode is so long
-that its pairs dominate, ``bucket`` splits both sides by time as well: a pair is kept
-only in the bucket where the later of the two begins, so none is found twice.
+Spark plans them as hash or sort-merge joins on the key.  ``bucket`` splits both sides by
+time as well, so that a long episode is many keys and a row meets its neighbours only: a
+pair is kept in the bucket where the later of the two begins, so none is found twice.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds of an episode that are one key of a join.
+BUCKET = 1800.0
+
+
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return F.least(a_end, b_end) - F.greatest(a_start, b_start)
 
@@ -34,10 +38,10 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, reach: float = 0.
     return pairs.drop("l_cell", "r_cell")
 
 
-def segments_in_turns(segments: DataFrame, turns: DataFrame, min_ratio: float = 0.5) -> DataFrame:
+def segments_in_turns(segments: DataFrame, turns: DataFrame, min_ratio: float = 0.5, bucket: float | None = BUCKET) -> DataFrame:
     """``episode_id, chunk_index, segment_index, ratio``: segments of which at least
     ``min_ratio`` lies in a turn.  A segment split in half belongs to both turns."""
-    pairs = interval_join(turns, segments, "episode_id")
+    pairs = interval_join(turns, segments, "episode_id", bucket=bucket)
     shared = overlap(F.col("l_start_time"), F.col("l_end_time"), F.col("r_start_time"), F.col("r_end_time"))
     length = F.col("r_end_time") - F.col("r_start_time")
     ratio = F.try_divide(shared, length)
@@ -58,12 +62,12 @@ def align_turns(segments: DataFrame, turns: DataFrame, min_ratio: float = 0.5) -
     return joined.withColumn("aligned", F.col("parts").isNotNull()).withColumn("text", F.coalesce(text, F.col("text"))).drop("parts")
 
 
-def speaker_of_segments(segments: DataFrame, turns: DataFrame, tolerance: float = 2.0) -> DataFrame:
+def speaker_of_segments(segments: DataFrame, turns: DataFrame, tolerance: float = 2.0, bucket: float | None = BUCKET) -> DataFrame:
     """Segments with the speaker of the turn they overlap most (ties to the earliest
     turn).  Where none overlaps, or that turn has no label, it is the speaker of the
     nearest turn at most ``tolerance`` away (overlapping turns are at distance 0, ties
     to the earliest); null where that has no label either, or there is none."""
-    pairs = interval_join(segments.select("episode_id", "segment_index", "start_time", "end_time"), turns.select("episode_id", "chunk_index", "start_time", "end_time", "speaker"), "episode_id", reach=tolerance)
+    pairs = interval_join(segments.select("episode_id", "segment_index", "start_time", "end_time"), turns.select("episode_id", "chunk_index", "start_time", "end_time", "speaker"), "episode_id", reach=tolerance, bucket=bucket)
     shared = overlap(F.col("l_start_time"), F.col("l_end_time"), F.col("r_start_time"), F.col("r_end_time"))
     place = (F.col("r_start_time"), F.col("r_chunk_index"))
     most = F.min_by("r_speaker", F.when(shared > 0, F.struct(-shared, *place)))
@@ -73,11 +77,11 @@ def speaker_of_segments(segments: DataFrame, turns: DataFrame, tolerance: float
     return segments.join(best, ["episode_id", "segment_index"], "left")
 
 
-def speakers_in_ranges(ranges: DataFrame, turns: DataFrame) -> DataFrame:
+def speakers_in_ranges(ranges: DataFrame, turns: DataFrame, bucket: float | None = BUCKET) -> DataFrame:
     """Ranges (``episode_id, chunk_index, start_time, end_time``) with the sorted labels
     of the turns that overlap them; none is null."""
     labelled = turns.filter(F.coalesce("speaker", F.lit("")) != "")
-    pairs = interval_join(ranges.select("episode_id", "chunk_index", "start_time", "end_time"), labelled.select("episode_id", "start_time", "end_time", "speaker"), "episode_id")
+    pairs = interval_join(ranges.select("episode_id", "chunk_index", "start_time", "end_time"), labelled.select("episode_id", "start_time", "end_time", "speaker"), "episode_id", bucket=bucket)
     strict = (F.col("r_start_time") < F.col("l_end_time")) & (F.col("r_end_time") > F.col("l_start_time"))
     found = pairs.filter(strict).groupBy(F.col("l_episode_id").alias("episode_id"), F.col("l_chunk_index").alias("chunk_index")).agg(F.array_sort(F.collect_set("r_speaker")).alias("speakers"))
     return ranges.join(found, ["episode_id", "chunk_index"], "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -563,6 +563,40 @@ def encode_index(spark, sf_dir):
     return vectors.encode_index(vectors.with_metadata(c, episodes(spark, sf_dir)))
 
 
+@query("""SELECT doc_id, 0 AS first_char, CAST(length(text) AS BIGINT) AS last_char, true AS small, true AS in_order, true AS whole FROM documents WHERE regexp_matches(text, '[^\\s\\x{0085}\\x{00A0}]')""")
+def chunk_coverage(spark, sf_dir):
+    """What holds for the chunks of every document: they begin and end with the text, leave
+    nothing out, have at most 500 tokens, and begin later than the ones before."""
+    t = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("episode_id"), F.col("text").alias("full_text"))
+    c = chunking.chunk_texts(t)
+    before = Window.partitionBy("episode_id").orderBy("chunk_index")
+    c = c.withColumn("since", F.lag("start_char").over(before)).withColumn("upto", F.lag("end_char").over(before))
+    return c.groupBy(F.col("episode_id").alias("doc_id")).agg(
+        F.min("start_char").cast("int").alias("first_char"), F.max("end_char").alias("last_char"), (F.max("token_count") <= 500).alias("small"),
+        F.every(F.coalesce(F.col("since") < F.col("start_char"), F.lit(True))).alias("in_order"), F.every(F.coalesce(F.col("upto") >= F.col("start_char"), F.lit(True))).alias("whole"),
+    )
+
+
+@query("""s AS (SELECT *, trim(text, ' ') AS said FROM v_segments), t AS (SELECT episode_id, sum(length(said) + 1) - 1 AS n, min(start_time) AS start_time, max(end_time) AS end_time FROM s WHERE said <> '' GROUP BY 1)
+SELECT episode_id, CAST(n AS BIGINT) AS last_char, start_time, end_time, true AS small FROM t""", "v_segments")
+def episode_chunk_coverage(spark, sf_dir):
+    """The chunks of an episode end with its text and span the times of its segments."""
+    c = chunking.chunk_episodes(segments(spark, sf_dir), turns(spark, sf_dir), size=120, overlap=20)
+    return c.groupBy("episode_id").agg(F.max("end_char").alias("last_char"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), (F.max("token_count") <= 120).alias("small"))
+
+
+@query("""SELECT CAST(id AS VARCHAR) AS episode_id, title AS episode_title, duration_seconds, true AS named, true AS unit_length FROM v_episodes e JOIN documents d ON d.doc_id = e.id WHERE regexp_matches(d.text, '[^\\s\\x{0085}\\x{00A0}]')""", "v_episodes")
+def index_coverage(spark, sf_dir):
+    """Every document with text is in the index, its rows named by chunk, with the
+    episode's metadata and vectors of length 1 (0 where a chunk has no word)."""
+    v = encode_index(spark, sf_dir)
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    name = F.concat_ws("_", F.col("episode_id").cast("string"), F.col("chunk_index").cast("string"))
+    return v.groupBy("metadata.episode_id", "metadata.episode_title", "metadata.duration_seconds").agg(
+        F.every(F.col("embedding_id") == name).alias("named"), F.every((F.abs(length - 1) < 1e-9) | (length == 0)).alias("unit_length")
+    )
+
+
 @query()
 def episode_overview(spark, sf_dir):
     """Alignment, text volume and repetition per conversation: joins, windows, arrays

@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage with files that outlive any executor; what is written
@@ -39,7 +39,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     table = spark.read.schema(df.schema).parquet(path)
     table.shared_path = path
     return table

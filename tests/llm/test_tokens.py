@@ -43,3 +43,24 @@ def test_one_encoder_a_process():
     assert tokens.encoder(VOCAB) is tokens.encoder(VOCAB)
     assert tokens.vocabulary_size(VOCAB) == 49408
     assert np.frombuffer(tokens.encoder(VOCAB, "<u2")("some words"), "<u2").tolist() == np.frombuffer(tokens.encoder(VOCAB)("some words"), "<u4").tolist()
+
+
+def test_pieces_equal_sentencepiece(small):
+    import random
+
+    import duckdb
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    whole = tokens.single_piece_words(path)
+    assert len(whole) > 1000 and all(len(model.encode(w)) == 1 for w in list(whole)[:500])
+    count = tokens.PieceCounter(path, whole)
+    rng = random.Random(3)
+    some = sorted(whole)[::40]
+    texts = [" ".join(rng.choice([rng.choice(some), "unwörthy", "x9-2", "<s>", "</s>", "É.", "don't", "é"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts += ["", " ", " a", "a ", "a  b", "a\nb c", "a\n b", "\ta", "日本 a", "a ▁ b", "½ a", "ﬁ b", "a b\x7f c"]
+    texts += [r[0] for r in duckdb.connect().execute(f"SELECT text FROM '{small}/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    cut = [t for t in texts if "" not in t.split(" ") and tokens._PLAIN.issuperset(t)]
+    assert len(cut) > 250
+    assert [count(t) for t in texts] == [len(model.encode(t)) for t in texts]

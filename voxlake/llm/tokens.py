@@ -1,5 +1,5 @@
-"""Token ids and token counts that equal the tokenizers library's, without running
-it on every word.
+"""Token ids and token counts that equal the libraries', without running them on every
+word.
 
 The vocabulary file splits text on white space and into letters, digits and runs of
 other characters before any merge, so the ids of a text are the ids of its words.
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -144,11 +145,48 @@ def counter(path: str, whole: frozenset[str]) -> Counter:
     return Counter(path, whole)
 
 
-def _piece_counter(path: str):
+def _pieces(path: str):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda text: len(model.encode(text))
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+#: Characters of a text that is cut at spaces for a sentencepiece model: printable, and
+#: the same in every Unicode normal form.
+_PLAIN = frozenset(c for c in map(chr, range(32, 0x180)) if c.isprintable() and all(normalize(f, c) == c for f in ("NFC", "NFKC")))
+_MARK = "\u2581"
+
+
+@lru_cache(1)
+def single_piece_words(path: str) -> frozenset[str] | None:
+    """The strings that a sentencepiece model encodes as one piece where a space or the
+    beginning of the text comes before them; None if its texts cannot be cut at spaces.
+
+    They can where no piece holds a word's end and the space after it, so that no merge
+    crosses a space, and a word alone has the mark of a space in front."""
+    model = _pieces(path)
+    listed = [model.id_to_piece(k) for k in range(model.get_piece_size())]
+    if any(a != _MARK and b == _MARK for p in listed for a, b in zip(p, p[1:])) or model.encode("a b") != model.encode("a") + model.encode("b"):
+        return None
+    words = [(p[1:], k) for k, p in enumerate(listed) if len(p) > 1 and p[0] == _MARK and _PLAIN.issuperset(p[1:]) and " " not in p]
+    return frozenset(w for (w, k), found in zip(words, model.encode([w for w, _ in words])) if found == [k])
+
+
+class PieceCounter:
+    """Piece counts: words proven to be one piece count directly, other words are encoded
+    alone and kept.  A text with other white space than single spaces between words, or
+    with characters that a normaliser could change, is encoded whole."""
+
+    def __init__(self, path: str, whole: frozenset[str] | None):
+        self._model, self._cut = _pieces(path), whole is not None
+        rest = _Cache(lambda word: len(self._model.encode(word)))
+        self._word = _Cache(lambda word: 1 if word in (whole or ()) else rest[word])
+
+    def __call__(self, text: str) -> int:
+        words = text.split(" ")
+        if not self._cut or "" in words or not _PLAIN.issuperset(text):
+            return len(self._model.encode(text))
+        return sum(map(self._word.__getitem__, words))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
@@ -158,10 +196,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     back as they are; an empty table gives an empty result.  One narrow pass, no
     shuffle; the shipped word set is bounded by the vocabulary."""
     sentence = vocabulary.endswith(".model")
-    whole = docs.sparkSession.sparkContext.broadcast(frozenset() if sentence else single_token_words(vocabulary))
+    whole = docs.sparkSession.sparkContext.broadcast(single_piece_words(vocabulary) if sentence else single_token_words(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _piece_counter(vocabulary) if sentence else counter(vocabulary, whole.value)
+        count = PieceCounter(vocabulary, whole.value) if sentence else counter(vocabulary, whole.value)
         for b in pieces(batches, 2048):
             yield pa.record_batch([b.column(0), b.column(2), pa.array(map(count, b.column(1).to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

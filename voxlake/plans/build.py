@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_memory_error
 from ..operators import chunking, intervals, rag, reports, sequence, vectors
 from ..schemas import Store
+from ..sources import audio
 from .phases import PHASES, Phase, Settings, pending
 
 
@@ -79,6 +80,18 @@ def _added(store: Store, table: str, rows: DataFrame, flag: str, ids: DataFrame,
     return store.read(table).count() - before
 
 
+def evaluate_answers(asked: DataFrame, judge: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """``query_id, type`` and the judge's scores, reasoning and error for answers (``query_id,
+    type, query, context_chunks, answer, reference``); queries without a reference answer
+    are not judged.  A judge that fails is an error of its row.
+    :func:`metrics.by_type` averages the scores."""
+    prompts = asked.filter("reference is not null").select("query_id", "type", rag.judge_prompt(F.col("query"), F.col("context_chunks"), F.col("answer"), F.col("reference")).alias("prompt"))
+    replies = audio.apply_model(prompts, "query_id", "prompt", judge)
+    parsed = replies.select("query_id", rag.parse_judge(F.col("output")).alias("j"), F.col("error").alias("failed")).select("query_id", "j.*", "failed")
+    parsed = parsed.withColumn("error", F.coalesce("failed", "error")).drop("failed")
+    return prompts.select("query_id", "type").join(parsed, "query_id")
+
+
 def phases(store: Store, settings: Settings = Settings(), hooks: dict[str, Callable[[], object]] = {}, encoder: Callable | None = None) -> tuple[Phase, ...]:
     """The registry with something to run in every phase that has it: ``hooks`` by name
     for ingestion, transcription and diarization, the plans for the others."""

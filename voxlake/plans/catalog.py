@@ -597,6 +597,81 @@ def index_coverage(spark, sf_dir):
     )
 
 
+_PT_INTRO = r"""w AS (SELECT episode_id, segment_index, list_filter(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '), lambda w: w <> '') AS w FROM v_segments),
+said AS (SELECT *, CASE segment_index % 4 WHEN 0 THEN 'Olá, aqui é o ' || w[1] || ' ' || w[2] || ' ' || w[3] || ', bem-vindos' WHEN 1 THEN 'eu sou a ' || w[1] || ' e hoje' WHEN 2 THEN 'aqui quem vos fala e a ' || w[1] ELSE 'nada, ' || w[1] END AS l FROM w),
+ways AS (SELECT *, [regexp_extract(lower(l), 'aqui [eé] [oa] ([^,]+?)(?:,|\s+e\s|$)', 1), regexp_extract(lower(l), 'eu sou [oa]? ?([^,]+?)(?:,|\s+e\s|$)', 1), regexp_extract(lower(l), 'aqui quem vos fala [eé] [oa] ([^,]+?)(?:,|\s+e\s|$)', 1)] AS found FROM said),
+cut AS (SELECT *, list_filter(list_transform(found, lambda f: array_to_string(list_transform(list_filter(regexp_split_to_array(trim(f), '\s+'), lambda x: x <> '')[1:2], lambda x: upper(x[1:1]) || x[2:]), ' ')), lambda f: length(f) > 2) AS names FROM ways)"""
+
+
+@query(_PT_INTRO + "\nSELECT episode_id, segment_index, names[1] AS name FROM cut", "v_segments")
+def name_extraction_pt(spark, sf_dir):
+    """Introductions in Portuguese, made of the segments' own words."""
+    words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), lambda w: w != "")
+    k, w = F.col("segment_index") % 4, [F.get(words, F.lit(j)) for j in range(3)]
+    join = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    said = F.when(k == 0, join("Olá, aqui é o ", w[0], " ", w[1], " ", w[2], ", bem-vindos")).when(k == 1, join("eu sou a ", w[0], " e hoje")).when(k == 2, join("aqui quem vos fala e a ", w[0])).otherwise(join("nada, ", w[0]))
+    return segments(spark, sf_dir).select("episode_id", "segment_index", tx.extract_name(said, patterns=tx.INTRO_PATTERNS["pt_br"]).alias("name"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\s\\x{0B}\\p{L}\\p{N}]')) AS INT) AS n_tokens FROM documents")
+def plain_token_counts(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", tx.count_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '["' || lang || '"' || CASE WHEN doc_id % 3 > 1 THEN ',"' || source || '"' ELSE '' END || ']' END AS json, CAST(doc_id % 3 AS INT) AS n FROM documents""")
+def json_lists(spark, sf_dir):
+    """Lists written as JSON, null for none, and read back."""
+    values = F.slice(F.array("lang", "source"), F.lit(1), (F.col("doc_id") % 3).cast("int"))
+    return load(spark, sf_dir, "documents").select("doc_id", tx.json_list(values).alias("json")).withColumn("n", F.size(tx.json_to_list(F.col("json"))))
+
+
+@query("""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE length(text) * 1000 END AS length, doc_id % 10 <> 0 AS downloaded FROM documents)
+SELECT count(*) AS files, count(*) FILTER (WHERE length = 0) AS empty_files, round_even(sum(length) / 1048576, 2) AS total_mb, count(*) FILTER (WHERE downloaded) AS downloaded, count(*) = count(*) FILTER (WHERE downloaded) AS matches FROM f""")
+def audio_file_report(spark, sf_dir):
+    d, i = load(spark, sf_dir, "documents"), F.col("doc_id")
+    files = d.select(F.concat(i.cast("string"), F.lit(".mp3")).alias("path"), F.when(i % 9 == 0, 0).otherwise(F.length("text") * 1000).cast("long").alias("length"))
+    return sources.audio_report(files, d.select((i % 10 != 0).alias("downloaded")))
+
+
+@query("""w AS (SELECT id AS episode_id, unnest(range(0, greatest(1, CAST(ceil((duration_seconds - 1800) / 1795.0) AS BIGINT) + 1))) AS k FROM v_episodes WHERE duration_seconds > 0)
+SELECT episode_id, CAST(k AS INT) AS window_index FROM w WHERE (episode_id + k) % 3 <> 0""", "v_episodes")
+def windows_to_resume(spark, sf_dir):
+    """Windows that are left to do where a third has a partial result already."""
+    planned = sequence.plan_windows(episodes(spark, sf_dir).select(F.col("id").alias("episode_id"), F.col("duration_seconds").alias("duration")))
+    done = planned.filter((F.col("episode_id") + F.col("window_index")) % 3 == 0).select("episode_id", "window_index")
+    return sources.missing_windows(planned, done.unionAll(done)).select("episode_id", "window_index")
+
+
+@query(f"""WITH {_TOPK}, {_CHUNK_OF}
+SELECT query_id, rank, '[' || rank || '] ' || episode_title || ' @ ' || clock || ' (similarity: ' || printf('%.3f', similarity) || ')' || chr(10) || '    ' || substring(text, 1, 300) AS line FROM blocks""")
+def result_lines(spark, sf_dir):
+    line = rag.result_line(F.col("rank"), F.col("episode_title"), F.col("start_time"), F.col("similarity"), F.col("text"))
+    return _chunks_found(spark, sf_dir).select("query_id", "rank", line.alias("line"))
+
+
+@query("""WITH s AS (SELECT event_id, event_type, 'QUESTION:' || chr(10) || 'q' || event_id || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || '[1] ' || event_type || chr(10) || chr(10) || 'ANSWER:' || chr(10) || 'a' || chr(10) || chr(10) || 'REFERENCE_ANSWER:' || chr(10) || 'r' AS prompt
+  FROM events WHERE event_id % 4 <> 0), j AS (SELECT event_id, event_type, CAST(length(prompt) % 5 + 1 AS INT) AS score FROM s)
+SELECT event_id AS query_id, event_type AS type, CASE WHEN event_id % 7 <> 0 THEN score END AS faithfulness, CASE WHEN event_id % 7 <> 0 THEN 4 END AS answer_relevancy, CASE WHEN event_id % 7 <> 0 THEN 2 END AS answer_correctness,
+  CASE WHEN event_id % 7 <> 0 THEN '' END AS reasoning, CASE WHEN event_id % 7 = 0 THEN 'no reply' END AS error FROM j""")
+def generation_eval(spark, sf_dir):
+    """A judge that scores by the length of its prompt, and fails for every 7th query."""
+
+    def judge():
+        def reply(prompt: str) -> str:
+            if int(prompt.split("\n")[1][1:]) % 7 == 0:
+                raise RuntimeError("no reply")
+            return f'{{"faithfulness": {len(prompt) % 5 + 1}, "answer_relevancy": 4, "answer_correctness": 2}}'
+
+        return reply
+
+    i = F.col("event_id")
+    asked = load(spark, sf_dir, "events").select(
+        i.alias("query_id"), F.col("event_type").alias("type"), F.concat(F.lit("q"), i.cast("string")).alias("query"), F.array("event_type").alias("context_chunks"),
+        F.lit("a").alias("answer"), F.when(i % 4 != 0, "r").alias("reference"),
+    )
+    return build.evaluate_answers(asked, judge)
+
+
 @query()
 def episode_overview(spark, sf_dir):
     """Alignment, text volume and repetition per conversation: joins, windows, arrays

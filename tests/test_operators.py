@@ -152,6 +152,18 @@ def test_chunks_cover_text_in_order(text, size):
         assert all(x[1] >= y[0] and x[1] < y[1] for x, y in zip(chunks, chunks[1:]))
 
 
+def test_chunks_by_a_vocabulary_file(spark):
+    import public_tokenizers
+
+    tokenize = chunking.FileTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "Unbelievably longwinded sentences, antidisestablishmentarianism. " * 20 + "x" * 300
+    df = spark.createDataFrame([("e", text), ("f", None), ("g", "short")], "episode_id string, full_text string")
+    got = chunking.chunk_texts(df, 40, 8, tokenize).orderBy("episode_id", "chunk_index").collect()
+    own = [r for r in got if r.episode_id == "e"]
+    assert len(own) > 5 and all(r.token_count == len(tokenize(r.text)) <= 40 and r.text == text[r.start_char : r.end_char] for r in own)
+    assert own[0].start_char == 0 and own[-1].end_char == len(text) and [r.text for r in got if r.episode_id != "e"] == ["short"]
+
+
 def test_retrieval_metrics_equal_sets(spark):
     rng = random.Random(12)
     cases = [(k, rng.sample("abcdefghij", rng.randrange(8)), rng.sample("abcdefghijklm", rng.randrange(6)), rng.randrange(7)) for k in range(80)]

@@ -8,8 +8,11 @@ runs in a narrow pass over Arrow batches.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +26,25 @@ def simple_tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
+@lru_cache(4)
+def _library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@dataclass(frozen=True)
+class FileTokenizer:
+    """Token ids by a vocabulary file of the tokenizers library, loaded once a process;
+    to be given as ``tokenize``."""
+
+    path: str
+
+    def __call__(self, text: str) -> list[int]:
+        return _library(self.path).encode(text, add_special_tokens=False).ids
+
+
 def pieces(text: str, size: int, tokenize: Callable[[str], Sequence] = simple_tokens) -> list[tuple[int, int]]:
     """``[start, end)`` spans of at most ``size`` tokens that cover ``text`` in order."""
 

@@ -59,3 +59,48 @@ def test_ids_to_verify_beyond_the_broadcast(spark, monkeypatch):
     assert [r[1] for r in want] == [0] * 20 + [99] and want[0][3] == 19
     monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
     assert sorted(map(tuple, jaccard_join.join_classes(df).collect())) == want
+
+
+def test_links_equal_brute_force_on_documents(spark):
+    """All links of the documents of sf0.01, whatever finds the candidates."""
+    import collections
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = jaccard_join.join_classes(docs).collect()
+    nodes = collections.defaultdict(list)
+    for r in docs.collect():
+        nodes[tuple(jaccard_join.WORD.findall((r.text or "").lower()))].append(r.doc_id)
+    keys = [w for w in nodes if w]
+    sets = [{w[k : k + 5] for k in range(max(1, len(w) - 4))} for w in keys]
+    have, both = collections.defaultdict(list), collections.Counter()
+    for n, s in enumerate(sets):
+        for x in s:
+            for m in have[x]:
+                both[m, n] += 1
+            have[x].append(n)
+    links = collections.Counter(n for (a, b), k in both.items() if k >= 0.8 * (len(sets[a]) + len(sets[b]) - k) for n in (a, b))
+    got = {r.doc_id: r.n_links for r in rows}
+    assert len(rows) == docs.count() and all(got[i] == links[n] for n, w in enumerate(keys) for i in nodes[w])
+
+
+def test_text_of_any_length_is_searched_in_little_memory(spark):
+    """A leak at the end of a text of 300,000 words is found, bounded a few stretches at a time."""
+    import tracemalloc
+
+    from voxlake.llm import decontaminate
+
+    rng = random.Random(3)
+    words = [f"v{k}" for k in range(2000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(12)) + ". The answer is " + rng.choice(words) + " " + rng.choice(words)) for k in range(1500)]
+    df = {}
+    for _, t in items:
+        for w in set(decontaminate.item_words(t)):
+            df[w] = df.get(w, 0) + 1
+    ix = decontaminate.Index(items, df, len(items), 16.0)
+    text = " ".join(["word", "w2", "v3"] * 100_000) + " " + items[77][1]
+    text_words = len(decontaminate.item_words(text))
+    tracemalloc.start()
+    found = decontaminate._found(ix, text, 0.5, 0.8, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found) == {77} and -found[77][2] > text_words - 64 and peak < 90 << 20

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +133,7 @@ class Index:
             return
         n, step = len(words), self.longest
         missing = len(self.terms)
-        known = np.fromiter(map(lambda w, get=self.terms.get: get(w, missing), words), np.int64, n)
+        known = np.fromiter(map(self.terms.get, words, repeat(missing)), np.int64, n)
         at = np.flatnonzero(known != missing)
         if not len(at):
             return
@@ -146,7 +147,9 @@ class Index:
             hi = min(lo + STRETCHES, max(1, stretches - 1))
             a, z = first[lo], first[min(hi + 1, stretches)]
             bounds = np.zeros((hi - lo + 1, self.maxima.shape[1]), np.float32)
-            np.add.at(bounds, stretch[a:z] - lo, self.maxima[term[a:z]])
+            if z > a:
+                begin = np.flatnonzero(np.concatenate([[True], stretch[a + 1 : z] != stretch[a : z - 1]]))
+                bounds[stretch[a:z][begin] - lo] = np.add.reduceat(self.maxima[term[a:z]], begin, axis=0)
             for k, block in np.argwhere(bounds[:-1] + bounds[1:] >= threshold - 1e-4):
                 w = lo + int(k)
                 terms = sorted(set(term[first[w] : first[min(w + 2, stretches)]].tolist()))

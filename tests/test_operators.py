@@ -272,8 +272,10 @@ def test_audio_report(spark, tmp_path):
     e = spark.createDataFrame([("1", True), ("2", False), ("3", True)], "id string, downloaded boolean")
     r = sources.audio_report(sources.list_audio(spark, str(tmp_path)), e).first()
     assert (r.files, r.empty_files, r.downloaded, r.matches) == (2, 1, 2, True)
-    sources.write_report(spark.createDataFrame([(1, "x")], "n int, s string"), str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report")).first().n == 1
+    assert [r.file_name for r in sources.empty_audio(sources.list_audio(spark, str(tmp_path))).collect()] == ["b.mp3"]
+    sources.write_report(spark.createDataFrame([(1, "x")], "n int, s string"), str(tmp_path / "report"), spark.range(3), "2024-05-06")
+    report = spark.read.json(str(tmp_path / "report")).first()
+    assert (report.n, report.timestamp) == (1, "2024-05-06") and spark.read.json(str(tmp_path / "report-per-query")).count() == 3
 
 
 def test_audio_windows(spark, tmp_path):

@@ -98,6 +98,11 @@ def audio_report(files: DataFrame, catalogued: DataFrame) -> DataFrame:
     return found.crossJoin(catalogued.agg(F.count_if("downloaded").alias("downloaded"))).withColumn("matches", F.col("files") == F.col("downloaded"))
 
 
+def empty_audio(files: DataFrame) -> DataFrame:
+    """``file_name`` of the audio files without content, in order."""
+    return files.filter("length = 0").select(F.element_at(F.split("path", "/"), -1).alias("file_name")).orderBy("file_name")
+
+
 def list_audio(spark: SparkSession, path: str) -> DataFrame:
     """``path, length`` of the audio files of a folder.  The file system is asked, as
     Spark's readers pass over empty files, which the report counts."""
@@ -140,5 +145,11 @@ def clear_windows(spark: SparkSession, path: str, episode_ids: Sequence) -> None
         target.getFileSystem(conf).delete(target, True)
 
 
-def write_report(report: DataFrame, path: str) -> None:
+def write_report(report: DataFrame, path: str, per_query: DataFrame | None = None, timestamp: str | None = None) -> None:
+    """A report of one row as JSON at ``path``, with the time given, and the rows that it
+    averages as JSON lines beside it."""
+    if timestamp:
+        report = report.select(F.lit(timestamp).alias("timestamp"), "*")
     report.coalesce(1).write.mode("overwrite").json(path)
+    if per_query is not None:
+        per_query.write.mode("overwrite").json(f"{path}-per-query")

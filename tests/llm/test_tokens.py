@@ -1,4 +1,4 @@
-"""Files of coded ids: ranges, hot ids, refused ids; process-wide caches."""
+"""Files of coded ids: ranges, hot ids, refused ids; piece counts."""
 
 import zlib
 
@@ -39,10 +39,9 @@ def test_ids_too_large_are_refused():
         token_files.encode_blocks([np.array([1, 65536])])
 
 
-def test_one_encoder_a_process():
-    assert tokens.encoder(VOCAB) is tokens.encoder(VOCAB)
+def test_ids_of_16_bits():
     assert tokens.vocabulary_size(VOCAB) == 49408
-    assert np.frombuffer(tokens.encoder(VOCAB, "<u2")("some words"), "<u2").tolist() == np.frombuffer(tokens.encoder(VOCAB)("some words"), "<u4").tolist()
+    assert np.frombuffer(tokens.Encoder(VOCAB, "<u2")("some words"), "<u2").tolist() == np.frombuffer(tokens.Encoder(VOCAB)("some words"), "<u4").tolist()
 
 
 def test_pieces_equal_sentencepiece(small):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_table, id_text, pieces, shared_dir, shared_table
-from .tokens import encoder, vocabulary_size
+from .tokens import Encoder, vocabulary_size
 
 BLOCK = 4096
 LANES = 2048
@@ -290,7 +290,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
         raise ValueError(f"{vocabulary}: ids from {IDS} on cannot be coded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary, "<u2"), np.array([end_id], "<u2").tobytes()
+        encode, end = Encoder(vocabulary, "<u2"), np.array([end_id], "<u2").tobytes()
         for b in pieces(batches):
             ids = [encode(text) + end for text in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "head", "n", "ids"])

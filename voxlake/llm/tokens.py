@@ -94,12 +94,6 @@ class Encoder:
         return b"".join(map(self._chunk.__getitem__, text.lower().split()))
 
 
-@lru_cache(1)
-def encoder(path: str, kind: str = "<u4") -> Encoder:
-    """The encoder of this process, with what its caches hold from earlier tasks."""
-    return Encoder(path, kind)
-
-
 def vocabulary_size(path: str) -> int:
     """Ids of the vocabulary, those of added tokens with them."""
     return max(_load(path).get_vocab(with_added_tokens=True).values(), default=-1) + 1
@@ -139,12 +133,6 @@ class Counter:
         return sum(map(self._chunk.__getitem__, text.lower().split()))
 
 
-@lru_cache(1)
-def counter(path: str, whole: frozenset[str]) -> Counter:
-    """The counter of this process, with what its caches hold from earlier tasks."""
-    return Counter(path, whole)
-
-
 def _pieces(path: str):
     import sentencepiece
 
@@ -199,7 +187,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     whole = docs.sparkSession.sparkContext.broadcast(single_piece_words(vocabulary) if sentence else single_token_words(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = PieceCounter(vocabulary, whole.value) if sentence else counter(vocabulary, whole.value)
+        count = PieceCounter(vocabulary, whole.value) if sentence else Counter(vocabulary, whole.value)
         for b in pieces(batches, 2048):
             yield pa.record_batch([b.column(0), b.column(2), pa.array(map(count, b.column(1).to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, id_text, pieces, shared_table
 
-#: Labelled documents up to which their ids are broadcast, so that no other is measured.
-BROADCAST_LABELS = 500_000
+#: Labelled documents up to which their ids (about 15 MB) are broadcast, so that no other is
+#: measured; beyond, all are measured and joined by shuffle.
+BROADCAST_LABELS = 200_000
 #: Random features, bins of the calibration, tasks that sum partial equations.
 FEATURES, BINS, SUMMERS = 256, 1024, 8
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1

@@ -14,6 +14,8 @@ _OWN: dict[str, str] = {}
 _MADE: list[str] = []
 #: Most keys that :func:`heavy_join` broadcasts.
 HEAVY_KEYS = 100_000
+#: Rows of a file of a table whose number of rows is known before it is written.
+FILE_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,14 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def shared_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def shared_table(df: DataFrame, name: str, rows: int | None = None, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.  Where it has at most
+    ``rows`` small rows, it is written by as many tasks as these fill files, and not by one
+    for each shuffle partition.
 
     This cuts the lineage with files that outlive any executor; what is written
     is also computed only once, however many plans read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path, compression=compression)
     table = spark.read.schema(df.schema).parquet(path)
     table.shared_path = path

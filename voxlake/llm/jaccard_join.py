@@ -259,7 +259,8 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
     signed = shared_table(df.mapInArrow(sign, f"doc_id {kind}, node binary, size int, vals binary"), "jaccard-signed")
     members = signed.select("doc_id", "node")
     nodes = signed.filter("size > 0").groupBy("node").agg(F.first("vals").alias("vals"), F.first("size").alias("size"), F.min("doc_id").alias("first_id"))
-    nodes = shared_table(nodes, "jaccard-nodes")
+    nodes = shared_table(nodes, "jaccard-nodes", signed.count())
+    n_nodes = nodes.count()
 
     bands = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.expr("vals").substr(k * 8 + 1, F.lit(8)))).alias("band", "key"))
     bands = bands.select("node", "band", "key")
@@ -267,7 +268,7 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     meet = (
-        heavy_join(bands, sizes, ["band", "key"], "m", nodes.count() * BANDS)
+        heavy_join(bands, sizes, ["band", "key"], "m", n_nodes * BANDS)
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -300,7 +301,7 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
             yield pa.RecordBatch.from_arrays([pa.array([shingler.node(x) for x in words], pa.binary()), pa.array([shingler.shingles(x).tobytes() for x in words], pa.binary())], names=["node", "shingles"])
 
     wanted = left.select("node").distinct().join(nodes, "node").select(F.col("first_id").alias("doc_id"), "node")
-    wanted = shared_table(wanted, "jaccard-wanted")
+    wanted = shared_table(wanted, "jaccard-wanted", n_nodes)
     ids = wanted.select("doc_id").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -343,7 +344,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, top`` for every node of ``edges (node, root)``, where ``top`` is the least
     node connected with it.  Alternating star contraction: nodes above a node, then
     nodes below it, are hung on the least of its neighbours until nothing changes."""
-    edges = shared_table(edges.filter("node <> root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).distinct(), "components")
+    edges = shared_table(edges.filter("node <> root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).distinct(), "components", edges.count())
     size = edges.count()
     while size:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -351,7 +352,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = heavy_join(both, least, ["u"], "n", 2 * size).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = heavy_join(large, least, ["u"], "n", 2 * size).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        small = shared_table(small.select("e.u", "e.v").filter("u <> v").distinct(), "components")
+        small = shared_table(small.select("e.u", "e.v").filter("u <> v").distinct(), "components", 2 * size)
         n = small.count()
         changed = n != size or small.join(edges, ["u", "v"], "left_anti").limit(1).count()
         drop_table(edges)
@@ -375,13 +376,13 @@ def join_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-
     members, found = links(docs, threshold, tolerance)
     tops = components(found.select("node", "root"))
     per_node = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    rows = members.count()
     copies = members.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"))
     nodes = copies.join(per_node, "node", "left").join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    nodes = shared_table(nodes, "jaccard-copies")
+    nodes = shared_table(nodes, "jaccard-copies", rows)
     classes = nodes.groupBy("top").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("k"))
-    rows = members.count()
     nodes = heavy_join(nodes, classes, ["top"], "k", rows).select("node", "class_id", "copy_of", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    nodes = shared_table(nodes, "jaccard-classes")
+    nodes = shared_table(nodes, "jaccard-classes", rows)
     return heavy_join(members, nodes, ["node"], "n", rows).select("doc_id", "class_id", "copy_of", "n_links")
 
 

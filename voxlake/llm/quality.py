@@ -132,11 +132,13 @@ def fit(docs: DataFrame, labels: DataFrame, ridge: float = 1.0) -> Model:
     read whole."""
     y = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     y = y.withColumn("fold", fold(F.col("doc_id"))).filter(F.col("fold") != HELD_OUT)
-    if y.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+    few = y.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    if few:
         # So few that only labelled documents need to be measured.
         y = F.broadcast(y)
         docs = docs.join(F.broadcast(y.select("doc_id")), "doc_id", "left_semi")
-    known = shared_table(measured(docs).join(y, "doc_id").select("stats", "y", "fold"), "quality-fit")
+    known = measured(docs).join(y, "doc_id").select("stats", "y", "fold")
+    known = shared_table(known.repartition(SUMMERS) if few else known, "quality-fit")
     schema = "sums binary"
 
     def partial(part) -> Iterator:

@@ -296,7 +296,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "head", "n", "ids"])
 
     df = df.withColumn("head", F.substring("text", 1, HEAD))
-    return shared_table(df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, head string, n long, ids binary"), "token-ids", "zstd")
+    return shared_table(df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, head string, n long, ids binary"), "token-ids", compression="zstd")
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, file_ids: int = FILE_IDS) -> None:

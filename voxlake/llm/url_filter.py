@@ -113,12 +113,12 @@ def _with_suffix_rates(df: DataFrame, counts: DataFrame) -> DataFrame:
     """``df`` with the shrunken share of blocked URLs of its suffix and their (logarithmic)
     number, over the hosts of other folds.  ``counts`` has a row per suffix and fold."""
     each = counts.groupBy("suffix").agg(F.map_from_entries(F.collect_list(F.struct("fold", F.struct("bad", "all")))).alias("by_fold"), F.sum("bad").alias("bad"), F.sum("all").alias("all"))
-    total = counts.agg(((F.sum("bad") + 1.0) / (F.sum("all") + 2.0)).alias("prior"))
+    prior = counts.agg((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1.0) / (F.coalesce(F.sum("all"), F.lit(0.0)) + 2.0)).first()[0]
     own = lambda part: F.coalesce(F.col("by_fold")[F.col("fold")][part], F.lit(0.0))
     rest = lambda part: F.coalesce(part, F.lit(0.0)) - own(part)
-    j = df.join(each, "suffix", "left").crossJoin(F.broadcast(total))
-    rate = (rest("bad") + SHRINK * F.col("prior")) / (rest("all") + SHRINK)
-    return j.withColumns({"suffix_rate": F.coalesce(rate, F.lit(0.0)), "suffix_share": F.log1p(rest("all"))}).drop("by_fold", "bad", "all", "prior")
+    rate = (rest("bad") + SHRINK * prior) / (rest("all") + SHRINK)
+    rates = {"suffix_rate": rate, "suffix_share": F.log1p(rest("all"))}
+    return df.join(each, "suffix", "left").withColumns(rates).drop("by_fold", "bad", "all")
 
 
 def _isotonic(rows: list[tuple[int, float, float]]) -> list[float]:

@@ -94,8 +94,13 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str = "id",
 
 def audio_report(files: DataFrame, catalogued: DataFrame) -> DataFrame:
     """``files`` (``path, length``, as of ``binaryFile``) against downloaded episodes."""
-    found = files.agg(F.count("*").alias("files"), F.count_if(F.col("length") == 0).alias("empty_files"), F.bround(F.coalesce(F.sum("length"), F.lit(0)) / 1048576, 2).alias("total_mb"))
-    return found.crossJoin(catalogued.agg(F.count_if("downloaded").alias("downloaded"))).withColumn("matches", F.col("files") == F.col("downloaded"))
+    both = files.select(F.col("length").cast("long").alias("length"), F.lit(True).alias("file"), F.lit(False).alias("downloaded"))
+    both = both.unionByName(catalogued.select(F.lit(None).cast("long").alias("length"), F.lit(False).alias("file"), "downloaded"))
+    counted = both.agg(
+        F.count_if("file").alias("files"), F.count_if(F.col("length") == 0).alias("empty_files"), F.bround(F.coalesce(F.sum("length"), F.lit(0)) / 1048576, 2).alias("total_mb"),
+        F.count_if("downloaded").alias("downloaded"),
+    )
+    return counted.withColumn("matches", F.col("files") == F.col("downloaded"))
 
 
 def empty_audio(files: DataFrame) -> DataFrame:

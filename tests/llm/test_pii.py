@@ -65,3 +65,50 @@ def test_long_addresses_are_proposed(spark):
     df = spark.createDataFrame([(f"x {local} (at) {'b' * 200} (dot) org y",)], "text string")
     found = df.select(pii.wide_spans(df["text"]).alias("w")).first().w
     assert [(s.kind, s.start, s.value[:300]) for s in found if s.kind == 0] == [(0, 2, local)]
+
+
+def fitted_on(monkeypatch):
+    """What trees are fitted on from here on: rows by label, a dict a fit."""
+    fits, model = [], pii._model
+
+    def spy(training):
+        fits.append({r.label: r.n for r in training.groupBy("label").agg({"rows": "sum"}).toDF("label", "n").collect()})
+        return model(training)
+
+    monkeypatch.setattr(pii, "_model", spy)
+    return fits
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """3,000 addresses, and as many cards of which one digit in ten fits."""
+    return spark.range(3000).selectExpr("id as doc_id", "concat('write to a', id, '.b@host', id % 7, '.org or 4111 1111 1111 111', id % 10, ' there') as text")
+
+
+def test_trees_and_thresholds_come_from_all_candidates(spark, many, monkeypatch):
+    base, wide = pii._mark(many["text"])
+    candidates = pii._candidates(many.select(base.alias("base"), wide.alias("wide"), many["doc_id"].alias("row"))).cache()
+    made = pii._disguised(candidates.filter("is_base")).count()
+    fits = fitted_on(monkeypatch)
+    assert pii.find(many).count() == 3000
+    good = candidates.filter("label = 1").count()
+    # A fit on each half for the thresholds, and the last one on all.
+    assert fits[-1] == {1.0: good + made, 0.0: candidates.count() - good} and good > 3000
+    assert [sum(f[k] for f in fits[:-1]) for k in (0.0, 1.0)] == [fits[-1][0.0], fits[-1][1.0]]
+    assert pii.held_out_scores(many).filter("not made").count() == candidates.count()
+
+
+def test_no_bound_of_a_split_is_drawn(spark, many):
+    """Numeric features would have their bounds from about 10,000 rows."""
+    base, wide = pii._mark(many["text"])
+    candidates = pii._candidates(many.select(base.alias("base"), wide.alias("wide"), many["doc_id"].alias("row")))
+    meta = pii._vectors(pii._levelled(candidates)).schema["features"].metadata["ml_attr"]
+    assert set(meta["attrs"]) == {"binary"} and len(meta["attrs"]["binary"]) == meta["num_attrs"] == sum(map(len, pii.LEVELS.values()))
+    rows = pii._vectors(pii._levelled(candidates.filter("n = 19").limit(1))).first()
+    assert sum(rows.features[k - 6 + 4] for k in range(6, 25)) == 14
+
+
+def test_thresholds_go_through_scores_that_no_row_has(spark):
+    rows = [(0, 0.97, 1.0)] * 20 + [(0, 0.3, 0.0)] * 20 + [(1, 0.97, 1.0)] * 20 + [(1, 0.805, 0.0)] * 20
+    held = spark.createDataFrame(rows, "kind int, p double, label double").selectExpr("*", "1.0D as weight", "1 as rows", "false as failed")
+    assert pii._limits(held) == {0: 0.5, 1: 0.81}

@@ -3,8 +3,11 @@
 Built-in functions only.  Base spans are the fixed patterns and their checks; they
 always count.  High-recall generators propose further, overlapping spans: spelt-out
 addresses, dotted and grouped numbers, and assigned keys, which no base pattern knows.
-Trees learn what personal data looks like in format and context, and a threshold per
-kind that keeps a precision of ``PRECISION`` on a hold-out selects the candidates to add.
+Trees learn from every candidate what personal data looks like in format and context,
+and a threshold per kind that keeps a precision of ``PRECISION`` selects those to add.  It
+is set on the scores that each half of the candidates gets from trees fitted on the other
+half.  The trees see levels of features whose bounds are fixed (``LEVELS``), so candidates
+of equal levels are one weighted row without loss, and no bound of a split is estimated.
 
 Positives are the base spans, the same spans disguised in place (``(at)`` for ``@``, no
 ``+``, other separators), and other candidates that pass the checks of their kind and
@@ -22,19 +25,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import all_columns, let, shared_table
+from .common import FILE_ROWS, all_columns, let, shared_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of all spans; the last has no base pattern.
 ALL_KINDS = (*KINDS, "secret")
-#: Bound of the sample of candidates that the trees are fitted and calibrated on, cut
-#: exactly; every disguise of a sampled base span comes on top of it.
-FIT_ROWS = 40_000
 PRECISION = 0.98
 #: Weight of a negative that is one for want of context only, and the positives of a kind
 #: that a hold-out needs.
 PRESUMED, LEAST_GOOD = 0.5, 10
-#: Tasks that hold the sample.
+#: Tasks that hold the training rows, and more where these fill more files.
 FIT_TASKS = 4
 _BUCKETS = 1 << 20
 CONTEXT = 24
@@ -166,6 +166,12 @@ def _around(text: Column, span: Column) -> Column:
 
 
 FEATURES = ("kind", "n", "n_digits", "groups", "separators", "dots", "plus", "brackets", "luhn", "top_part", "first_group", "last_group", "hint", "glued_before", "glued_after", "colon", "letters")
+#: The least values of the levels of each feature, above level 0.
+LEVELS = {
+    "kind": range(1, 5), "n": (*range(6, 25), 26, 28, 30, 32, 36, 40, 48, 64, 96, 128, 256), "n_digits": (*range(1, 21), 24, 28, 32, 48, 64), "groups": (*range(1, 9), 10, 12, 16),
+    "separators": (*range(1, 9), 10, 12, 16), "dots": (*range(1, 9), 12), "plus": (1,), "brackets": (1, 2, 3, 4, 6, 8), "luhn": (1,), "top_part": (*range(1, 13), 14, 16, 17, 20, 24, 32),
+    "first_group": (*range(1, 13), 16, 20), "last_group": (*range(1, 13), 16, 20), "hint": (1,), "glued_before": (1,), "glued_after": (1,), "colon": (1,), "letters": (1, 2, 3, 4, 6, 8, 10, 12, 14, 16, 18, 20, 24, 28, 32, 40, 48, 64, 96, 128),
+}
 
 
 def _features(df: DataFrame) -> DataFrame:
@@ -242,32 +248,67 @@ def _candidates(marked: DataFrame) -> DataFrame:
     return candidates.withColumn("label", (F.col("is_base") | (~F.col("known") & ~F.col("failed") & context)).cast("double"))
 
 
-def _training(candidates: DataFrame, fit_rows: int) -> DataFrame | None:
-    """The sample and its disguises: features, ``label, weight, half, kind, failed, made``."""
-    sample = _sampled(candidates, fit_rows)
-    if sample is None:
-        return None
-    kept = ["row", "kind", "start", "end", "value", "before", "after", "failed", "weight", "half", "label"]
-    sample = shared_table(sample.select(*kept, "is_base").coalesce(FIT_TASKS), "pii-sample")
-    made = _disguised(sample.filter("is_base")).withColumns({"failed": F.lit(False), "label": F.lit(1.0)})
-    both = sample.select(*kept).withColumn("made", F.lit(False)).unionByName(made.select(*kept).withColumn("made", F.lit(True)))
-    return _features(both)
+def _training(candidates: DataFrame, fit_rows: int | None) -> DataFrame | None:
+    """Every candidate, or at most ``fit_rows`` of them where a caller asks for so few, and
+    its disguises: levels of features, ``label, weight, half, kind, failed, made``."""
+    if fit_rows is None:
+        presumed = F.when((F.col("label") == 0) & ~F.col("failed"), PRESUMED).otherwise(1.0)
+        used = candidates.withColumns({"weight": presumed, "half": F.pmod(F.xxhash64(F.xxhash64("row", "kind", "start")), F.lit(2))})
+    else:
+        used = _sampled(candidates, fit_rows)
+        if used is None:
+            return None
+        used = shared_table(used.coalesce(FIT_TASKS), "pii-sample")
+    kept = [*FEATURES, "failed", "weight", "half", "label"]
+    made = _features(_disguised(used.filter("is_base")).withColumns({"failed": F.lit(False), "label": F.lit(1.0)}))
+    return _levelled(used.select(*kept).withColumn("made", F.lit(False)).unionByName(made.select(*kept).withColumn("made", F.lit(True))))
+
+
+def _levelled(df: DataFrame) -> DataFrame:
+    """Features replaced by the number of their ``LEVELS`` that they reach."""
+
+    def level(c: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, LEVELS[c])), lambda least: least <= F.col(c)))
+
+    return df.withColumns({c: level(c) for c in FEATURES})
+
+
+def _grouped(training: DataFrame, rows: int) -> DataFrame:
+    """Training rows that the trees and the thresholds cannot tell apart, as one row with
+    their ``weight`` and their number ``rows``; ``rows`` is about how many there are."""
+    groups = training.groupBy(*FEATURES, "label", "failed", "half").agg(F.sum("weight").alias("weight"), F.count("*").alias("rows"))
+    return shared_table(groups, "pii-training", rows)
+
+
+def _vectors(df: DataFrame) -> DataFrame:
+    """``features``: for every level of a feature whether it is reached, marked as binary.
+    Binary features have one split, where Spark would take the bounds of numeric ones from
+    some of the rows."""
+    from pyspark.ml.functions import array_to_vector
+
+    names = [(c, k) for c in FEATURES for k in range(1, len(LEVELS[c]) + 1)]
+    flags = array_to_vector(F.array(*[(F.col(c) >= k).cast("double") for c, k in names]))
+    attrs = {"binary": [{"idx": i, "name": f"{c}_{k}"} for i, (c, k) in enumerate(names)]}
+    return df.withColumn("features", flags.alias("features", metadata={"ml_attr": {"attrs": attrs, "num_attrs": len(names)}}))
 
 
 def _model(training: DataFrame):
-    """A function that adds the trees' ``p``, fitted on one half of the training rows."""
+    """A function that adds the trees' ``p``, fitted on all of ``training``."""
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    ready = lambda df: vectors.transform(df.withColumn("kind", F.col("kind").cast("double")))
-    fitted = ready(training.filter("half = 0"))
-    if fitted.select("label").distinct().count() < 2:
-        return None
+    tasks = max(FIT_TASKS, -(-training.count() // FILE_ROWS))
     trainer = GBTClassifier(maxIter=10, maxDepth=4, maxBins=32, stepSize=0.3, seed=7, weightCol="weight")
-    model = trainer.fit(fitted.select("features", "label", "weight").coalesce(FIT_TASKS))
-    return lambda df: model.transform(ready(df)).withColumn("p", vector_to_array("probability")[1])
+    model = trainer.fit(_vectors(training).select("features", "label", "weight").coalesce(tasks))
+    return lambda df: model.transform(_vectors(df)).withColumn("p", vector_to_array("probability")[1])
+
+
+def _held_out(groups: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """``rows`` with the ``p`` of trees fitted on the other half of ``groups``, where that
+    half has both labels; None where neither has."""
+    labels = {(r.half, r.label) for r in groups.select("half", "label").distinct().collect()}
+    held = [_model(groups.filter(f"half = {1 - half}"))(rows.filter(f"half = {half}")) for half in (0, 1) if {(1 - half, 0.0), (1 - half, 1.0)} <= labels]
+    return None if not held else held[0] if len(held) == 1 else held[0].unionByName(held[1])
 
 
 def _limits(held: DataFrame) -> dict[int, float]:
@@ -275,40 +316,48 @@ def _limits(held: DataFrame) -> dict[int, float]:
     scored hold-out rows that may be added (no failed ones) are positives; kinds of which
     there are too few have none."""
     bins = held.filter("not failed").groupBy("kind", F.floor(F.col("p") * 100).alias("bin")).agg(
-        F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all"), F.sum("label").alias("n")
+        F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all"), F.sum(F.col("label") * F.col("rows")).alias("n")
     ).collect()
     limits = {}
     for kind in {r.kind for r in bins}:
         good = total = n = 0
-        for r in sorted((r for r in bins if r.kind == kind and r.bin >= 50), key=lambda r: -r.bin):
-            good, total, n = good + r.good, total + r["all"], n + r.n
+        found = {r.bin: r for r in bins if r.kind == kind}
+        # Through empty bins as well: the last trees score a little off those of the halves.
+        for bin in range(100, 49, -1):
+            if r := found.get(bin):
+                good, total, n = good + r.good, total + r["all"], n + r.n
             if good >= PRECISION * total and n >= LEAST_GOOD:
-                limits[int(kind)] = r.bin / 100
+                limits[int(kind)] = bin / 100
     return limits
 
 
-def _selected(marked: DataFrame, fit_rows: int) -> DataFrame:
+def _selected(marked: DataFrame, fit_rows: int | None) -> DataFrame:
     """``row, kind, start, end`` of the candidates to add; ``marked`` has ``row, base,
     wide``."""
     candidates = shared_table(_candidates(marked), "pii-candidates", marked.count())
     empty = candidates.select("row", "kind", "start", "end").filter("false")
     training = _training(candidates, fit_rows)
-    score = None if training is None else _model(training)
-    limits = {} if score is None else _limits(score(training.filter("half = 1")))
+    if training is None:
+        return empty
+    groups = _grouped(training, candidates.count())
+    held = _held_out(groups, groups)
+    limits = {} if held is None else _limits(held)
     if not limits:
         return empty
     limit = F.coalesce(*[F.when(F.col("kind") == k, x) for k, x in limits.items()])
     fresh = candidates.filter("not known and not failed").filter(F.col("kind").isin(*limits))
-    return score(fresh).filter(F.col("p") >= limit).select("row", F.col("kind").cast("int").alias("kind"), "start", "end")
+    return _model(groups)(_levelled(fresh)).filter(F.col("p") >= limit).select("row", F.col("kind").cast("int").alias("kind"), "start", "end")
 
 
-def held_out_scores(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``kind, made, failed, label, weight, added`` of the hold-out, which the trees have
-    not seen: what precision and recall are measured on.  ``made`` rows are disguises."""
+def held_out_scores(docs: DataFrame, fit_rows: int | None = None) -> DataFrame:
+    """``kind, made, failed, label, weight, added`` of every training row, scored by trees
+    that have not seen its half: what precision and recall are measured on.  ``made`` rows
+    are disguises."""
     base, wide = _mark(F.coalesce(F.col("text"), F.lit("")))
     marked = shared_table(docs.select(base.alias("base"), wide.alias("wide"), F.monotonically_increasing_id().alias("row")), "pii-spans")
-    training = _training(shared_table(_candidates(marked), "pii-candidates"), fit_rows)
-    held = _model(training)(training.filter("half = 1"))
+    candidates = shared_table(_candidates(marked), "pii-candidates")
+    training = _training(candidates, fit_rows).withColumn("rows", F.lit(1))
+    held = _held_out(_grouped(training, candidates.count()), training)
     limit = F.coalesce(*[F.when(F.col("kind") == k, x) for k, x in _limits(held).items()], F.lit(2.0))
     return held.select("kind", "made", "failed", "label", "weight", ((F.col("p") >= limit) & ~F.col("failed")).alias("added"))
 
@@ -323,18 +372,19 @@ def _mark(text: Column) -> tuple[Column, Column]:
     return base, F.transform(wide_spans(text), lambda s: _around(text, s))
 
 
-def _with_added(marked: DataFrame, fit_rows: int) -> DataFrame:
+def _with_added(marked: DataFrame, fit_rows: int | None) -> DataFrame:
     """``marked`` with ``spans``: base spans and added ones, by kind and start."""
     added = _selected(marked, fit_rows).groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return marked.join(added, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", empty))))
 
 
-def find(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def find(docs: DataFrame, fit_rows: int | None = None) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added`` per
     row of ``docs``; the counts by kind and the digest are those of the base spans,
     ``spans`` and ``n_spans`` are of all spans, and ``n_added`` of those that the trees add,
-    among them spans of the kind ``secret``.
+    among them spans of the kind ``secret``.  Trees and thresholds come from all candidates;
+    only a caller who passes ``fit_rows`` has them fitted on a sample of so many.
 
     Null and empty texts have no spans (digest of the empty string); repeated rows and
     null ids come back each; an empty table gives an empty result.  One pass over the
@@ -350,7 +400,7 @@ def find(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     return out.select("doc_id", *counts, "base_sha256", "spans", "n_spans", "n_added")
 
 
-def redact(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def redact(docs: DataFrame, fit_rows: int | None = 40_000) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; spans that
     overlap become one.  Null texts stay null and empty ones empty, all rows and columns
     are kept whatever their ids and names, an empty table stays empty, and ``n_chars``

@@ -112,3 +112,11 @@ def test_thresholds_go_through_scores_that_no_row_has(spark):
     rows = [(0, 0.97, 1.0)] * 20 + [(0, 0.3, 0.0)] * 20 + [(1, 0.97, 1.0)] * 20 + [(1, 0.805, 0.0)] * 20
     held = spark.createDataFrame(rows, "kind int, p double, label double").selectExpr("*", "1.0D as weight", "1 as rows", "false as failed")
     assert pii._limits(held) == {0: 0.5, 1: 0.81}
+
+
+def test_redaction_is_fitted_on_all_candidates(spark, many, monkeypatch):
+    base, wide = pii._mark(many["text"])
+    candidates = pii._candidates(many.select(base.alias("base"), wide.alias("wide"), many["doc_id"].alias("row")))
+    fits = fitted_on(monkeypatch)
+    assert pii.redact(many).filter("text like 'write to <EMAIL> or%'").count() == 3000
+    assert fits[-1][0.0] == candidates.filter("label = 0").count() > 2667 and fits[-1][1.0] >= candidates.filter("label = 1").count()

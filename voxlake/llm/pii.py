@@ -400,7 +400,7 @@ def find(docs: DataFrame, fit_rows: int | None = None) -> DataFrame:
     return out.select("doc_id", *counts, "base_sha256", "spans", "n_spans", "n_added")
 
 
-def redact(docs: DataFrame, fit_rows: int | None = 40_000) -> DataFrame:
+def redact(docs: DataFrame, fit_rows: int | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; spans that
     overlap become one.  Null texts stay null and empty ones empty, all rows and columns
     are kept whatever their ids and names, an empty table stays empty, and ``n_chars``

@@ -104,3 +104,28 @@ def test_text_of_any_length_is_searched_in_little_memory(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert set(found) == {77} and -found[77][2] > text_words - 64 and peak < 90 << 20
+
+
+def test_files_of_the_join_follow_its_rows(spark, monkeypatch):
+    """Not the shuffle partitions: an executor starts a process for each file."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files, write = {}, jaccard_join.shared_table
+
+    def spy(df, name, *more):
+        table = write(df, name, *more)
+        files[name] = max(files.get(name, 0), len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(jaccard_join, "shared_table", spy)
+    try:
+        texts = [" ".join(f"w{k % 30}x{j}" for j in range(60)) + f" end{k}" for k in range(300)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+        out = jaccard_join.one_per_class(docs)
+        assert sorted(r.doc_id for r in out.collect()) == list(range(30))
+        assert out.rdd.getNumPartitions() == 1 and {"jaccard-left", "jaccard-found"} <= set(files)
+        assert all(n <= 2 for n in files.values()), files
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

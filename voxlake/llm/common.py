@@ -16,6 +16,8 @@ _MADE: list[str] = []
 HEAVY_KEYS = 100_000
 #: Rows of a file of a table whose number of rows is known before it is written.
 FILE_ROWS = 20_000
+#: The same for a table of texts.
+TEXT_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,14 @@ def shared_table(df: DataFrame, name: str, rows: int | None = None, compression:
     return table
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` small rows that take long to make: made by all its tasks,
+    and dealt to as many as these rows fill files.  On a local file system an executor
+    starts a process for every file, which for a moment doubles the memory that it seems to
+    take."""
+    return df.repartition(max(1, -(-rows // FILE_ROWS)))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

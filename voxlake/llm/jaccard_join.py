@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_columns, drop_table, heavy_join, id_text, pieces, shared_table
+from .common import TEXT_ROWS, all_columns, drop_table, gathered, heavy_join, id_text, pieces, shared_table
 from .tokens import _Cache
 
 ROWS, BANDS, STEP = 4, 24, 16
@@ -292,7 +292,8 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "g long, part int, band int, side int, node binary, vals binary"
-    left = shared_table(meet.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(survive, schema), "jaccard-left")
+    left = meet.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(survive, schema)
+    left = shared_table(gathered(left, n_nodes), "jaccard-left")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -334,7 +335,7 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
 
     ready = left.join(sets, "node").select(F.xxhash64("g", "part").alias("g"), "band", "side", "node", "vals", "shingles")
     found = ready.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(verify, "node binary, n_links long, root binary")
-    found = shared_table(found, "jaccard-found")
+    found = shared_table(gathered(found, n_nodes), "jaccard-found")
     for used in (left, wanted, nodes):
         drop_table(used)
     return members, found
@@ -395,4 +396,5 @@ def one_per_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     classes = join_classes(rows, threshold).select(F.col("doc_id").alias("row"), "class_id")
     order = F.struct(F.col("own.doc_id").isNull().alias("unnamed"), F.col("own.doc_id").alias("doc_id"), F.col("row").alias("row"))
     best = keyed.select("row", order.alias("o")).join(classes, "row").groupBy("class_id").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
-    return keyed.join(best, "row", "left_semi").select([F.col("own").getField(c).alias(c) for c in docs.columns])
+    tasks = max(1, -(-keyed.count() // TEXT_ROWS))
+    return keyed.join(best, "row", "left_semi").select([F.col("own").getField(c).alias(c) for c in docs.columns]).coalesce(tasks)

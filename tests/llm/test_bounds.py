@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxlake.llm import common, jaccard_join
@@ -129,3 +130,43 @@ def test_files_of_the_join_follow_its_rows(spark, monkeypatch):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    key, text = "spark.sql.execution.arrow.maxBytesPerBatch", "x" * 20_000
+    df = spark.range(0, 3000, 1, 1).selectExpr("id", f"concat('{text}', id) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    given = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        got = common.map_texts(df, sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r.size for r in got) < 2 * common.BATCH_BYTES
+        spark.conf.set(key, "1m")
+        common.map_texts(df, sizes, "n long, size long")
+        assert spark.conf.get(key) == "1m"
+        spark.conf.unset(key)
+        jaccard_join.join_classes(df.selectExpr("id AS doc_id", "'a b c' AS text"))
+        assert spark.conf.get(key) == str(common.BATCH_BYTES)
+    finally:
+        spark.conf.set(key, given)
+
+
+@pytest.mark.parametrize("sizes", [[], [0], [3, 0, 4], [7], [14], [1] * 20, [30, 1]])
+def test_regrouped_batches(sizes):
+    batches, at = [], 0
+    for n in sizes:
+        batches.append(pa.record_batch([pa.array(range(at, at + n), pa.int64()), pa.array([[k] * (k % 3) for k in range(at, at + n)], pa.list_(pa.int64()))], ["a", "b"]))
+        at += n
+    got = list(common.regrouped(batches, 7))
+    assert [b.num_rows for b in got] == [7] * (at // 7) + [at % 7] * (at % 7 > 0)
+    assert [r for b in got for r in b.to_pylist()] == [{"a": k, "b": [k] * (k % 3)} for k in range(at)]
+
+
+def test_a_worker_keeps_few_word_hashes():
+    shingler = jaccard_join.Shingler()
+    shingler.shingles([f"w{k}" for k in range(jaccard_join.WORDS + 100)])
+    assert len(shingler._word) == jaccard_join.WORDS <= 100_000

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ HEAVY_KEYS = 100_000
 FILE_ROWS = 20_000
 #: The same for a table of texts.
 TEXT_ROWS = 1_000
+#: Bytes of texts, about, that are sent to Python at once.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -112,6 +115,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of ``BATCH_BYTES`` or one text.  Spark sends
+    10,000 rows, which are 35 MB of ordinary texts, and a worker keeps room for them.
+
+    Spark reads the setting when the plan runs, so it stays set for the session; what needs
+    more rows at once collects them (:func:`regrouped`).  A smaller limit is left alone."""
+    spark = df.sparkSession
+    given = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < given <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of exactly ``rows``, but for the last."""
+    held, n = [], 0
+    for b in batches:
+        while n + b.num_rows >= rows:
+            held.append(b.slice(0, rows - n))
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            b, held, n = b.slice(rows - n), [], 0
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def pieces(batches: Iterator, rows: int = 512) -> Iterator:
     """Arrow batches cut into slices of at most ``rows`` rows, to bound memory."""
     for batch in batches:

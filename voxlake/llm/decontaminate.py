@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, pieces
+from .common import id_text, map_texts, pieces
 
 #: Items of an index shard, which bounds what is sent to the executors at once.
 SHARD = 5_000
@@ -234,7 +234,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
                     names = ["doc_id", "item_id", "score", "item_overlap", "question_overlap", "answer_overlap", "start_word"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-        found = df.mapInArrow(run, schema)
+        found = map_texts(df, run, schema)
         result = found if result is None else result.unionByName(found)
     return result
 
@@ -253,5 +253,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
             for b in pieces(batches):
                 yield b.filter(pa.array([not _found(ix, t or "", threshold, overlap, part_overlap) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        kept = kept.mapInArrow(run, schema)
+        kept = map_texts(kept, run, schema)
     return kept.toDF(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, all_columns, drop_table, gathered, heavy_join, id_text, pieces, shared_table
+from .common import TEXT_ROWS, all_columns, drop_table, gathered, heavy_join, id_text, map_texts, pieces, shared_table
 from .tokens import _Cache
 
 ROWS, BANDS, STEP = 4, 24, 16
@@ -40,6 +40,8 @@ SHINGLES, POSTINGS = 2_000_000, 500_000
 #: Ids up to which the nodes to verify are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
 
+#: Words whose hash a worker keeps.
+WORDS = 65_536
 WORD = re.compile(r"\w+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -61,7 +63,8 @@ class Shingler:
         import xxhash
 
         self.size = size
-        self._word = _Cache(xxhash.xxh3_64_intdigest, 300_000)
+        # More entries cost memory and gain no time: hashing is about as fast.
+        self._word = _Cache(xxhash.xxh3_64_intdigest, WORDS)
         self._mult = _multipliers()[:, None]
 
     def words(self, text: str) -> list[str]:
@@ -256,7 +259,7 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
 
     df = id_text(docs)
     kind = df.schema["doc_id"].dataType.simpleString()
-    signed = shared_table(df.mapInArrow(sign, f"doc_id {kind}, node binary, size int, vals binary"), "jaccard-signed")
+    signed = shared_table(map_texts(df, sign, f"doc_id {kind}, node binary, size int, vals binary"), "jaccard-signed")
     members = signed.select("doc_id", "node")
     nodes = signed.filter("size > 0").groupBy("node").agg(F.first("vals").alias("vals"), F.first("size").alias("size"), F.min("doc_id").alias("first_id"))
     nodes = shared_table(nodes, "jaccard-nodes", signed.count())
@@ -306,7 +309,7 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> t
     ids = wanted.select("doc_id").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    sets = df.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(again, "node binary, shingles binary")
+    sets = map_texts(df.join(ids, "doc_id", "left_semi").select("doc_id", "text"), again, "node binary, shingles binary")
     sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

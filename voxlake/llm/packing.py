@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, pieces
+from .common import id_text, map_texts, pieces
 from .tokens import Encoder
 
 #: Ids that a task gathers before it packs them.
@@ -204,4 +204,4 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2)
             yield batch(packer.pool(pool))
             yield batch(packer.close())
 
-    return df.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long")
+    return map_texts(df, run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, id_text, pieces, shared_table
+from .common import drop_table, id_text, map_texts, pieces, shared_table
 
 #: Labelled documents up to which their ids (about 15 MB) are broadcast, so that no other is
 #: measured; beyond, all are measured and joined by shuffle.
@@ -80,7 +80,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["doc_id", "stats"])
 
     df = id_text(docs)
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, stats binary")
+    return map_texts(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, stats binary")
 
 
 class Model:
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(stats))], names=["doc_id", "score"])
 
     df = id_text(docs)
-    scored = df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = map_texts(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, score double")
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
 
@@ -225,4 +225,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             stats = np.stack([statistics(t or "") for t in b.column(text).to_pylist()]).astype(np.float64)
             yield b.filter(pa.array(model.score(stats) >= LIMIT))
 
-    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
+    return map_texts(placed, run, placed.schema).toDF(*docs.columns)

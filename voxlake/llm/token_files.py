@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, id_text, pieces, shared_dir, shared_table
+from .common import drop_table, id_text, map_texts, pieces, regrouped, shared_dir, shared_table
 from .tokens import Encoder, vocabulary_size
 
 BLOCK = 4096
@@ -296,7 +296,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "head", "n", "ids"])
 
     df = df.withColumn("head", F.substring("text", 1, HEAD))
-    return shared_table(df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, head string, n long, ids binary"), "token-ids", compression="zstd")
+    return shared_table(map_texts(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, head string, n long, ids binary"), "token-ids", compression="zstd")
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, file_ids: int = FILE_IDS) -> None:
@@ -383,7 +383,7 @@ def read_token_files(spark, path: str, kind: str = "bigint") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file_no", "doc_id", "at", "n_tokens", "ids_crc32"]
         at_file, at, open_doc = None, 0, None
-        for b in pieces(batches, LANES):
+        for b in regrouped(batches, LANES):
             rows, out = b.to_pydict(), []
             decoded = decode_blocks(rows["payload"], rows["n_ids"])
             for file_no, ids, crc, docs, counts, closed in zip(rows["file_no"], decoded, rows["crc32"], rows["doc_ids"], rows["doc_parts"], rows["closed"]):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, pieces
+from .common import id_text, map_texts, pieces
 
 #: Entries that a worker keeps per cache.
 CACHE_ENTRIES = 500_000
@@ -193,4 +193,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
 
     df = id_text(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_texts(df, run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -63,3 +64,39 @@ def test_pieces_equal_sentencepiece(small):
     cut = [t for t in texts if "" not in t.split(" ") and tokens._PLAIN.issuperset(t)]
     assert len(cut) > 250
     assert [count(t) for t in texts] == [len(model.encode(t)) for t in texts]
+
+
+def test_columns_equal_the_library():
+    lib = Tokenizer.from_file(VOCAB)
+    safe = [c for c in map(chr, range(0x3000)) if not tokens.UNSAFE.search(c)]
+    texts = ["", " ", " a  b ", "*. 1a 12 a1 x's 's' don't. (word), word) ...", "<|endoftext|> x", "日本 a", "İ x", "a\0b", "É.É", *(f"aB{c}Cd {c}{c} {c}e, {c}" for c in safe), "".join(safe), "long" * 200, "x" * 70 + "."] * 2
+    want = [np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u2").tobytes() for t in texts]
+    encode = tokens.Encoder(VOCAB, "<u2")
+    column = pa.array(texts)
+    assert encode.column(column, b"\2\0").to_pylist() == want
+    assert encode.column(column.slice(5, 9), b"\2\0").to_pylist() == want[5:14]
+    assert encode.column(column.slice(0, 0)).to_pylist() == [] and encode.column(pa.array([""])).to_pylist() == [b""]
+
+
+def test_work_of_coding_is_a_round_for_many_ids(monkeypatch):
+    rounds = []
+    learn = token_files._Model.learn
+    monkeypatch.setattr(token_files._Model, "learn", lambda *a: rounds.append(1) or learn(*a))
+    rng = np.random.default_rng(1)
+    sizes = [4096, 4095, 3073, 1, 65, 64, 0, 4096]
+    blocks = [(rng.zipf(1.3, n) % 49408).astype(np.int64) for n in sizes]
+    coded = token_files.encode_blocks(blocks)
+    assert len(rounds) == 4096 // 64
+    assert all((a == b).all() for a, b in zip(blocks, token_files.decode_blocks(coded, sizes), strict=True))
+    assert sum(map(len, coded)) < 2 * sum(sizes)
+    alone = token_files.decode_blocks([coded[2]], [sizes[2]])[0]
+    assert (alone == blocks[2]).all()
+    with pytest.raises(ValueError, match="more than"):
+        token_files.encode_blocks([np.zeros(4097, np.int64)])
+
+
+def test_damaged_blocks_decode_to_something():
+    rng = np.random.default_rng(2)
+    damaged = [rng.bytes(n) for n in (0, 1, 2, 7, 800, 9001)] + [b"\xff" * 5000, b"\0" * 100]
+    found = token_files.decode_blocks(damaged, [4096] * len(damaged))
+    assert all(len(ids) == 4096 and ids.min() >= 0 and ids.max() < token_files.IDS for ids in found)

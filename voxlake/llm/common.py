@@ -143,6 +143,20 @@ def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def filled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of ``size`` bytes or little more, but for the last."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            full, held, n = pa.Table.from_batches(held).combine_chunks().to_batches(), [], 0
+            del b
+            yield from full
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def pieces(batches: Iterator, rows: int = 512) -> Iterator:
     """Arrow batches cut into slices of at most ``rows`` rows, to bound memory."""
     for batch in batches:

@@ -4,19 +4,19 @@ A block holds up to ``BLOCK`` ids and is coded from a fresh model, so any block
 decoded alone; each carries the crc32 of its ids.  Within a block an id is predicted by
 three adaptive models:
 
-* order 2 and order 1: the id seen last after the same two ids, or the same id
-  (hashed tables);
-* order 0: adaptive frequencies of 256 id groups, the id seen last in a group, and its
-  hit rate.
+* order 2 and order 1: an id seen after the same two ids, or the same id (hashed tables,
+  learnt after every round of ``_ROUND`` ids);
+* order 0: the frequencies of all ids of the block so far, taken anew at growing
+  distances.  A new id has the share that ids seen once have.
 
 Adaptive weights, kept per level of confidence of the order-2 and order-1 predictions,
 mix them: where both name the same id their shares add up, and order 0 has what they
-leave.  The shares drive a 64-bit range coder that emits 32-bit words; a step codes which
-prediction came true or the group of the id, and an id of order 0 takes one step more.
-Carries are resolved when a block is closed.
+leave.  The shares drive a 48-bit range coder that emits 16-bit words, one step an id; new
+ids stand uncoded behind the words.  Carries are resolved when a block is closed.
 
 Blocks are coded in lockstep, one numpy lane per block, which makes the cost of Python
-a cost per step instead of per id.
+a cost per step instead of per id.  What does not depend on the last id, all of it when
+encoding but for the range itself, is computed for a round at once.
 """
 
 from __future__ import annotations
@@ -29,102 +29,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, id_text, map_texts, pieces, regrouped, shared_dir, shared_table
+from .common import drop_table, filled, id_text, map_texts, pieces, regrouped, shared_dir, shared_table
 from .tokens import Encoder, vocabulary_size
 
 BLOCK = 4096
 LANES = 2048
 #: Ids below this can be coded.
 IDS = 1 << 16
-_S1, _S2 = 1 << 11, 1 << 12
-_REBUILD = 64
-_TOP = 1 << 16
-#: By what was trusted (0 to 3) and whether it came true: what is trusted now, above bit 16.
-_TRUST = np.array([0, 0, 1, 1, 1, 2, 3, 3], np.int32) << 16
-_ONES = np.ones(16, np.float32)
-_B24, _B32, _B16 = np.uint64(24), np.uint64(32), np.uint64(16)
-_WORD = np.uint64(1 << 32)
+#: Rows of eight predictions that a block has, and where in a row an id before stands.
+_ROWS = 256
+_SLOT = ((np.arange(IDS, dtype=np.int32) * 31153 >> 5 & 1023) * 7 >> 10) + np.int32(1)
+#: Steps between which the order-2 and order-1 models learn.
+_ROUND = 64
+#: Steps of the lanes that are turned into rows at once.
+_TILE = 256
+#: Steps at which order 0 is taken from all ids of the block so far.
+_PAST = (64, 128, 256, 512, 1024, 1536, 2048, 3072)
+#: A range is kept above the least and below the full size, so that all its arithmetic on
+#: float64 is exact: quotients of such integers are never rounded up to an integer.
+_LEAST, _FULL = float(1 << 32), float(1 << 48)
 
 
 class _Model:
     """The adaptive state of ``n`` lanes; encoder and decoder make the same calls."""
 
     def __init__(self, n: int):
-        lane = np.arange(n, dtype=np.int64)
-        self.b1, self.b2, self.bw, self.b0 = lane * _S1, lane * _S2, lane * 16, lane * 256
+        lane = np.arange(n, dtype=np.int32)
+        self.base, self.bw = lane * (_ROWS * 8), lane * 16
         # An entry holds an id and, above bit 16, how far it is trusted.
-        self.t1, self.t2 = np.zeros(n * _S1, np.int32), np.zeros(n * _S2, np.int32)
-        # The shares of the order-2 (above bit 16) and the order-1 prediction.
-        self.w = np.full(n * 16, (8192 << 16) + 8192, np.int32)
-        # For every group of order 0 the id seen last and, above bit 16, how many were seen.
-        self.seen = np.zeros(n * 256, np.int32)
-        self.hit = np.full(n, 8192, np.int32)
-        self.p1, self.far = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self._rebuild(n)
-
-    def _rebuild(self, k: int) -> None:
-        """Shares of the 256 groups of order 0, where each begins and how wide it is."""
-        total = np.cumsum((self.seen[: k * 256] >> 16).reshape(k, 256) * 24 + 1, 1, dtype=np.int64)
-        ends = (total * (_TOP - 256) // total[:, -1:] + np.arange(1, 257)).astype(np.int32)
-        starts = np.zeros((k, 256), np.int32)
-        starts[:, 1:] = ends[:, :-1]
-        self.parts = (starts.astype(np.int64) << 32 | (ends - starts)).ravel()
-        self.fine, self.coarse = starts.reshape(k * 16, 16), np.ascontiguousarray(starts[:, ::16])
-
-    def predict(self, k: int, t: int) -> None:
-        """Look up the predictions for step ``t`` of the first ``k`` lanes."""
-        if t and (t % _REBUILD == 0 or t in (8, 16, 32)):
-            self._rebuild(k)
-        p1 = self.p1[:k]
-        self.i1 = self.b1[:k] + ((p1 * 20261 >> 3) & (_S1 - 1))
-        self.i2 = self.b2[:k] + (((p1 * 25717 ^ self.far[:k]) >> 4) & (_S2 - 1))
-        e1, e2 = self.t1.take(self.i1, mode="clip"), self.t2.take(self.i2, mode="clip")
-        self.x1, self.x2 = e1 & 0xFFFF, e2 & 0xFFFF
-        self.l1, self.l2 = e1 >> 16, e2 >> 16
-        self.iw = self.bw[:k] + (self.l2 * 4 + self.l1)
-        f = self.w.take(self.iw, mode="clip")
-        self.r2, self.r1 = f >> 16, f & 0xFFFF
-        joint = self.r1 * (self.x1 == self.x2)
-        self.f2, self.f1 = self.r2 + joint, self.r1 - joint
-
-    def update(self, k: int, ids: np.ndarray, low: np.ndarray, hits: np.ndarray) -> None:
-        """Learn ``ids``; ``low`` are the lanes that order 0 coded."""
-        h1, h2 = ids == self.x1, ids == self.x2
-        self.t1[self.i1] = _TRUST.take(h1 * 4 + self.l1) + np.where(self.l1 < 2, ids, self.x1)
-        self.t2[self.i2] = _TRUST.take(h2 * 4 + self.l2) + np.where(self.l2 < 2, ids, self.x2)
-        # Shares stay between 64 and 30000 of 65536, so order 0 always keeps some.
-        g2, g1 = h2 * np.int32(29936) + 64, (h1 > h2) * np.int32(29936) + 64
-        self.w[self.iw] = (self.r2 + ((g2 - self.r2) >> 4) << 16) + (self.r1 + ((g1 - self.r1) >> 4))
-        at = self.b0[:k] + (ids & 255)
-        self.seen[at] = (self.seen.take(at, mode="clip") & -65536) + 65536 + ids
-        if len(low):
-            rate = self.hit[low]
-            self.hit[low] = np.clip(rate + (np.where(hits, 61440, 2048) - rate >> 5), 2048, 61440)
-        self.far[:k] = self.p1[:k] * 31153
-        self.p1[:k] = ids
-
-    def group(self, who: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and width, in 2^24, of the groups ``at`` of the lanes ``who``: their part
-        of what the predictions leave."""
-        base = (self.f2 + self.f1)[who].astype(np.int64)
-        rest, part = _TOP - base, self.parts.take(at, mode="clip")
-        begin = part >> 32
-        start = rest * begin >> 8
-        return (base << 8) + start, (rest * (begin + (part & 0xFFFFFFFF)) >> 8) - start
-
-    def find(self, who: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        """The groups in whose part the points ``goal`` lie."""
-        base = (self.f2 + self.f1)[who].astype(np.int64)
-        most = ((((goal - (base << 8) + 1) << 8) - 1) // (_TOP - base)).astype(np.int32)[:, None]
-        # A product counts faster than a sum over so short an axis.
-        row = who * 16 + ((self.coarse.take(who, 0) <= most).astype(np.float32) @ _ONES).astype(np.int64) - 1
-        return row * 16 + ((self.fine.take(row, 0) <= most).astype(np.float32) @ _ONES).astype(np.int64) - 1 - who * 256
+        # A row is order 1 of an id and order 2 of it after others, side by side in memory.
+        self.rows = np.zeros(n * _ROWS * 8, np.int32)
+        # By level of trust: predictions made, and those that order 2 and order 1 alone got right.
+        self.made, self.hit2, self.hit1 = (np.zeros(n * 16) for _ in range(3))
+        # Rows of ids are a little longer than blocks: columns of rows whose distance is a power
+        # of two contend for the same lines of a cache.
+        self.held, self.past, self.new = np.zeros((n, BLOCK + 32), np.uint16), 0, np.ones(n)
+
+    def remember(self, k: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Order 0 from the first ``steps`` ids of ``k`` lanes: every different id of a lane,
+        in order, as id, first place among the sorted ids (above bit 16) and count (above bit
+        32); and where the lanes' ids end in that list."""
+        self.past = steps
+        held = np.sort(self.held[:k, :steps], axis=1)
+        other = np.ones((k, steps), bool)
+        np.not_equal(held[:, 1:], held[:, :-1], out=other[:, 1:])
+        at = np.flatnonzero(other)
+        counts = np.diff(at, append=held.size)
+        lane = at // steps
+        # As likely as a new id is one that was seen once.
+        self.new[:k] = np.bincount(lane[counts == 1], minlength=k) + 1
+        return held.ravel()[at] | (at - lane * steps) << 16 | counts << 32, np.cumsum(np.bincount(lane, minlength=k))
+
+    def weigh(self, k: int) -> None:
+        """Shares of the predictions, in units of a remembered id."""
+        made, right2, right1 = self.made[: k * 16] + 2.0, self.hit2[: k * 16] + 0.3, self.hit1[: k * 16] + 0.2
+        # Order 0 always keeps an eighth, so all shares are less than 65,536 units.
+        self.known = self.past + self.new[:k]
+        unit = np.repeat(self.known, 16) / np.maximum(made - right2 - right1, made / 8)
+        self.upto2 = np.floor(right2 * unit) + 1
+        self.upto1 = self.upto2 + np.floor(right1 * unit) + 1
+
+    def predict(self, p1: np.ndarray, p2: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Put into ``out`` where the predictions after ``p2, p1`` are held, what is there, and
+        its level of trust."""
+        i1, i2, e1, e2, level = out
+        k = p1.shape[-1]
+        np.add(self.base[:k], p1 * 20261 & (_ROWS - 1 << 3), out=i1)
+        np.add(i1, _SLOT.take(p2, mode="clip"), out=i2)
+        self.rows.take(i1, mode="clip", out=e1)
+        self.rows.take(i2, mode="clip", out=e2)
+        np.add(self.bw[:k], (e2 >> 16) * 4 + (e1 >> 16), out=level)
+        return out
+
+    def shares(self, x1: np.ndarray, x2: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where the shares of order 2, order 1 and all end; two that agree are one."""
+        upto1 = self.upto1.take(level, mode="clip")
+        return np.where(x1 == x2, upto1, self.upto2.take(level, mode="clip")), upto1, upto1 + self.known[: x1.shape[-1]]
+
+    def learn(self, ids: np.ndarray, found: np.ndarray) -> None:
+        """Learn the ``ids`` of a round, of what :meth:`predict` gave for them."""
+        i1, i2, e1, e2, level = found
+        h1, h2 = ids == (e1 & 0xFFFF), ids == (e2 & 0xFFFF)
+        self.rows[i1], self.rows[i2] = _trusted(e1, h1, ids), _trusted(e2, h2, ids)
+        k = ids.shape[1]
+        size = np.int32(k * 16)
+        none, by1, by2 = np.bincount((level + h2 * (2 * size) + (h1 > h2) * size).ravel(), minlength=3 * size).reshape(3, -1)
+        for kept, more in ((self.made, none + by1 + by2), (self.hit2, by2), (self.hit1, by1)):
+            kept[: k * 16] = kept[: k * 16] * 0.96875 + more
+
+
+def _trusted(entry: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Entries after ``ids``: trust, of 0 to 3, grows by a hit, falls to 1 by a miss from 2 or 3,
+    and below that a miss replaces the id."""
+    grown = np.minimum(entry, (2 << 16) + ids) + (1 << 16)
+    return np.where(hit, grown, np.where(entry < 2 << 16, ids, entry & 0xFFFF | 1 << 16))
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """The payload of each block, of at most ``BLOCK`` ids below ``IDS`` each."""
     if any(len(b) and (b.max() >= IDS or b.min() < 0) for b in blocks):
         raise ValueError(f"ids from {IDS} on cannot be coded")
+    if any(len(b) > BLOCK for b in blocks):
+        raise ValueError(f"a block of more than {BLOCK} ids")
     step = _even(len(blocks))
     return [x for at in range(0, len(blocks), step) for x in _encode(blocks[at : at + step])]
 
@@ -149,66 +155,80 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(b) for b in blocks], np.int64)
     order, active = _order(sizes)
     n, steps = len(blocks), len(active)
-    ids = np.zeros((steps, n), np.int32)
-    for lane, k in enumerate(order):
-        ids[: sizes[k], lane] = blocks[k]
     model = _Model(n)
-    width = steps + 8
-    words, pos = np.zeros(n * width, np.uint64), np.zeros(n, np.int64)
-    base = np.arange(n) * width
-    low, rng = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-
-    def put(lanes, at: np.ndarray, add: np.ndarray, span: np.ndarray) -> None:
-        """Narrow the ranges of ``lanes`` (a slice or an index)."""
-        who = None
-        over = np.flatnonzero(at < add)
-        if len(over):
-            who = np.arange(n)[lanes]
-            words[base[who[over]] + pos[who[over]] - 1] += np.uint64(1)
-        out = np.flatnonzero(span < _WORD)
-        if len(out):
-            who = np.arange(n)[lanes] if who is None else who
-            to = who[out]
-            words[base[to] + pos[to]] = at[out] >> _B32
-            pos[to] += 1
-            at[out] <<= _B32
-            span[out] <<= _B32
-        low[lanes], rng[lanes] = at, span
-
-    for t in range(steps):
-        k = int(active[t])
-        x = ids[t, :k]
-        model.predict(k, t)
-        f2, f1 = model.f2, model.f1
-        by2, by1 = x == model.x2, x == model.x1
-        start, freq = (f2 * ~by2).astype(np.int64) << 8, np.where(by2, f2, f1).astype(np.int64) << 8
-        who = np.flatnonzero(~(by1 | by2))
-        hits = by1
-        if len(who):
-            of = x[who]
-            at = model.b0[who] + (of & 255)
-            start[who], freq[who] = model.group(who, at)
-        r = rng[:k] >> _B24
-        add = r * start.astype(np.uint64)
-        put(slice(0, k), low[:k] + add, add, r * freq.astype(np.uint64))
-        if len(who):
-            hits = (model.seen.take(at) & 0xFFFF) == of
-            share = model.hit[who]
-            step = (_TOP - share) >> 8
-            r = rng[who] >> _B16
-            add = r * np.where(hits, 0, share + (of >> 8) * step).astype(np.uint64)
-            put(who, low[who] + add, add, r * np.where(hits, share, step).astype(np.uint64))
-        model.update(k, x, who, hits)
-    for shift in (_B32, np.uint64(0)):
-        words[base + pos] = (low >> shift) & np.uint64(0xFFFFFFFF)
-        pos += 1
+    # Two ids of 0 stand before a block; lanes that end within a round learn zeros.
+    ids = np.zeros((2, n), np.int32)
+    for lane, k in enumerate(order):
+        model.held[lane, : sizes[k]] = blocks[k]
+    width = steps + 4
+    words, at = np.zeros(n * width, np.int32), np.arange(n) * width
+    low, rng = np.zeros(n), np.full(n, _FULL)
+    known, since, upto = np.zeros((n, _PAST[0]), np.int32), 0, _PAST[0]
+    cells, apart = np.zeros(IDS, np.int32), np.zeros((n, steps), bool)
+
+    def put(start, freq, total, low, rng, at):
+        """Narrow ranges. A word may exceed 16 bits by a carry, which is resolved at the end."""
+        r = np.floor(rng / total)
+        low, rng = low + r * start, r * freq
+        out = rng < _LEAST
+        word = np.floor(low * (1 / _LEAST))
+        words[at] = word
+        grow = out * 65535.0 + 1
+        return (low - word * out * _LEAST) * grow, rng * grow, at + out
+
+    for t in range(0, steps, _ROUND):
+        k, end = int(active[t]), min(t + _ROUND, steps)
+        if t in _PAST:
+            entries, ends = model.remember(k, t)
+            since, upto = t, next((x for x in _PAST if x > t), BLOCK)
+            known, a = np.zeros((k, upto - t + 16), np.int32)[:, : upto - t], 0
+            places, values = (entries & 0xFFFF), (entries >> 16 & 0xFFFF | entries >> 32 << 16).astype(np.int32)
+            for lane, b in enumerate(ends.tolist()):
+                where = places[a:b]
+                cells[where] = values[a:b]
+                known[lane] = cells.take(model.held[lane, t:upto])
+                cells[where] = 0
+                a = b
+        model.weigh(k)
+        if (t - since) % _TILE == 0:
+            # A tile at once: turning lanes into rows costs the more, the less is turned.
+            to = min(t + _TILE, upto)
+            ids = np.concatenate([ids[-2:, :k], model.held[:k, t:to].T.astype(np.int32, order="C")])
+            tile = np.ascontiguousarray(known[:k, t - since : to - since].T)
+        at_tile = (t - since) % _TILE
+        x = ids[at_tile + 2 : at_tile + 2 + _ROUND, :k]
+        found = model.predict(ids[at_tile + 1 : at_tile + 1 + _ROUND, :k], ids[at_tile : at_tile + _ROUND, :k], np.empty((5, _ROUND, k), np.int32))
+        x1, x2, level = (found[2] & 0xFFFF)[: end - t], (found[3] & 0xFFFF)[: end - t], found[4][: end - t]
+        upto2, upto1, total = model.shares(x1, x2, level)
+        now, entry = x[: end - t], tile[at_tile : at_tile + end - t, :k]
+        by2, start, freq = now == x2, upto1 + (entry & 0xFFFF), (entry >> 16).astype(np.float64)
+        hit = by2 | (now == x1)
+        rare = (entry == 0) & ~hit
+        apart[:k, t:end] = rare.T
+        at_hit, at_rare = np.flatnonzero(hit), np.flatnonzero(rare)
+        first, ends2, ends1 = by2.ravel()[at_hit], upto2.ravel()[at_hit], upto1.ravel()[at_hit]
+        start.reshape(-1)[at_hit], freq.reshape(-1)[at_hit] = ends2 * ~first, np.where(first, ends2, ends1 - ends2)
+        start.reshape(-1)[at_rare] += model.past
+        freq.reshape(-1)[at_rare] = model.new[at_rare % k]
+        for j in range(end - t):
+            k = int(active[t + j])
+            low[:k], rng[:k], at[:k] = put(start[j, :k], freq[j, :k], total[j, :k], low[:k], rng[:k], at[:k])
+        model.learn(x, found)
+    # The least point of a range that has two words of zeros after its first one.
+    words[at] = np.ceil(low * (1 / _LEAST))
+    over = np.flatnonzero(words > 0xFFFF)
+    while len(over):
+        carry = words[over] >> 16
+        words[over] &= 0xFFFF
+        words[over - 1] += carry
+        over = (over - 1)[words[over - 1] > 0xFFFF]
     grid = words.reshape(n, width)
-    while len(over := np.argwhere(grid >= _WORD)):
-        grid[over[:, 0], over[:, 1]] -= _WORD
-        np.add.at(grid, (over[:, 0], over[:, 1] - 1), np.uint64(1))
+    lengths = at - np.arange(n) * width + 3
     result: list[bytes] = [b""] * n
     for lane, k in enumerate(order):
-        result[k] = grid[lane, : pos[lane]].astype("<u4").tobytes()
+        # The ids that are not coded stand behind the words, the first one last.
+        raw = model.held[lane, : sizes[k]][apart[lane, : sizes[k]]][::-1]
+        result[k] = np.concatenate([grid[lane, : lengths[lane]].astype("<u2"), raw.astype("<u2")]).tobytes()
     return result
 
 
@@ -216,57 +236,64 @@ def _decode(payloads: list[bytes], counts: list[int]) -> list[np.ndarray]:
     sizes = np.array(counts, np.int64)
     order, active = _order(sizes)
     n, steps = len(payloads), len(active)
-    width = max((len(p) // 4 for p in payloads), default=0) + 4
-    grid = np.zeros((n, width), np.uint64)
+    width = max((len(p) // 2 for p in payloads), default=0) + 4
+    grid = np.zeros((n, width), np.uint16)
     for lane, k in enumerate(order):
-        grid[lane, : len(payloads[k]) // 4] = np.frombuffer(payloads[k], "<u4")
-    words, base, pos = grid.ravel(), np.arange(n) * width, np.full(n, 2, np.int64)
-    v = (grid[:, 0] << _B32) | grid[:, 1]
-    rng = np.full(n, (1 << 64) - 1, np.uint64)
+        grid[lane, : len(payloads[k]) // 2] = np.frombuffer(payloads[k], "<u2", len(payloads[k]) // 2)
+    words, at = grid.ravel(), np.arange(n) * width + 3
+    raw = np.arange(n) * width + np.array([len(payloads[k]) // 2 - 1 for k in order], np.int64)
+    v = grid[:, :3] @ np.array([_LEAST, 65536.0, 1.0])
+    rng = np.full(n, _FULL)
     model = _Model(n)
-    ids = np.zeros((steps, n), np.int32)
-
-    def take(lanes, at: np.ndarray, span: np.ndarray) -> None:
-        out = np.flatnonzero(span < _WORD)
-        if len(out):
-            who = np.arange(n)[lanes][out]
-            at[out] = (at[out] << _B32) | words[base[who] + np.minimum(pos[who], width - 1)]
-            pos[who] += 1
-            span[out] <<= _B32
-        v[lanes], rng[lanes] = at, span
-
-    for t in range(steps):
-        k = int(active[t])
-        model.predict(k, t)
-        f2, f1 = model.f2, model.f1
-        r = rng[:k] >> _B24
-        goal = np.minimum(v[:k] // r, np.uint64((1 << 24) - 1)).astype(np.int64)
-        upto = goal >> 8
-        by2 = upto < f2
-        by1 = (upto < f2 + f1) & ~by2
-        start, freq = (f2 * ~by2).astype(np.int64) << 8, np.where(by2, f2, f1).astype(np.int64) << 8
-        x = np.where(by2, model.x2, model.x1)
-        who = np.flatnonzero(~(by1 | by2))
-        hits = by1
-        if len(who):
-            slots = model.find(who, goal[who])
-            at = model.b0[who] + slots
-            start[who], freq[who] = model.group(who, at)
-        take(slice(0, k), v[:k] - r * start.astype(np.uint64), r * freq.astype(np.uint64))
-        if len(who):
-            r = rng[who] >> _B16
-            aim = np.minimum(v[who] // r, np.uint64(_TOP - 1)).astype(np.int32)
-            share = model.hit[who]
-            step = (_TOP - share) >> 8
-            hits = aim < share
-            high = np.where(hits, 0, np.minimum((aim - share) // step, 255))
-            take(who, v[who] - r * np.where(hits, 0, share + high * step).astype(np.uint64), r * np.where(hits, share, step).astype(np.uint64))
-            x[who] = np.where(hits, model.seen.take(at) & 0xFFFF, high * 256 + slots)
-        ids[t, :k] = x
-        model.update(k, x, who, hits)
+    ids = np.zeros((_ROUND + 2, n), np.int32)
+    table, first = np.zeros(1, np.int64), np.zeros(n, np.int64)
+
+    def take(start, freq, r, v, rng, at):
+        v, rng = v - r * start, r * freq
+        out = rng < _LEAST
+        grow = out * 65535.0 + 1
+        return v * grow + words.take(at, mode="clip") * out, rng * grow, at + out
+
+    for t in range(0, steps, _ROUND):
+        most, end = int(active[t]), min(t + _ROUND, steps)
+        if t in _PAST:
+            entries, _ = model.remember(most, t)
+            table, first = np.repeat(entries, entries >> 32), np.arange(most) * t
+        model.weigh(most)
+        ids[:2], ids[2:] = ids[_ROUND:], 0
+        rows = np.empty((5, _ROUND, most), np.int32)
+        for j in range(_ROUND):
+            found = model.predict(ids[j + 1, :most], ids[j, :most], rows[:, j])
+            if t + j >= end:
+                continue
+            k = int(active[t + j])
+            x1, x2 = found[2][:k] & 0xFFFF, found[3][:k] & 0xFFFF
+            upto2, upto1, total = model.shares(x1, x2, found[4][:k])
+            r = np.floor(rng[:k] / total)
+            # Only damaged payloads lead beyond the range.
+            here = np.minimum(v[:k], r * total - 1)
+            goal = np.floor(here / r)
+            place = (goal - upto1).astype(np.int64)
+            entry = table.take(first[:k] + place, mode="clip")
+            start, freq, x = upto1 + (entry >> 16 & 0xFFFF), (entry >> 32).astype(np.float64), entry & 0xFFFF
+            who = np.flatnonzero(place < 0)
+            if len(who):
+                ends2, ends1 = upto2[who], upto1[who]
+                by2 = goal[who] < ends2
+                start[who], freq[who] = ends2 * ~by2, np.where(by2, ends2, ends1 - ends2)
+                x[who] = np.where(by2, x2[who], x1[who])
+            who = np.flatnonzero(place >= model.past)
+            if len(who):
+                start[who], freq[who] = upto1[who] + model.past, model.new[who]
+                x[who] = words.take(raw[who], mode="clip")
+                raw[who] -= 1
+            v[:k], rng[:k], at[:k] = take(start, freq, r, here, rng[:k], at[:k])
+            ids[j + 2, :k] = x
+        model.held[:most, t : t + _ROUND] = ids[2:, :most].T
+        model.learn(ids[2:, :most], rows)
     result: list[np.ndarray] = [np.zeros(0, np.int32)] * n
     for lane, k in enumerate(order):
-        result[k] = ids[: sizes[k], lane].copy()
+        result[k] = model.held[lane, : sizes[k]].astype(np.int32)
     return result
 
 
@@ -276,27 +303,41 @@ def block_crc(ids: np.ndarray) -> int:
 
 #: Ids of a file, about: as many blocks as are coded in lockstep.
 FILE_IDS = LANES * BLOCK
+#: Bytes of texts, about, that are split at once: the larger, the fewer words are met again.
+TEXT_BYTES = 24 << 20
+#: Bytes of stored texts, about, that a task splits, where that leaves two tasks a core.
+TASK_BYTES = 64 << 20
 #: Characters of a text by which rows of one doc_id are ordered.
 HEAD = 64
 _FILE = "file_no int, block_no int, n_ids int, crc32 long, payload binary, doc_ids array<{kind}>, doc_parts array<int>, closed boolean"
 
 
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
-    """``doc_id, head, n, ids`` per row of ``docs``, as a stored table: the first ``HEAD``
-    characters of its text, and its ids and ``end_id`` as little-endian unsigned 16-bit
-    integers."""
+    """``doc_id, head, n, ids, place`` per row of ``docs``, as a stored table: the first
+    ``HEAD`` characters of its text, its ids and ``end_id`` as little-endian unsigned 16-bit
+    integers, and a hash of these."""
     df = id_text(docs)
     if vocabulary_size(vocabulary) > IDS or not 0 <= end_id < IDS:
         raise ValueError(f"{vocabulary}: ids from {IDS} on cannot be coded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(vocabulary, "<u2"), np.array([end_id], "<u2").tobytes()
-        for b in pieces(batches):
-            ids = [encode(text) + end for text in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "head", "n", "ids"])
-
+        done, encode, end = None, Encoder(vocabulary, "<u2"), np.array([end_id], "<u2").tobytes()
+        for b in filled(batches, TEXT_BYTES):
+            ids = encode.column(b.column(1), end)
+            n = pa.array(np.diff(np.frombuffer(ids.buffers()[1], np.int64)) // 2)
+            done = pa.RecordBatch.from_arrays([b.column(0), b.column(2), n, ids.cast(pa.binary())], names=["doc_id", "head", "n", "ids"])
+            del b, ids, n
+            yield from pieces([done])
+        # What a worker keeps stays with it in later stages.
+        del done, encode
+        pa.default_memory_pool().release_unused()
+
+    # A task's words are kept while it runs, so fewer tasks meet fewer new ones.
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    df = df.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(-(-size // TASK_BYTES), IDS)))
     df = df.withColumn("head", F.substring("text", 1, HEAD))
-    return shared_table(map_texts(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, head string, n long, ids binary"), "token-ids", compression="zstd")
+    found = map_texts(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, head string, n long, ids binary")
+    return shared_table(found.withColumn("place", F.xxhash64("ids")), "token-ids")
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, file_ids: int = FILE_IDS) -> None:
@@ -365,8 +406,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
         if owners:
             yield batch(flush(True))
 
-    place = F.xxhash64("ids")
-    ordered = ids.repartitionByRange(files, "doc_id", "head", place).sortWithinPartitions("doc_id", "head", place, "ids")
+    ordered = ids.repartitionByRange(files, "doc_id", "head", "place").sortWithinPartitions("doc_id", "head", "place", "ids")
     ordered.mapInArrow(run, _FILE.format(kind=kind)).write.parquet(path)
     drop_table(ids)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import mmss
+from ..functions.text import fixed, mmss, round_even
 
 #: Labels and messages of a prompt, by language.
 LABELS_OF = {"en": ("Excerpt", "Episode", "Time", "Content"), "pt_br": ("Trecho", "Episódio", "Tempo", "Conteúdo")}
@@ -58,7 +58,7 @@ def answers(queries: DataFrame, chunks: DataFrame, min_similarity: float = 0.5,
     kept = chunks.filter(F.col("similarity") >= min_similarity)
     once = Window.partitionBy("query_id", "episode_id", "chunk_index").orderBy("rank")
     unique = kept.withColumn("seen", F.row_number().over(once)).filter("seen = 1")
-    source = F.concat_ws("|", "episode_title", mmss(F.col("start_time")), F.format_string("%.3f", F.bround("similarity", 3)))
+    source = F.concat_ws("|", "episode_title", mmss(F.col("start_time")), fixed(round_even("similarity", 3), 3))
     listed = unique.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", source.alias("s")))).alias("l"))
     listed = listed.select("query_id", F.array_join(F.transform("l", lambda x: x["s"]), "; ").alias("sources"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
@@ -87,4 +87,4 @@ def parse_judge(raw: Column) -> Column:
 
 def result_line(index: Column, title: Column, start: Column, similarity: Column, text: Column) -> Column:
     """One search result for display, its text cut to 300 characters."""
-    return F.concat(F.lit("["), index.cast("string"), F.lit("] "), title, F.lit(" @ "), mmss(start), F.lit(" (similarity: "), F.format_string("%.3f", similarity), F.lit(")\n    "), F.substring(text, 1, 300))
+    return F.concat(F.lit("["), index.cast("string"), F.lit("] "), title, F.lit(" @ "), mmss(start), F.lit(" (similarity: "), fixed(similarity, 3), F.lit(")\n    "), F.substring(text, 1, 300))

@@ -4,7 +4,15 @@ import duckdb
 from pyspark.sql import functions as F
 
 from voxlake.functions import text as tx
-from voxlake.operators import rag
+from voxlake.operators import rag, reports
+
+
+def test_rates_at_ties_equal_sql(spark):
+    pairs = [(373, 400), (418, 800), (28443, 7600), (6349, 400), (106, 800), (0, 0), (29, 1), (1, 32)]
+    t = spark.createDataFrame([(k, "x" * n, "en", "m", -k / 100, d) for k, (n, d) in enumerate(pairs)], "episode_id int, full_text string, language string, model_used string, avg_logprob double, duration_seconds int")
+    got = [r.chars_per_minute for r in reports.transcript_metrics(t).orderBy("episode_id").collect()]
+    sql = "SELECT round_even(CASE WHEN {1} = 0 THEN 0.0 ELSE CAST({0} AS DOUBLE) / (CAST({1} AS DOUBLE) / 60) END, 1)"
+    assert got == [duckdb.connect().execute(sql.format(*p)).fetchone()[0] for p in pairs]
 
 
 def test_rounding_equals_sql(spark):

@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import repetition_rate, words
+from ..functions.text import repetition_rate, round_even, words
 
 PHASES = (("downloaded", ()), ("transcribed", ("downloaded",)), ("diarized", ("transcribed",)), ("chunked", ("transcribed", "diarized")), ("indexed", ("chunked",)))
 
 
 def share(part: Column, whole: Column, places: int = 1) -> Column:
     """Percentage, 0 where there is nothing to divide by."""
-    return F.bround(F.coalesce(F.try_divide(part.cast("double") * 100, whole.cast("double")), F.lit(0.0)), places)
+    return round_even(F.coalesce(F.try_divide(part.cast("double") * 100, whole.cast("double")), F.lit(0.0)), places)
 
 
 def catalog_report(episodes: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def duration_stats(episodes: DataFrame) -> DataFrame:
     duration; nulls where none has."""
     d = F.col("duration_seconds").cast("double")
     return episodes.filter(d > 0).agg(
-        F.bround(F.sum(d) / 3600, 1).alias("total_hours"), F.bround(F.avg(d) / 60, 1).alias("avg_minutes"),
-        F.bround(F.min(d) / 60, 1).alias("min_minutes"), F.bround(F.max(d) / 60, 1).alias("max_minutes"),
+        round_even(F.sum(d) / 3600, 1).alias("total_hours"), round_even(F.avg(d) / 60, 1).alias("avg_minutes"),
+        round_even(F.min(d) / 60, 1).alias("min_minutes"), round_even(F.max(d) / 60, 1).alias("max_minutes"),
     )
 
 
@@ -59,8 +59,8 @@ def transcript_metrics(transcripts: DataFrame) -> DataFrame:
     minutes = F.col("duration_seconds").cast("double") / 60
     return transcripts.withColumn("rate", repetition_rate(words(F.col("full_text")))).select(
         "episode_id", "language", "model_used", n.alias("total_chars"), F.floor(n / 5).cast("long").alias("estimated_words"),
-        F.bround(F.coalesce(F.try_divide(n.cast("double"), minutes), F.lit(0.0)), 1).alias("chars_per_minute"),
-        F.bround("avg_logprob", 4).alias("avg_logprob"), F.bround(rate, 4).alias("repetition_rate"), (rate < 0.5).alias("hallucination_flag"),
+        round_even(F.coalesce(F.try_divide(n.cast("double"), minutes), F.lit(0.0)), 1).alias("chars_per_minute"),
+        round_even("avg_logprob", 4).alias("avg_logprob"), round_even(rate, 4).alias("repetition_rate"), (rate < 0.5).alias("hallucination_flag"),
     )
 
 
@@ -69,7 +69,7 @@ def segment_metrics(segments: DataFrame) -> DataFrame:
     text, and the mean log-probability, a missing one counting 0."""
     return segments.groupBy("episode_id").agg(
         F.count("*").alias("total_segments"), (F.sum(F.length(F.trim("text"))) + F.count("*") - 1).alias("total_chars"), F.max("end_time").alias("duration"),
-        F.bround(F.avg(F.coalesce("avg_logprob", F.lit(0.0))), 4).alias("avg_logprob"),
+        round_even(F.avg(F.coalesce("avg_logprob", F.lit(0.0))), 4).alias("avg_logprob"),
     )
 
 
@@ -104,8 +104,8 @@ def diarization_report(turns: DataFrame) -> DataFrame:
     speaker of its own."""
     per = turns.groupBy("episode_id").agg(F.size(F.collect_set(F.coalesce("speaker", F.lit("<null>")))).alias("speakers"), F.count("*").alias("turns"), F.count("text").alias("with_text"))
     return per.agg(
-        F.count("*").alias("episodes"), F.bround(F.avg("speakers"), 1).alias("avg_speakers"), F.min("speakers").cast("long").alias("min_speakers"), F.max("speakers").cast("long").alias("max_speakers"),
-        F.bround(F.avg("turns"), 0).alias("avg_turns"), F.sum("turns").alias("total_turns"), F.sum("with_text").alias("turns_with_text"),
+        F.count("*").alias("episodes"), round_even(F.avg("speakers"), 1).alias("avg_speakers"), F.min("speakers").cast("long").alias("min_speakers"), F.max("speakers").cast("long").alias("max_speakers"),
+        round_even(F.avg("turns"), 0).alias("avg_turns"), F.sum("turns").alias("total_turns"), F.sum("with_text").alias("turns_with_text"),
         F.count_if(F.col("with_text") > 0).alias("aligned_episodes"), share(F.sum("with_text"), F.sum("turns")).alias("alignment_rate"),
     )
 
@@ -120,8 +120,8 @@ def chunk_report(chunks: DataFrame) -> DataFrame:
     tokens = F.when(F.col("token_count") != 0, F.col("token_count"))
     length = F.col("end_time") - F.col("start_time")
     return chunks.agg(
-        F.count("*").alias("chunks"), F.bround(F.avg(tokens), 0).alias("avg_tokens"), F.min(tokens).cast("long").alias("min_tokens"), F.max(tokens).cast("long").alias("max_tokens"),
-        F.bround(F.avg(F.when(length > 0, length)), 1).alias("avg_duration"), F.count_if(length <= 0).alias("invalid_times"),
+        F.count("*").alias("chunks"), round_even(F.avg(tokens), 0).alias("avg_tokens"), F.min(tokens).cast("long").alias("min_tokens"), F.max(tokens).cast("long").alias("max_tokens"),
+        round_even(F.avg(F.when(length > 0, length)), 1).alias("avg_duration"), F.count_if(length <= 0).alias("invalid_times"),
         F.count_if(tokens > 512).alias("oversized"), F.count_if(tokens < 50).alias("undersized"), F.count_if(F.col("speakers").isNull()).alias("no_speakers"),
     )
 
@@ -130,7 +130,7 @@ def chunks_per_episode(episodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """Over chunked episodes, those without any chunk included."""
     counts = chunks.groupBy(F.col("episode_id").alias("id")).agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
-    return episodes.filter("chunked").join(counts, "id", "left").agg(F.bround(F.avg(n), 0).alias("avg_chunks"), F.min(n).cast("long").alias("min_chunks"), F.max(n).cast("long").alias("max_chunks"))
+    return episodes.filter("chunked").join(counts, "id", "left").agg(round_even(F.avg(n), 0).alias("avg_chunks"), F.min(n).cast("long").alias("min_chunks"), F.max(n).cast("long").alias("max_chunks"))
 
 
 def language_vote(votes: DataFrame, key: str, label: str, probability: str) -> DataFrame:

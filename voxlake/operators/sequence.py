@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import INTRO_PATTERNS, extract_name
+from ..functions.text import INTRO_PATTERNS, extract_name, round_even
 from .intervals import speaker_of_segments
 
 
@@ -36,7 +36,7 @@ def merge_windows(windows: DataFrame, segments: DataFrame) -> DataFrame:
     s = segments.select("episode_id", "window_index", "position", "start_time", "end_time", "text").join(w, ["episode_id", "window_index"])
     s = s.withColumn("g_start", F.col("start_time") + F.col("offset")).withColumn("g_end", F.col("end_time") + F.col("offset"))
     s = s.filter(F.col("next").isNull() | (F.col("g_start") < F.col("next")))
-    s = s.select("episode_id", "window_index", "position", F.bround("g_start", 2).alias("start_time"), F.bround("g_end", 2).alias("end_time"), "text")
+    s = s.select("episode_id", "window_index", "position", round_even("g_start", 2).alias("start_time"), round_even("g_end", 2).alias("end_time"), "text")
     order = Window.partitionBy("episode_id").orderBy("start_time", "window_index", "position")
     return s.withColumn("segment_index", F.row_number().over(order) - 1)
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import round_even
+
 ITEM = """guid string, title string, pubDate string, `itunes:duration` string, `content:encoded` string, description string,
  `itunes:explicit` string, `itunes:image` struct<_href: string>, enclosure struct<_url: string, _length: string>"""
 
@@ -97,7 +99,7 @@ def audio_report(files: DataFrame, catalogued: DataFrame) -> DataFrame:
     both = files.select(F.col("length").cast("long").alias("length"), F.lit(True).alias("file"), F.lit(False).alias("downloaded"))
     both = both.unionByName(catalogued.select(F.lit(None).cast("long").alias("length"), F.lit(False).alias("file"), "downloaded"))
     counted = both.agg(
-        F.count_if("file").alias("files"), F.count_if(F.col("length") == 0).alias("empty_files"), F.bround(F.coalesce(F.sum("length"), F.lit(0)) / 1048576, 2).alias("total_mb"),
+        F.count_if("file").alias("files"), F.count_if(F.col("length") == 0).alias("empty_files"), round_even(F.coalesce(F.sum("length"), F.lit(0)) / 1048576, 2).alias("total_mb"),
         F.count_if("downloaded").alias("downloaded"),
     )
     return counted.withColumn("matches", F.col("files") == F.col("downloaded"))

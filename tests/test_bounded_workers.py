@@ -5,7 +5,10 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from voxlake.operators import vectors
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from voxlake import session
+from voxlake.operators import chunking, vectors
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())])
 
@@ -47,3 +50,20 @@ def test_search_by_names(spark):
     for cell in (1, 1 << 20):
         got = vectors.batch_search(v, q, 3, cell_bytes=cell).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [("id00", 1, "id03"), ("id00", 2, "id06"), ("id00", 3, "id09"), ("other", 1, "id02"), ("other", 2, "id05"), ("other", 3, "id08")]
+
+
+def test_chunks_leave_in_bounded_batches(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, "One two three four. " * 200) for k in range(30)] + [(30, None), (31, " ")], "episode_id long, full_text string")
+    want = sorted((k, n, text_of[a:z]) for k, text_of in ((r.episode_id, r.full_text) for r in texts.collect() if r.full_text) for n, (a, z, _) in enumerate(chunking.split(text_of, 50, 5)))
+    given, key = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        spark.conf.unset(key)
+        got = chunking.chunk_texts(texts, 50, 5)
+        assert sorted((r.episode_id, r.chunk_index, r.text) for r in got.collect()) == want
+        assert int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) == session.BATCH_BYTES
+    finally:
+        spark.conf.set(key, given)
+    monkeypatch.setattr(chunking, "OUT_CHARS", 10_000)
+    arrow = to_arrow_schema(got.schema)
+    sent = list(chunking._chunks([pa.RecordBatch.from_pydict({"episode_id": [1, 2], "full_text": ["One two three four. " * 5000] * 2})], arrow, 50, 5, chunking.simple_tokens))
+    assert len(sent) > 10 and max(sum(map(len, b["text"].to_pylist())) for b in sent) < 11_000

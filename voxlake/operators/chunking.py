@@ -12,14 +12,20 @@ import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..session import bounded_batches
 
 _LEVELS = (r"\n\s*\n+", r"(?<=[.!?])\s+", r"(?<=[,;:])\s+", r"\s+")
 _TOKEN = re.compile(r"\w+|[^\s\w]")
+#: Characters of chunks that a worker gathers before it sends them on.
+OUT_CHARS = 1 << 20
 
 
 def simple_tokens(text: str) -> list[str]:
@@ -103,15 +109,31 @@ def chunk_texts(texts: DataFrame, size: int = 500, overlap: int = 50, tokenize:
     """``episode_id, chunk_index, start_char, end_char, token_count, text`` from
     ``episode_id, full_text``; null and blank texts have no chunks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [
-                (e, k, a, z, n, t[a:z]) for e, t in zip(b["episode_id"], b["full_text"].fillna("")) for k, (a, z, n) in enumerate(split(t, size, overlap, tokenize))
-            ]
-            yield pd.DataFrame(rows, columns=["episode_id", "chunk_index", "start_char", "end_char", "token_count", "text"])
-
     kind = texts.schema["episode_id"].dataType.simpleString()
-    return texts.select("episode_id", "full_text").mapInPandas(run, f"episode_id {kind}, chunk_index long, start_char long, end_char long, token_count int, text string")
+    schema = f"episode_id {kind}, chunk_index long, start_char long, end_char long, token_count int, text string"
+    run = partial(_chunks, arrow=to_arrow_schema(StructType.fromDDL(schema)), size=size, overlap=overlap, tokenize=tokenize)
+    return bounded_batches(texts.select("episode_id", "full_text")).mapInArrow(run, schema)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], arrow: pa.Schema, size: int, overlap: int, tokenize: Callable[[str], Sequence]) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`chunk_texts`, in batches of about ``OUT_CHARS``; texts are taken
+    from Arrow one at a time."""
+    rows, held = [], 0
+    for b in batches:
+        for e, text in zip(b["episode_id"], b["full_text"]):
+            e, text = e.as_py(), text.as_py() or ""
+            for k, (a, z, n) in enumerate(split(text, size, overlap, tokenize)):
+                rows.append((e, k, a, z, n, text[a:z]))
+                held += z - a
+                if held >= OUT_CHARS:
+                    yield _batch(rows, arrow)
+                    rows, held = [], 0
+    if rows:
+        yield _batch(rows, arrow)
+
+
+def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
 #: Beginnings that are looked for, longest first, and how far before the

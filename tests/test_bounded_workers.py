@@ -3,7 +3,9 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -67,3 +69,20 @@ def test_chunks_leave_in_bounded_batches(spark, monkeypatch):
     arrow = to_arrow_schema(got.schema)
     sent = list(chunking._chunks([pa.RecordBatch.from_pydict({"episode_id": [1, 2], "full_text": ["One two three four. " * 5000] * 2})], arrow, 50, 5, chunking.simple_tokens))
     assert len(sent) > 10 and max(sum(map(len, b["text"].to_pylist())) for b in sent) < 11_000
+
+
+def test_texts_are_encoded_in_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given, df = spark.conf.get(key), spark.range(0, 1500, 1, 1).selectExpr("id", "repeat('word ', 4000) AS text")
+
+    @F.pandas_udf("long")
+    def sizes(batch: pd.Series) -> pd.Series:
+        return pd.Series([len(batch)] * len(batch))
+
+    try:
+        spark.conf.unset(key)
+        got = vectors.with_embedding(df, "text", "v", lambda: lambda t: [float(len(t))])
+        assert {tuple(r.v) for r in got.select("v").distinct().collect()} == {(20_000.0,)} and got.count() == 1500
+        assert df.select(sizes("text").alias("n")).agg(F.max("n")).first()[0] < 2 * session.BATCH_BYTES / 20_000
+    finally:
+        spark.conf.set(key, given)
